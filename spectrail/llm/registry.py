@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from spectrail.llm import bpecodec, sharding, tokencount, warc
+from spectrail.llm import bpecodec, packing, sharding, tokencount, warc
 
 
 def queries() -> dict:
     return {
         "op3_token_count": tokencount.op3_token_count,
+        "op5_packing": packing.op5_packing,
         "op6_sharding": sharding.op6_sharding,
         "op7_warc": warc.op7_warc,
         "op10_bpe_codec": bpecodec.op10_bpe_codec,
