@@ -66,14 +66,16 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     """Write the two tables to the shared folder."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    staged = common.settle(
+    staging = common.new_path(spark, "warc-staged")
+    (
         pages.select(
             F.monotonically_increasing_id().alias("row"), F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"),
             F.sha2(payload, 256).alias("sha256"), base32_sha1(payload).alias("sha1"),
             F.octet_length(payload).cast("long").alias("length"), payload.alias("payload"),
-        ),
-        "warc-staged",
+        )
+        .write.option("compression", "zstd").parquet(staging)
     )
+    staged = spark.read.schema("row long, page_id long, url string, sha256 string, sha1 string, length long, payload binary").parquet(staging)
     records = staged.drop("payload")
     last = F.max(F.struct("page_id", "row"))
     chosen = records.groupBy("sha256").agg(last.alias("last"), F.min("sha1").alias("low"), F.max("sha1").alias("high"), F.min("length").alias("short"), F.max("length").alias("long"))
@@ -82,12 +84,16 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     revisit = (F.col("length") >= min_bytes) & (F.col("row") != F.col("last")["row"])
     archive = Archive(common.new_path(spark, "warc-headers"), common.new_path(spark, "warc-payloads"))
     kind = F.when(revisit, "revisit").otherwise("response")
-    records.join(chosen, "sha256").select(
+    judged = records.join(chosen, "sha256")
+    judged.select(
         "sha256",
         header_text(kind, F.col("row"), F.col("page_id"), F.col("url"), F.col("sha1"), F.col("length"), F.when(revisit, F.col("last")["page_id"])).alias("header"),
     ).write.parquet(archive.headers)
-    # One row of each digest brings the payload; the rows' numbers spread evenly, whatever the digests do.
-    staged.select("row", "sha256", "payload").join(chosen.select(F.col("last")["row"].alias("row")), "row", "left_semi").select("sha256", "payload").write.parquet(archive.payloads)
+    # All rows but those with an equal payload in a later row bring their payload. These others, once written, have a
+    # known size: few are broadcast and no payload is shuffled; many are joined by row number, which spreads evenly.
+    surplus = common.settle(judged.where(F.col("row") != F.col("last")["row"]).select("row"), "warc-surplus")
+    staged.select("row", "sha256", "payload").join(surplus, "row", "left_anti").select("sha256", "payload").write.option("compression", "zstd").parquet(archive.payloads)
+    common.drop_path(spark, staging)
     return archive
 
 
