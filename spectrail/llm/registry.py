@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spectrail.llm import bpecodec, packing, sharding, tokencount, warc
+from spectrail.llm import bpecodec, chat, packing, sharding, tokencount, warc
 
 
 def queries() -> dict:
@@ -11,9 +11,10 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op6_sharding": sharding.op6_sharding,
         "op7_warc": warc.op7_warc,
+        "op9_chat_format": chat.op9_chat_format,
         "op10_bpe_codec": bpecodec.op10_bpe_codec,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.OP7_SQL}
+    return {"op7_warc": warc.OP7_SQL, "op9_chat_format": chat.OP9_SQL}
