@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spectrail.llm import bpecodec, chat, packing, sharding, tokencount, warc
+from spectrail.llm import bpecodec, chat, neardup, packing, sharding, tokencount, warc
 
 
 def queries() -> dict:
     return {
+        "op2_minhash": neardup.op2_minhash,
         "op3_token_count": tokencount.op3_token_count,
         "op5_packing": packing.op5_packing,
         "op6_sharding": sharding.op6_sharding,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.OP7_SQL, "op9_chat_format": chat.OP9_SQL}
+    return {"op2_minhash": neardup.OP2_SQL, "op7_warc": warc.OP7_SQL, "op9_chat_format": chat.OP9_SQL}
