@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spectrail.llm import bpecodec, chat, neardup, packing, sharding, tokencount, warc
+from spectrail.llm import bpecodec, chat, neardup, packing, quality, sharding, tokencount, warc
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op2_minhash": neardup.op2_minhash,
         "op3_token_count": tokencount.op3_token_count,
         "op5_packing": packing.op5_packing,
