@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spectrail.llm import bpecodec, chat, neardup, packing, quality, sharding, tokencount, warc
+from spectrail.llm import bpecodec, chat, neardup, packing, quality, sharding, tokencount, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op6_sharding": sharding.op6_sharding,
         "op7_warc": warc.op7_warc,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_chat_format": chat.op9_chat_format,
         "op10_bpe_codec": bpecodec.op10_bpe_codec,
     }
