@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spectrail.llm import bpecodec, chat, neardup, packing, quality, sharding, tokencount, toxicity, warc
+from spectrail.llm import ann, bpecodec, chat, neardup, packing, quality, sharding, tokencount, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality": quality.op1_quality,
         "op2_minhash": neardup.op2_minhash,
         "op3_token_count": tokencount.op3_token_count,
+        "op4_ann": ann.op4_ann,
         "op5_packing": packing.op5_packing,
         "op6_sharding": sharding.op6_sharding,
         "op7_warc": warc.op7_warc,
