@@ -1,8 +1,61 @@
-"""The corpus pipeline: quality rules, toxicity, near-duplicates, packing."""
+"""The corpus pipeline: quality rules, toxicity, near-duplicates, best-fit packing.
 
-STAGES = []
+Each stage takes what its predecessor kept, with the columns of documents, and judges
+it anew: forest, classifier and thresholds are fitted on the labelled documents still
+there. Its decisions take effect in its result. The last stage returns the packed
+pieces. Texts that are null or empty fail the quality rules; repeated rows of one
+document stay together until the near-duplicate stage keeps one of them.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spectrail.llm import common, neardup, packing, quality, toxicity
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the isolation forest."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    counts = common.settle(quality.rule_counts(docs, "doc_id", "text"), "quality-counts")
+    return quality.keep_rows(docs, quality.fit(counts, labels, "doc_id"), "text")
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain doesn't call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fitted = toxicity.fit(docs, labels, "doc_id", "text")
+    scored = common.settle(toxicity.score(docs, fitted.chain, "doc_id", "text"), "toxicity-scored")
+    return toxicity.keep_rows(docs, toxicity.calibrate(fitted, scored, labels, "doc_id"), "text")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id."""
+    dropped = common.settle(neardup.link(docs, "doc_id", "text").where(~F.col("kept")).select("doc_id").distinct(), "dup-dropped")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents' pieces with their places in sequences."""
+    return packing.pack(docs, "doc_id", "text", public_tokenizers.path(packing.TOKENIZER))
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("toxicity", keep_clean),
+    ("near-duplicates", keep_one_of_each),
+    ("best-fit packing", pack_pieces),
+]
+
+#: Forests, classifiers and tokenizers have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again as the next one's input."""
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.settle(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

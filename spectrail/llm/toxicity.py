@@ -12,10 +12,10 @@ toxic documents first (see `choose_categories`). A document is of a category if
 is labelled toxic and has one of its features. The last link of the chain is the
 label itself.
 
-The features are the `FEATURES` words and word starts with the greatest chi-square
-over all labelled documents; the models are fitted on at most `FIT_ROWS` labelled
-documents (those with the smallest seeded hashes of their ids); the threshold is
-calibrated on out-of-fold predictions of these.
+The classifier (the `FEATURES` words and word starts with the greatest chi-square, and
+the models over them) is fitted on at most `FIT_ROWS` labelled documents, those with
+the smallest seeded hashes of their ids. The threshold is calibrated on all labelled
+documents: on out-of-fold predictions of those fitted on, on predictions of the rest.
 
 Defined results: a null, empty or unlabelled text is judged like any other; with no
 labelled documents of one kind nothing is toxic; rows that repeat are judged each;
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,8 @@ STEPS = 300
 #: A clean row lost weighs as much as so many toxic rows missed, each as a share of its kind.
 CLEAN_WEIGHT = 20
 SEED = 8_087
+#: Probabilities are counted in so many bins.
+BINS = 2000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -173,15 +175,27 @@ def choose_categories(x: Sparse, y: np.ndarray, many: int = CATEGORIES) -> np.nd
     return np.argmax(share, axis=0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str = "toxic", fit_rows: int = FIT_ROWS, categories: int = CATEGORIES) -> Chain:
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key), F.col(label).cast("int").alias("toxic"))
+@dataclass(frozen=True)
+class Fitted:
+    """A chain, and what calibrating its threshold needs besides: out-of-fold counts by bin and label, and the last hash fitted on."""
+
+    chain: Chain
+    bins: np.ndarray
+    last_hash: int | None
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str = "toxic", fit_rows: int = FIT_ROWS, categories: int = CATEGORIES) -> Fitted:
     spark = docs.sparkSession
-    # Labels are few and small beside texts; which side is broadcast, if any, is left to their measured sizes.
+    # Of at most fit_rows small rows: no text is shuffled to meet its label.
+    sample = common.settle(_known(labels, key, label).orderBy("hash", key, "label").limit(fit_rows), "toxicity-sample")
+    last_hash = sample.agg(F.max("hash")).first()[0]
+    known = F.broadcast(sample.select(key, F.col("label").alias("toxic")))
     labelled = common.settle(document_features(docs.select(key, text).join(known, key), key, text, ["toxic"]), "toxicity-labelled")
     vocabulary = choose_vocabulary(labelled)
     names = tuple(f"category_{i + 1}" for i in range(categories))
     if not vocabulary:
-        return Chain({}, names, np.zeros((categories + 1, 0)), tuple(np.zeros(i) for i in range(categories + 1)), np.full(categories + 1, -35.0), 1.0)
+        nothing = Chain({}, names, np.zeros((categories + 1, 0)), tuple(np.zeros(i) for i in range(categories + 1)), np.full(categories + 1, -35.0), 1.0)
+        return Fitted(nothing, np.zeros((2, BINS + 1)), last_hash)
     place = {f: i for i, f in enumerate(vocabulary)}
     shared = spark.sparkContext.broadcast(place)
 
@@ -192,16 +206,38 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "toxic", "columns"])
 
     kind = docs.schema[key].dataType.simpleString()
-    small = labelled.select(F.col(key).alias("id"), "toxic", "features").mapInArrow(numbered, f"id {kind}, toxic int, columns array<int>")
-    rows = small.orderBy(F.xxhash64(F.lit(SEED), "id"), "toxic").limit(fit_rows).toArrow()
+    rows = labelled.select(F.col(key).alias("id"), "toxic", "features").mapInArrow(numbered, f"id {kind}, toxic int, columns array<int>").orderBy("id", "toxic", "columns").toArrow()
     y = rows["toxic"].to_numpy().astype(float)
     lists = rows["columns"].combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     x = Sparse(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(y)), sizes), (len(y), len(vocabulary)))
-    return _fit_chain(x, y, place, names)
+    chain, out = _fit_chain(x, y, place, names)
+    bins = np.array([np.bincount((out[y == k] * BINS).astype(np.int64), minlength=BINS + 1) for k in (0, 1)], dtype=float)
+    return Fitted(chain, bins, last_hash)
+
+
+def _known(labels: DataFrame, key: str, label: str) -> DataFrame:
+    return labels.where(F.col(label).isin(0, 1)).select(F.col(key), F.col(label).cast("int").alias("label"), F.xxhash64(F.lit(SEED), key).alias("hash"))
+
+
+def calibrate(fitted: Fitted, scored: DataFrame, labels: DataFrame, key: str, label: str = "toxic") -> Chain:
+    """The chain with the threshold at which clean rows lost and toxic rows missed weigh least, in the middle of equally good ones."""
+    bins = fitted.bins.copy()
+    if fitted.last_hash is not None and bins.any():
+        rest = scored.join(_known(labels, key, label).where(F.col("hash") > fitted.last_hash), key)
+        for r in rest.groupBy(F.floor(F.col("p_toxic") * BINS).cast("int").alias("bin"), "label").count().collect():
+            bins[r["label"], r["bin"]] += r["count"]
+    clean, toxic = bins
+    if not clean.sum() or not toxic.sum():
+        return fitted.chain
+    lost = np.r_[clean[::-1].cumsum()[::-1], 0] / clean.sum()  # clean rows in each bin or above
+    missed = np.r_[0, toxic.cumsum()] / toxic.sum()
+    cost = CLEAN_WEIGHT * lost + missed
+    best = np.flatnonzero(cost <= cost.min() + 1e-12)
+    return replace(fitted.chain, threshold=float(best[0] + best[-1]) / 2 / BINS)
 
 
-def _fit_chain(x: Sparse, y: np.ndarray, place: dict[str, int], names: tuple[str, ...]) -> Chain:
+def _fit_chain(x: Sparse, y: np.ndarray, place: dict[str, int], names: tuple[str, ...]) -> tuple[Chain, np.ndarray]:
     group = choose_categories(x, y, len(names))
     targets = []
     for c in range(len(names)):
@@ -222,23 +258,11 @@ def _fit_chain(x: Sparse, y: np.ndarray, place: dict[str, int], names: tuple[str
         befores.append(b)
         intercepts.append(c)
         past = np.column_stack([past, out])
-    return Chain(place, names, np.array(weights), tuple(befores), np.array(intercepts), _threshold(past[:, -1], y))
-
-
-def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Where clean rows lost and toxic rows missed weigh least, in the middle of equally good values."""
-    order = np.argsort(p)
-    p, y = p[order], y[order]
-    missed = np.r_[0, np.cumsum(y)] / max(y.sum(), 1)
-    lost = 1 - np.r_[0, np.cumsum(1 - y)] / max((1 - y).sum(), 1)
-    edges = np.r_[0.0, (p[:-1] + p[1:]) / 2, 1.0]
-    cost = CLEAN_WEIGHT * lost + missed
-    best = np.flatnonzero(cost <= cost.min() + 1e-12)
-    return float((edges[best[0]] + edges[best[-1]]) / 2)
+    return Chain(place, names, np.array(weights), tuple(befores), np.array(intercepts), 0.5), past[:, -1]
 
 
-def judge(docs: DataFrame, chain: Chain, key: str, text: str) -> DataFrame:
-    """Each row's key, probability of each category and of being toxic, and verdict."""
+def score(docs: DataFrame, chain: Chain, key: str, text: str) -> DataFrame:
+    """Each row's key and probabilities of each category and of being toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = [*(f"p_{c}" for c in chain.categories), "p_toxic"]
 
@@ -246,10 +270,10 @@ def judge(docs: DataFrame, chain: Chain, key: str, text: str) -> DataFrame:
         fitted = shared.value
         for batch in batches:
             p = fitted.predict([x.as_py() for x in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, i]) for i in range(len(names))), pa.array(p[:, -1] > fitted.threshold)], names=[key, *names, "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, i]) for i in range(len(names)))], names=[key, *names])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} double" for n in names) + ", toxic boolean")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} double" for n in names))
 
 
 def keep_rows(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
@@ -267,6 +291,10 @@ def keep_rows(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
-    chain = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "text")
-    return judge(docs, chain, "doc_id", "text")
+    """Every document's probabilities and verdict; kept says the opposite of toxic."""
+    docs, labels = common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fitted = fit(docs, labels, "doc_id", "text")
+    scored = common.settle(score(docs, fitted.chain, "doc_id", "text"), "toxicity-scored")
+    chain = calibrate(fitted, scored, labels, "doc_id")
+    toxic = F.col("p_toxic") > chain.threshold
+    return scored.select("*", toxic.alias("toxic"), (~toxic).alias("kept"))
