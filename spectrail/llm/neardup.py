@@ -12,7 +12,8 @@ every bucket has one leader per band, drawn by a seeded hash; a class meets the
 leaders of its buckets, and of those that survive the one that looks most similar
 is confirmed. After these rounds most of a bucket is one component. What is left,
 pairs in different components where not both are in the bucket's largest, is
-compared in full in blocks, so that no pair that shares a bucket goes unseen.
+compared in full, cell by cell of two bounded blocks, so that no pair that shares a
+bucket goes unseen. A cell gives out the links that join its components, not pairs.
 
 With `BANDS` bands of `BAND_ROWS` rows a pair at the threshold of 0.85 shares none
 with a probability of 8e-7.
@@ -227,11 +228,12 @@ def _star_pairs(members: DataFrame, component: DataFrame | None, round_: int) ->
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b")
 
 
-def _rest_pairs(members: DataFrame, component: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Every remaining pair of a bucket in different components, block by block, that the sequential test keeps.
+def _rest_cells(members: DataFrame, component: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """What is left to confirm, by cells: a block of a bucket's probes against a block of its classes.
 
-    In each bucket the classes outside its largest component are probes; they meet all its classes. A pair is
-    looked at in the first band that it shares only.
+    In each bucket the classes outside its largest component are probes; they meet all its classes in other
+    components. A pair is looked at in the first band that it shares only. Of each cell come a row for each probe
+    that the sequential test leaves candidates, with these in an array, and a row for each class named.
     """
     tagged = members.join(component.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = tagged.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"))
@@ -244,8 +246,9 @@ def _rest_pairs(members: DataFrame, component: DataFrame, sketches: DataFrame, p
     asked = F.transform(F.sequence(one, F.col("target_blocks") - 1), lambda i: F.struct(block(F.col("probe_blocks")).alias("p"), i.alias("t"), F.lit(True).alias("asks")))
     cells = rows.select("bucket", "band", "id", "component", "probe", "n", "sig", F.explode(F.when(F.col("probe"), F.concat(target, asked)).otherwise(target)).alias("c"))
     table = fewest_matches(percent)
+    names = ["bucket", "p", "t", "id", "component", "candidates"]
 
-    def flush(group: list[dict]) -> Iterator[pa.RecordBatch]:
+    def flush(key: tuple, group: list[dict]) -> Iterator[pa.RecordBatch]:
         probes, targets = [g for g in group if g["asks"]], [g for g in group if not g["asks"]]
         if not probes or not targets:
             return
@@ -254,7 +257,8 @@ def _rest_pairs(members: DataFrame, component: DataFrame, sketches: DataFrame, p
         right = np.frombuffer(b"".join(r["sig"] for r in targets), dtype="<u4").reshape(-1, HASHES)
         ids, sizes, parts, probe = (take(targets, c) for c in ("id", "n", "component", "probe"))
         earlier = BAND_ROWS * group[0]["band"]
-        out_a, out_b = [], []
+        named: dict[int, int] = {}
+        out = []
         for i, p in enumerate(probes):
             fits = (parts != p["component"]) & (100 * np.minimum(sizes, p["n"]) >= percent * np.maximum(sizes, p["n"])) & ((probe == 0) | (ids > p["id"]))
             at = np.flatnonzero(fits)
@@ -263,31 +267,89 @@ def _rest_pairs(members: DataFrame, component: DataFrame, sketches: DataFrame, p
                 at = at[~same]
             if len(at):
                 stay, _ = survives(np.broadcast_to(left[i], (len(at), HASHES)), right[at], table)
-                out_a += [p["id"]] * len(stay)
-                out_b += ids[at[stay]].tolist()
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                at = at[stay]
+            if len(at):
+                named[p["id"]] = p["component"]
+                named.update(zip(ids[at].tolist(), parts[at].tolist(), strict=True))
+                out.append((p["id"], p["component"], ids[at].tolist()))
+        rows = [(*key, i, c, None) for i, c in named.items()] + [(*key, *o) for o in out]
+        if rows:
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                key = (row["bucket"], row["p"], row["t"])
-                if key != now:
-                    yield from flush(group)
-                    now, group = key, []
-                group.append(row)
-        yield from flush(group)
+        for key, group in _by_cell(batches):
+            yield from flush(key, group)
 
     return (
         cells.select("bucket", "band", F.col("c.p").alias("p"), F.col("c.t").alias("t"), F.col("c.asks").alias("asks"), "id", "component", "probe", "n", "sig")
         .repartition("bucket", "p", "t")
         .sortWithinPartitions("bucket", "p", "t")
-        .mapInArrow(run, "a long, b long")
-        .distinct()
+        .mapInArrow(run, "bucket long, p int, t int, id long, component long, candidates array<long>")
     )
 
 
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Rows of sorted batches by cell; a cell has two blocks at most."""
+    now, group = None, []
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            for row in batch.slice(at, BLOCK).to_pylist():
+                key = (row["bucket"], row["p"], row["t"])
+                if key != now:
+                    if group:
+                        yield now, group
+                    now, group = key, []
+                group.append(row)
+    if group:
+        yield now, group
+
+
+def _confirm_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of settled cells, confirmed on full sets; no more than join the cell's components are looked for."""
+
+    def links(group: list[dict]) -> Iterator[tuple[int, int]]:
+        full = {r["id"]: np.frombuffer(r["shingles"], dtype=np.uint64) for r in group if r["candidates"] is None}
+        root = {r["id"]: r["component"] for r in group if r["candidates"] is None}
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        for r in group:
+            if r["candidates"] is None:
+                continue
+            own = full[r["id"]]
+            left = r["candidates"]
+            while left:
+                now, left = left[:32], left[32:]
+                now = [t for t in now if top(root[t]) != top(root[r["id"]])]
+                if not now:
+                    continue
+                sizes = np.array([len(full[t]) for t in now])
+                flat = np.concatenate([full[t] for t in now])
+                hits = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                both = np.add.reduceat(hits.astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+                for k in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)):
+                    a, b = top(root[now[k]]), top(root[r["id"]])
+                    if a != b:
+                        above[max(a, b)] = min(a, b)
+                        yield r["id"], now[k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in _by_cell(batches):
+            found = list(links(group))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    named = cells.where("candidates IS NULL").join(sets, "id").select("bucket", "p", "t", "id", "component", "shingles", "candidates")
+    asking = cells.where("candidates IS NOT NULL").select("bucket", "p", "t", "id", "component", F.lit(None).cast("binary").alias("shingles"), "candidates")
+    return named.unionAll(asking).repartition("bucket", "p", "t").sortWithinPartitions("bucket", "p", "t").mapInArrow(run, "a long, b long")
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """Each row's id, set size, component and whether it is the document that its component keeps."""
     profiles = common.settle(profile(docs, key, text, words), "dup-profiles")
@@ -307,8 +369,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         likely = _compare(_star_pairs(members, component, round_), near, percent)
         best = likely.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
         component = _merge_components(component, _confirm(common.settle(best, "dup-star"), sets, percent))
-    rest = common.settle(_rest_pairs(members, component, near, percent), "dup-rest")
-    component = _merge_components(component, _confirm(rest, sets, percent))
+    rest = common.settle(_rest_cells(members, component, near, percent), "dup-rest")
+    component = _merge_components(component, _confirm_cells(rest, sets, percent))
 
     known = common.settle(
         classes.join(component.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id")),
