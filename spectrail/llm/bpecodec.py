@@ -97,24 +97,17 @@ class MergeTable:
         flat, owner = flat[order], owner[order]
         return np.split(flat, np.searchsorted(owner, np.arange(1, len(words))))
 
-    def encode_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
-        """The ids of each chunk; all chunks' pre-tokens are merged together."""
-        parts = [self.bpe.parts(c) for c in chunks]
-        words = list({p.encode("utf-8"): None for ps in parts for p in ps if isinstance(p, str)})
-        ids: dict[bytes, np.ndarray] = {}
+    def encode_words(self, words: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each word, merged a bounded number of symbols at a time."""
+        raw = [w.encode("utf-8") for w in words]
         at = 0
-        while at < len(words):
+        while at < len(raw):
             to, size = at, 0
-            while to < len(words) and (to == at or size + len(words[to]) <= FLAT_SYMBOLS):
-                size += len(words[to])
+            while to < len(raw) and (to == at or size + len(raw[to]) <= FLAT_SYMBOLS):
+                size += len(raw[to])
                 to += 1
-            ids.update(zip(words[at:to], self.merge(words[at:to]), strict=True))
+            yield from self.merge(raw[at:to])
             at = to
-        empty = np.zeros(0, dtype=np.int64)
-        return [
-            np.concatenate([np.array([p]) if isinstance(p, int) else ids[p.encode("utf-8")] for p in ps]) if len(ps) > 1 else empty if not ps else np.array(ps) if isinstance(ps[0], int) else ids[ps[0].encode("utf-8")]
-            for ps in parts
-        ]
 
 
 @functools.cache
@@ -124,7 +117,7 @@ def merge_table(path: str) -> MergeTable:
 
 def encode(text: str | None, path: str) -> list[int]:
     """The ids of one text."""
-    return [int(i) for _, found in _id_cache(path).look_up([text]) for ids, _, _ in found for i in np.frombuffer(ids, dtype="<u4")]
+    return [int(i) for _, found in _id_cache(path).look_up([text]) for ids, _ in found for i in np.frombuffer(ids, dtype="<u4")]
 
 
 def decode(ids: list[int], path: str) -> str:
@@ -135,13 +128,19 @@ def decode(ids: list[int], path: str) -> str:
 
 @functools.cache
 def _id_cache(path: str) -> wordbpe.ChunkCache:
+    """Each chunk's packed ids and the bytes they decode to."""
     table = merge_table(path)
     tokens = {i: t.encode("utf-8") for i, t in table.bpe.tokens.items()}
+    pack = lambda ids: (np.asarray(ids, dtype="<u4").tobytes(), b" ".join([tokens[int(i)] for i in ids]))
 
-    def values(chunks: list[bytes]) -> list[tuple[bytes, bytes, int]]:
-        return [(ids.astype("<u4").tobytes(), b" ".join([tokens[i] for i in ids.tolist()]), len(ids)) for ids in table.encode_chunks(chunks)]
+    def values(words: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        for ids in table.encode_words(words):
+            yield ids.astype("<u4").tobytes(), b" ".join([tokens[i] for i in ids.tolist()])
 
-    return wordbpe.ChunkCache(values)
+    def combine(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
+
+    return wordbpe.ChunkCache(table.bpe, values, lambda i: pack([i]), combine)
 
 
 def encode_decode(docs: DataFrame, key: str, text: str, tokenizer_path: str, with_output: bool = True) -> DataFrame:
@@ -153,7 +152,7 @@ def encode_decode(docs: DataFrame, key: str, text: str, tokenizer_path: str, wit
             counts, packed_sha, text_sha, packed, texts = [], [], [], [], []
             for _, found in cache.look_up(x.as_py() for x in batch.column(1)):
                 ids = b"".join([f[0] for f in found])
-                decoded = b" ".join([f[1] for f in found if f[2]])
+                decoded = b" ".join([f[1] for f in found if f[0]])
                 counts.append(len(ids) // 4)
                 packed_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(decoded).hexdigest())

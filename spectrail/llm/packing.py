@@ -41,6 +41,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Rounds of multiplicative weights, and how sharply weights fall.
 ROUNDS = 120
 STEP = 0.5
+WORDS_AT_ONCE = 2000
 #: Lengths that a pricing round looks at: those of the highest value for their length.
 PRICED = 96
 
@@ -51,10 +52,22 @@ def _chunk_ids(path: str) -> wordbpe.ChunkCache:
     library.no_truncation()
     library.no_padding()
 
-    def encode(chunks: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)]
-
-    return wordbpe.ChunkCache(encode)
+    bpe = wordbpe.load(path)
+    ends = np.array([bpe.tokens.get(i, "").endswith(bpe.suffix) for i in range(max(bpe.tokens) + 1)])
+
+    def encode(words: list[str]) -> Iterator[bytes]:
+        """Words go to the library many in one text; each ends with the one token that has the end-of-word suffix."""
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at : at + WORDS_AT_ONCE]
+            ids = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                yield from map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))
+            else:  # the library cuts one of them further
+                yield from (np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(part, add_special_tokens=False))
+
+    return wordbpe.ChunkCache(bpe, encode, lambda i: np.array([i], dtype="<u4").tobytes(), b"".join)
 
 
 def cut_pieces(docs: DataFrame, key: str, text: str, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

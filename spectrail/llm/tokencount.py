@@ -63,23 +63,17 @@ def count_merges(symbols: list[int], merges: dict[tuple[int, int], tuple[int, in
     return merged
 
 
-def count_chunk(bpe: wordbpe.WordBPE, chunk: bytes) -> int:
-    total = 0
-    for part in bpe.parts(chunk):
-        if isinstance(part, int):
-            total += 1
-            continue
-        raw = part.encode("utf-8")
-        symbols = [bpe.inside_list[b] for b in raw]
-        symbols[-1] = bpe.last_list[raw[-1]]
-        total += len(raw) - count_merges(symbols, bpe.merges)
-    return total
+def count_word(bpe: wordbpe.WordBPE, word: str) -> int:
+    raw = word.encode("utf-8")
+    symbols = [bpe.inside_list[b] for b in raw]
+    symbols[-1] = bpe.last_list[raw[-1]]
+    return len(raw) - count_merges(symbols, bpe.merges)
 
 
 @functools.cache
 def chunk_counts(path: str) -> wordbpe.ChunkCache:
     bpe = wordbpe.load(path)
-    return wordbpe.ChunkCache(lambda chunks: [count_chunk(bpe, c) for c in chunks])
+    return wordbpe.ChunkCache(bpe, lambda words: [count_word(bpe, w) for w in words], lambda _: 1, sum)
 
 
 def count_tokens(docs: DataFrame, key: str, text: str, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:

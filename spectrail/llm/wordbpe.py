@@ -15,13 +15,16 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import regex
 
-#: Chunks kept per Python worker; beyond that the cache starts anew. Longer chunks are encoded each time.
+#: Chunks and pre-tokens kept per Python worker, twice: when as many are new, those not seen since the last time are
+#: forgotten. Longer chunks are encoded each time.
 CACHE_CHUNKS = 300_000
+CACHE_WORDS = 200_000
 CACHE_CHUNK_BYTES = 96
 
 #: Fixed values. Capitals newer than Python's case table, and unassigned code points that the regex module takes for letters.
 NEW_CAPITALS = {0xA7CB: 0x264, 0xA7DC: 0x19B}
 NOT_LETTERS = "".join(map(chr, (0x32808, 0x3285C, 0x32988, 0x3D808, 0x3D85C, 0x3D988, 0x3E808, 0x3E85C, 0x3E988, 0x3F808, 0x3F85C, 0x3F988)))
+LATIN_END = "\u0130"
 RARE = regex.compile(f"[{NOT_LETTERS}]")
 
 
@@ -74,6 +77,12 @@ class WordBPE:
     def parts(self, chunk: bytes) -> list[str | int]:
         """A chunk's pre-tokens, and the ids of special tokens between them."""
         text = chunk.decode("utf-8")
+        # Latin letters, perhaps with one mark after them, are most chunks; they are composed already.
+        if max(text) < LATIN_END:
+            if text.isalpha():
+                return [text.lower()]
+            if text[-1] in ".,;:!?" and text[:-1].isalpha():
+                return [text[:-1].lower(), text[-1]]
         if "<|" not in text:
             return self.pretokens(text)
         out: list[str | int] = []
@@ -88,13 +97,21 @@ def load(path: str) -> WordBPE:
 
 
 class ChunkCache:
-    """What `encode` gives for chunks, computed once for each chunk while it stays in the cache."""
+    """The values of texts' chunks, made from the values of their pre-tokens; both are kept while they fit.
 
-    def __init__(self, encode: Callable[[list[bytes]], Iterable]):
-        self.encode, self.known = encode, {}
+    `encode` gives the values of new pre-tokens, `special` that of a special token's id, `combine` that of a chunk
+    from its parts'.
+    """
+
+    def __init__(self, bpe: WordBPE, encode: Callable[[list[str]], Iterable], special: Callable[[int], object], combine: Callable[[list], object]):
+        self.bpe, self.encode, self.special, self.combine = bpe, encode, special, combine
+        self.known: dict[bytes, object] = {}
+        self.words: dict[str, object] = {}
+        self.old_known: dict[bytes, object] = {}
+        self.old_words: dict[str, object] = {}
 
     def look_up(self, texts: Iterable[str | None], wanted_bytes: int = 4 << 20) -> Iterator[tuple[int, list]]:
-        """Each text's UTF-8 length and its chunks' values; new chunks of many texts are encoded together."""
+        """Each text's UTF-8 length and its chunks' values; new pre-tokens of many texts are encoded together."""
         held: list[tuple[int, list[bytes]]] = []
         size = 0
         for text in texts:
@@ -107,12 +124,41 @@ class ChunkCache:
         yield from self._flush(held)
 
     def _flush(self, held: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, list]]:
-        known = self.known
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
-        fresh = list(set().union(*[chunks for _, chunks in held]).difference(known)) if held else []
-        passing = {}
-        for chunk, value in zip(fresh, self.encode(fresh) if fresh else (), strict=True):
-            (known if len(chunk) <= CACHE_CHUNK_BYTES else passing)[chunk] = value
+        if len(self.known) > CACHE_CHUNKS:
+            self.old_known, self.known = self.known, {}
+        if len(self.words) > CACHE_WORDS:
+            self.old_words, self.words = self.words, {}
+        known, old = self.known, self.old_known
+        fresh = set().union(*[chunks for _, chunks in held]).difference(known)
+        back = fresh.intersection(old)
+        known.update(zip(back, map(old.__getitem__, back), strict=True))
+        fresh = list(fresh.difference(back))
+        passing = self._encode_chunks(fresh) if fresh else {}
         for n, chunks in held:
             yield n, [known[c] if c in known else passing[c] for c in chunks] if passing else list(map(known.__getitem__, chunks))
+
+    def _encode_chunks(self, chunks: list[bytes]) -> dict[bytes, object]:
+        """Put the chunks' values into the cache, and give back those of chunks too long for it."""
+        parts = [self.bpe.parts(c) for c in chunks]
+        values, old = self.words, self.old_words
+        fresh = {w for ps in parts for w in ps if w.__class__ is str}.difference(values)
+        back = fresh.intersection(old)
+        values.update(zip(back, map(old.__getitem__, back), strict=True))
+        fresh = list(fresh.difference(back))
+        long: dict[str, object] = {}
+        for word, value in zip(fresh, self.encode(fresh) if fresh else (), strict=True):
+            (values if len(word) <= CACHE_CHUNK_BYTES else long)[word] = value
+        if long:
+            values = values | long
+        passing = {}
+        known, combine = self.known, self.combine
+        for chunk, ps in zip(chunks, parts, strict=True):
+            try:
+                value = values[ps[0]] if len(ps) == 1 else combine([values[p] for p in ps])
+            except KeyError:  # ids of special tokens are no pre-tokens
+                value = combine([values[p] if p.__class__ is str else self.special(p) for p in ps])
+            if len(chunk) <= CACHE_CHUNK_BYTES:
+                known[chunk] = value
+            else:
+                passing[chunk] = value
+        return passing
