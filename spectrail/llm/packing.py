@@ -70,6 +70,24 @@ def _chunk_ids(path: str) -> wordbpe.ChunkCache:
     return wordbpe.ChunkCache(bpe, encode, lambda i: np.array([i], dtype="<u4").tobytes(), b"".join)
 
 
+def _joined_ids(cache: wordbpe.ChunkCache, texts: pa.Array) -> Iterator[np.ndarray]:
+    """Each text's ids: those of its chunks, gathered from the ids of all distinct chunks."""
+    for sizes, values, numbers, ends in cache.look_up_arrow(texts):
+        if len(sizes) == 1:  # perhaps a very long text
+            yield np.frombuffer(b"".join([values[i] for i in numbers.tolist()]), dtype="<u4")
+            continue
+        flat = np.frombuffer(b"".join(values), dtype="<u4")
+        counts = np.fromiter(map(len, values), dtype=np.int32, count=len(values)) // 4
+        starts = (np.cumsum(counts) - counts).astype(np.int32)
+        each = counts[numbers]
+        till = np.cumsum(each)
+        source = np.repeat(starts[numbers] - (till - each).astype(np.int32), each)
+        source += np.arange(len(source), dtype=np.int32)
+        gathered = flat[source]
+        bounds = np.r_[0, till][np.r_[0, ends]]
+        yield from (gathered[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+
+
 def cut_pieces(docs: DataFrame, key: str, text: str, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Each document's pieces, with their task's number and their rank in the task among pieces of their length.
 
@@ -83,21 +101,25 @@ def cut_pieces(docs: DataFrame, key: str, text: str, tokenizer_path: str, capaci
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             owner, piece, start, length, crc, rank, packed = [], [], [], [], [], [], []
-            for row, (_, found) in enumerate(cache.look_up(x.as_py() for x in batch.column(1))):
-                found.append(end)
-                ids = b"".join(found)
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    n = len(part) // 4
+            for row, ids in enumerate(_joined_ids(cache, batch.column(1))):
+                total = len(ids) + 1
+                for k, at in enumerate(range(0, total, capacity)):
+                    part = ids[at : at + capacity]
+                    n = min(capacity, total - at)
+                    last = zlib.crc32(part)
+                    if n > len(part):
+                        last = zlib.crc32(end, last)
+                        if with_ids:
+                            part = np.append(part, np.uint32(END_ID))
                     owner.append(row)
                     piece.append(k)
-                    start.append(at // 4)
+                    start.append(at)
                     length.append(n)
-                    crc.append(zlib.crc32(part))
+                    crc.append(last)
                     rank.append(seen[n])
                     seen[n] += 1
                     if with_ids:
-                        packed.append(np.frombuffer(part, dtype="<u4").astype(np.int64))
+                        packed.append(part.astype(np.int64))
             arrays = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(owner), pa.int32()), pa.array(rank, pa.int64())]
             names = [key, "piece", "start", "length", "ids_crc32", "task", "task_rank"]
             if with_ids:

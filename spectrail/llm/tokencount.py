@@ -16,6 +16,7 @@ import functools
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -82,12 +83,14 @@ def count_tokens(docs: DataFrame, key: str, text: str, tokenizer_path: str, limi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = chunk_counts(tokenizer_path)
         for batch in batches:
-            sizes, counts = [], []
-            for n, found in cache.look_up(x.as_py() for x in batch.column(1)):
-                sizes.append(n)
-                counts.append(sum(found))
+            sizes, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for size, values, numbers, ends in cache.look_up_arrow(batch.column(1)):
+                upto = np.r_[0, np.cumsum(np.array(values, dtype=np.int64)[numbers])]
+                sizes.append(size)
+                counts.append(np.diff(upto[np.r_[0, ends]]))
+            size, count = np.concatenate(sizes), np.concatenate(counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
+                [batch.column(0), pa.array(size), pa.array(count), pa.array(count > limit)],
                 names=[key, "n_bytes", "n_tokens", "over_limit"],
             )
 

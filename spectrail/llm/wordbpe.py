@@ -10,9 +10,12 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
+from collections import ChainMap
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Chunks and pre-tokens kept per Python worker, twice: when as many are new, those not seen since the last time are
@@ -76,6 +79,8 @@ class WordBPE:
 
     def parts(self, chunk: bytes) -> list[str | int]:
         """A chunk's pre-tokens, and the ids of special tokens between them."""
+        if not chunk:
+            return []
         text = chunk.decode("utf-8")
         # Latin letters, perhaps with one mark after them, are most chunks; they are composed already.
         if max(text) < LATIN_END:
@@ -110,7 +115,21 @@ class ChunkCache:
         self.old_known: dict[bytes, object] = {}
         self.old_words: dict[str, object] = {}
 
-    def look_up(self, texts: Iterable[str | None], wanted_bytes: int = 4 << 20) -> Iterator[tuple[int, list]]:
+    def values(self, chunks: Iterable[bytes]) -> dict[bytes, object]:
+        """A mapping that holds the values of the chunks, among others."""
+        if len(self.known) > CACHE_CHUNKS:
+            self.old_known, self.known = self.known, {}
+        if len(self.words) > CACHE_WORDS:
+            self.old_words, self.words = self.words, {}
+        known, old = self.known, self.old_known
+        fresh = set(chunks).difference(known)
+        back = fresh.intersection(old)
+        known.update(zip(back, map(old.__getitem__, back), strict=True))
+        fresh = list(fresh.difference(back))
+        passing = self._encode_chunks(fresh) if fresh else {}
+        return ChainMap(known, passing) if passing else known
+
+    def look_up(self, texts: Iterable[str | None], wanted_bytes: int = 16 << 20) -> Iterator[tuple[int, list]]:
         """Each text's UTF-8 length and its chunks' values; new pre-tokens of many texts are encoded together."""
         held: list[tuple[int, list[bytes]]] = []
         size = 0
@@ -124,18 +143,24 @@ class ChunkCache:
         yield from self._flush(held)
 
     def _flush(self, held: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, list]]:
-        if len(self.known) > CACHE_CHUNKS:
-            self.old_known, self.known = self.known, {}
-        if len(self.words) > CACHE_WORDS:
-            self.old_words, self.words = self.words, {}
-        known, old = self.known, self.old_known
-        fresh = set().union(*[chunks for _, chunks in held]).difference(known)
-        back = fresh.intersection(old)
-        known.update(zip(back, map(old.__getitem__, back), strict=True))
-        fresh = list(fresh.difference(back))
-        passing = self._encode_chunks(fresh) if fresh else {}
+        found = self.values(set().union(*[chunks for _, chunks in held]))
         for n, chunks in held:
-            yield n, [known[c] if c in known else passing[c] for c in chunks] if passing else list(map(known.__getitem__, chunks))
+            yield n, list(map(found.__getitem__, chunks))
+
+    def look_up_arrow(self, texts: pa.Array, wanted_bytes: int = 8 << 20) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
+        """The same for a string array, some rows at a time: the rows' UTF-8 lengths, the values of the distinct chunks, each chunk's place among them, and each row's end."""
+        texts = pc.fill_null(texts, "")
+        ends = pc.cumulative_sum(pc.binary_length(texts).cast(pa.int64())).to_numpy() if len(texts) else np.zeros(0, dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + wanted_bytes, side="right")))
+            part = pc.ascii_split_whitespace(texts.slice(at, to - at))
+            coded = part.flatten().dictionary_encode()
+            distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+            found = self.values(distinct)
+            offsets = part.offsets.to_numpy()
+            yield np.diff(ends[at:to], prepend=ends[at - 1] if at else 0), list(map(found.__getitem__, distinct)), coded.indices.to_numpy(), offsets[1:] - offsets[0]
+            at = to
 
     def _encode_chunks(self, chunks: list[bytes]) -> dict[bytes, object]:
         """Put the chunks' values into the cache, and give back those of chunks too long for it."""
