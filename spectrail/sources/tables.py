@@ -25,7 +25,7 @@ C_UM_HZ = units.C_UM
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line number within its file from 1, text; files are read whole, so that numbers are exact."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
     return files.select("file", F.posexplode("lines").alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
@@ -140,7 +140,7 @@ def _votable_rows(raw: bytes) -> Iterator[dict]:
 
 
 def read_votable_photometry(spark: SparkSession, path: str) -> DataFrame:
-    """filter, flux, err and unit of the columns sed_filter, sed_flux and sed_eflux; one file a row until parsed."""
+    """filter, flux, err and unit of the columns sed_filter, sed_flux and sed_eflux, empty cells null; one file a row until parsed."""
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
