@@ -162,39 +162,45 @@ def _best_configuration(lengths: np.ndarray, values: np.ndarray, limits: np.ndar
     return chosen
 
 
-def _fill(lengths: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
-    """One configuration of what is left: the longest piece, then the fullest filling of the rest from long to short."""
+def _fill(lengths: np.ndarray, left: np.ndarray, capacity: int, exact: bool) -> np.ndarray:
+    """One configuration of what is left, from long to short; `exact` looks for a full filling in place of its shortest pieces."""
     chosen = np.zeros(len(lengths), dtype=np.int64)
     room = capacity
     live = np.flatnonzero(left)[::-1]
-    for i in live:
-        if lengths[i] > room:
-            continue
-        k = min(int(left[i]), room // int(lengths[i]))
-        if i != live[0]:
-            # One piece at a time beside the longest one leaves room for better fits.
-            k = min(k, max(1, k - 1)) if room - k * int(lengths[i]) else k
-        else:
-            k = 1
-        chosen[i] += k
-        room -= k * int(lengths[i])
-        if room < lengths[live[-1]]:
+    shortest = int(lengths[live[-1]])
+    at = 0
+    while room >= shortest and at < len(live):
+        # The next length that fits; lengths ascend, so that it is found by bisection.
+        at = max(at, len(live) - int(np.searchsorted(lengths[live[::-1]], room, side="right")))
+        if at == len(live):
             break
-    if room:  # swap the last choice for an exact filling, if there is one
-        last = np.flatnonzero(chosen)
-        first = int(live[0])
-        others = [i for i in last if i != first]
-        if others:
-            small = min(others)
-            room += int(chosen[small] * lengths[small])
-            chosen[small] = 0
-            free = left - chosen
-            within = np.flatnonzero((free > 0) & (lengths <= room))[::-1][:PRICED]
-            if len(within):
-                chosen[within] += _best_configuration(lengths[within], lengths[within].astype(float), free[within], room)
+        i = live[at]
+        chosen[i] = min(int(left[i]), room // int(lengths[i]))
+        room -= int(chosen[i] * lengths[i])
+        at += 1
+    if room and exact:
+        small = int(np.flatnonzero(chosen)[0])
+        if chosen[small] > 1 or small != live[0]:
+            free = 1 if small == live[0] else int(chosen[small])
+            chosen[small] -= free
+            room += free * int(lengths[small])
+            rest = left - chosen
+            within = np.flatnonzero((rest > 0) & (lengths <= room))[::-1][:PRICED]
+            chosen[within] += _best_configuration(lengths[within], lengths[within].astype(float), rest[within], room)
     return chosen
 
 
+def _fill_all(lengths: np.ndarray, left: np.ndarray, capacity: int, exact: bool) -> list[tuple[np.ndarray, int]]:
+    plan = []
+    while left.any():
+        chosen = _fill(lengths, left, capacity, exact)
+        inside = chosen > 0
+        times = int(np.min(left[inside] // chosen[inside]))
+        plan.append((chosen, times))
+        left = left - times * chosen
+    return plan
+
+
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """Configurations with how many sequences use each; together they hold every piece exactly once."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
@@ -232,12 +238,11 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
             if times > 0 and int(chosen @ lengths) >= capacity * 0.995:
                 plan.append((chosen, times))
                 left = left - times * chosen
-        while left.any():
-            chosen = _fill(lengths, left, capacity)
-            inside = chosen > 0
-            times = int(np.min(left[inside] // chosen[inside]))
-            plan.append((chosen, times))
-            left = left - times * chosen
+        plan += _fill_all(lengths, left, capacity, True)
+        # Without the program's help, longest first: in small or odd histograms that can need fewer.
+        plain = _fill_all(lengths, np.array([histogram[i] for i in lengths.tolist()], dtype=np.int64), capacity, False)
+        if sum(m for _, m in plain) < sum(m for _, m in plan):
+            plan = plain
     return [({int(lengths[i]): int(c[i]) for i in np.flatnonzero(c)}, m) for c, m in plan]
 
 
