@@ -33,16 +33,16 @@ def interpolate(samples: DataFrame, targets: DataFrame, keys: list[str], x: str,
     extra = [c for c in targets.columns if c not in (*keys, x)]
     point = F.struct(fx(F.col(x)).alias("x"), fy(F.col(y)).alias("y"))
     none = F.lit(None)
-    known = samples.select(*keys, F.col(x).alias("_x"), F.lit(0).alias("_kind"), point.alias("_p"))
-    asked = targets.select(*keys, F.col(x).alias("_x"), F.lit(1).alias("_kind"), F.struct(F.lit(1).alias("_"), *extra).alias("_rest"))
+    known = samples.select(*keys, F.col(x).alias("_x"), F.lit(0).alias("_kind"), F.col(y).alias("_y"), point.alias("_p"))
+    asked = targets.select(*keys, F.col(x).alias("_x"), F.lit(1).alias("_kind"), none.cast("double").alias("_y"), F.struct(F.lit(1).alias("_"), *extra).alias("_rest"))
     both = known.withColumn("_rest", none.cast(asked.schema["_rest"].dataType)).unionByName(asked.withColumn("_p", none.cast(known.schema["_p"].dataType)))
-    up = W.partitionBy(*keys).orderBy("_x", "_kind", "_p.y")
+    up = W.partitionBy(*keys).orderBy("_x", "_kind", "_y")
     before, after = up.rowsBetween(W.unboundedPreceding, 0), up.rowsBetween(1, W.unboundedFollowing)
     held = both.withColumn("_lo", F.last("_p", True).over(before)).withColumn("_hi", F.first("_p", True).over(after))
     if outside == "extrapolate":
         # The two samples before the first and behind the last bracket are that bracket itself.
         nth = lambda f, n: F.nth_value("_p", n, True).over(f)
-        down = W.partitionBy(*keys).orderBy(F.col("_x").desc(), F.col("_kind").desc(), F.col("_p.y").desc()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        down = W.partitionBy(*keys).orderBy(F.col("_x").desc(), F.col("_kind").desc(), F.col("_y").desc()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         all_up = up.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         held = held.withColumn("_l2", nth(down, 2)).withColumn("_r2", nth(all_up, 2)).withColumn("_lo2", F.when(F.col("_lo").isNull(), F.col("_hi")).when(F.col("_hi").isNull(), F.col("_l2")).otherwise(F.col("_lo")))
         held = held.withColumn("_hi2", F.when(F.col("_lo").isNull(), F.col("_r2")).when(F.col("_hi").isNull(), F.col("_lo")).otherwise(F.col("_hi")))
