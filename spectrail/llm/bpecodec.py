@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -137,7 +137,7 @@ def _id_cache(path: str) -> wordbpe.ChunkCache:
         for ids in table.encode_words(words):
             yield ids.astype("<u4").tobytes(), b" ".join([tokens[i] for i in ids.tolist()])
 
-    def combine(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    def combine(parts: Sequence[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
         return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
 
     return wordbpe.ChunkCache(table.bpe, values, lambda i: pack([i]), combine)

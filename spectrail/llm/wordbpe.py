@@ -11,7 +11,7 @@ import functools
 import json
 import unicodedata
 from collections import ChainMap
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +20,15 @@ import regex
 
 #: Chunks and pre-tokens kept per Python worker, twice: when as many are new, those not seen since the last time are
 #: forgotten. Longer chunks are encoded each time.
-CACHE_CHUNKS = 300_000
-CACHE_WORDS = 200_000
+CACHE_CHUNKS = 400_000
+CACHE_WORDS = 250_000
 CACHE_CHUNK_BYTES = 96
 
 #: Fixed values. Capitals newer than Python's case table, and unassigned code points that the regex module takes for letters.
 NEW_CAPITALS = {0xA7CB: 0x264, 0xA7DC: 0x19B}
 NOT_LETTERS = "".join(map(chr, (0x32808, 0x3285C, 0x32988, 0x3D808, 0x3D85C, 0x3D988, 0x3E808, 0x3E85C, 0x3E988, 0x3F808, 0x3F85C, 0x3F988)))
 LATIN_END = "\u0130"
+MARKS = frozenset(".,;:!?")
 RARE = regex.compile(f"[{NOT_LETTERS}]")
 
 
@@ -82,12 +83,6 @@ class WordBPE:
         if not chunk:
             return []
         text = chunk.decode("utf-8")
-        # Latin letters, perhaps with one mark after them, are most chunks; they are composed already.
-        if max(text) < LATIN_END:
-            if text.isalpha():
-                return [text.lower()]
-            if text[-1] in ".,;:!?" and text[:-1].isalpha():
-                return [text[:-1].lower(), text[-1]]
         if "<|" not in text:
             return self.pretokens(text)
         out: list[str | int] = []
@@ -108,7 +103,7 @@ class ChunkCache:
     from its parts'.
     """
 
-    def __init__(self, bpe: WordBPE, encode: Callable[[list[str]], Iterable], special: Callable[[int], object], combine: Callable[[list], object]):
+    def __init__(self, bpe: WordBPE, encode: Callable[[list[str]], Iterable], special: Callable[[int], object], combine: Callable[[Sequence], object]):
         self.bpe, self.encode, self.special, self.combine = bpe, encode, special, combine
         self.known: dict[bytes, object] = {}
         self.words: dict[str, object] = {}
@@ -147,7 +142,7 @@ class ChunkCache:
         for n, chunks in held:
             yield n, list(map(found.__getitem__, chunks))
 
-    def look_up_arrow(self, texts: pa.Array, wanted_bytes: int = 8 << 20) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
+    def look_up_arrow(self, texts: pa.Array, wanted_bytes: int = 16 << 20) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
         """The same for a string array, some rows at a time: the rows' UTF-8 lengths, the values of the distinct chunks, each chunk's place among them, and each row's end."""
         texts = pc.fill_null(texts, "")
         ends = pc.cumulative_sum(pc.binary_length(texts).cast(pa.int64())).to_numpy() if len(texts) else np.zeros(0, dtype=np.int64)
@@ -164,9 +159,26 @@ class ChunkCache:
 
     def _encode_chunks(self, chunks: list[bytes]) -> dict[bytes, object]:
         """Put the chunks' values into the cache, and give back those of chunks too long for it."""
-        parts = [self.bpe.parts(c) for c in chunks]
+        lone, lone_words, marked, marked_words, marks, others = [], [], [], [], [], []
+        for chunk in chunks:
+            text = chunk.decode("utf-8")
+            # Most chunks are Latin letters, composed already, perhaps with one mark after them.
+            if 0 < len(chunk) <= CACHE_CHUNK_BYTES and (text.isascii() or max(text) < LATIN_END):
+                if text.isalpha():
+                    lone.append(chunk)
+                    lone_words.append(text.lower())
+                    continue
+                body, mark = text[:-1], text[-1]
+                if mark in MARKS and body.isalpha():
+                    marked.append(chunk)
+                    marked_words.append(body.lower())
+                    marks.append(mark)
+                    continue
+            others.append(chunk)
+        parts = [self.bpe.parts(c) for c in others]
+
         values, old = self.words, self.old_words
-        fresh = {w for ps in parts for w in ps if w.__class__ is str}.difference(values)
+        fresh = {w for ps in parts for w in ps if w.__class__ is str}.union(lone_words, marked_words, marks).difference(values)
         back = fresh.intersection(old)
         values.update(zip(back, map(old.__getitem__, back), strict=True))
         fresh = list(fresh.difference(back))
@@ -174,16 +186,12 @@ class ChunkCache:
         for word, value in zip(fresh, self.encode(fresh) if fresh else (), strict=True):
             (values if len(word) <= CACHE_CHUNK_BYTES else long)[word] = value
         if long:
-            values = values | long
-        passing = {}
-        known, combine = self.known, self.combine
-        for chunk, ps in zip(chunks, parts, strict=True):
-            try:
-                value = values[ps[0]] if len(ps) == 1 else combine([values[p] for p in ps])
-            except KeyError:  # ids of special tokens are no pre-tokens
-                value = combine([values[p] if p.__class__ is str else self.special(p) for p in ps])
-            if len(chunk) <= CACHE_CHUNK_BYTES:
-                known[chunk] = value
-            else:
-                passing[chunk] = value
+            values = ChainMap(long, values)
+
+        known, combine, get, passing = self.known, self.combine, values.__getitem__, {}
+        known.update(zip(lone, map(get, lone_words), strict=True))
+        known.update(zip(marked, map(combine, zip(map(get, marked_words), map(get, marks), strict=True)), strict=True))
+        for chunk, ps in zip(others, parts, strict=True):
+            value = combine([get(p) if p.__class__ is str else self.special(p) for p in ps])
+            (known if len(chunk) <= CACHE_CHUNK_BYTES else passing)[chunk] = value
         return passing
