@@ -4,7 +4,8 @@ Each stage takes what its predecessor kept, with the columns of documents, and j
 it anew: forest, classifier and thresholds are fitted on the labelled documents still
 there. Its decisions take effect in its result. The last stage returns the packed
 pieces. Texts that are null or empty fail the quality rules; repeated rows of one
-document stay together until the near-duplicate stage keeps one of them.
+document stay together until the near-duplicate stage keeps one of them; a row
+without an id is a document of its own there.
 """
 
 from __future__ import annotations
@@ -32,9 +33,14 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
+    """One document of each group of near-duplicates, that with the smallest id, and one row of it."""
     dropped = common.settle(neardup.link(docs, "doc_id", "text").where(~F.col("kept")).select("doc_id").distinct(), "dup-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = common.settle(kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "dup-repeated")
+    if repeated.isEmpty():
+        return kept
+    # Only rows that share an id are shuffled with their texts.
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionAll(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
 
 
 def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

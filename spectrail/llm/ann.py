@@ -286,7 +286,12 @@ def _query_blocks(queries: DataFrame) -> DataFrame:
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM_SEARCH) -> DataFrame:
     """Each query's k nearest: query_id, rank, vec_id, score. `graphs` is a settled index, `queries` has id and v."""
-    blocks = _query_blocks(queries).join(graphs.select("dim", "shard"), "dim").select("dim", "shard", F.lit(1).alias("kind"), F.col("block").alias("blob"))
+    # Vectors come in few lengths; every block goes to each shard of its length, a stated query set against all rows.
+    counts = {r["dim"]: r["n"] for r in graphs.groupBy("dim").agg(F.count(F.lit(1)).cast("int").alias("n")).collect()}
+    if not counts:
+        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shards = F.try_element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("dim"))
+    blocks = _query_blocks(queries).select("dim", F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"), F.lit(1).alias("kind"), F.col("block").alias("blob"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _groups(batches, ("dim", "shard")):
