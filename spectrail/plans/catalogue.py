@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spectrail.plans import modelling, observations, posteriors
+from spectrail.plans import modelling, observations, posteriors, views
 
-PARTS = (observations, modelling, posteriors)
+PARTS = (observations, modelling, posteriors, views)
 
 
 def queries() -> dict:
