@@ -26,12 +26,42 @@ def burn_in(chains: DataFrame, steps: int, step: str = "step") -> DataFrame:
 
 
 def credible_interval(df: DataFrame, keys: list[str], value: str, percentiles: tuple[float, float, float] = PERCENTILES) -> DataFrame:
-    """Exact percentiles as the middle and the distances up and down."""
+    """Exact percentiles as the middle and the distances up and down; a key's distinct values fit one task's memory."""
     low, mid, high = (F.element_at("q", i) for i in (1, 2, 3))
     q = F.percentile(F.col(value), F.array(*[F.lit(p / 100) for p in percentiles]))
     return df.groupBy(*keys).agg(q.alias("q")).select(*keys, mid.alias("median"), (high - mid).alias("plus"), (mid - low).alias("minus"))
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float], bins: int = 4096) -> DataFrame:
+    """Quantiles with linear interpolation, as key, probability and quantile, for keys too large for one task's memory.
+
+    A pass counts each key's values in equal bins; only the bins that hold a wanted rank are looked into, by
+    counts of distinct values. Null and NaN values don't count.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    place = F.coalesce(F.least(F.floor(F.try_divide((F.col("_v") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))), F.lit(bins - 1)), F.lit(0))
+    binned = rows.join(whole, keys).withColumn("_b", place)
+    counts = binned.groupBy(*keys, "_n", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.withColumn("_s", F.sum("_c").over(W.partitionBy(*keys).orderBy("_b")) - F.col("_c"))
+    wanted = F.array(*[F.struct(F.lit(p).alias("probability"), (F.col("_n") - 1) * p) for p in probabilities])
+    asked = before.select(*keys, "_n", "_b", "_c", "_s", F.explode(wanted).alias("w")).select(*keys, "_b", "_c", "_s", "w.probability", F.col("w.col2").alias("_h"))
+    asked = asked.withColumn("_k", F.explode(F.array(F.floor("_h"), F.ceil("_h")))).where("_k >= _s AND _k < _s + _c")
+    inside = binned.join(asked.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    upto = F.sum("_m").over(W.partitionBy(*keys, "_b").orderBy("_v"))
+    ranked = inside.select(*keys, "_b", "_v", upto.alias("_to"), (upto - F.col("_m")).alias("_from"))
+    hit = asked.join(ranked, [*keys, "_b"]).where("_k - _s >= _from AND _k - _s < _to")
+    low, high = F.min("_v"), F.max("_v")
+    return hit.groupBy(*keys, "probability").agg((low + (F.first("_h") - F.floor(F.first("_h"))) * (high - low)).alias("quantile"))
+
+
+def credible_interval_large(df: DataFrame, keys: list[str], value: str, percentiles: tuple[float, float, float] = PERCENTILES) -> DataFrame:
+    """`credible_interval` by `exact_quantiles`."""
+    low, mid, high = (p / 100 for p in percentiles)
+    at = lambda p: F.max(F.when(F.col("probability") == p, F.col("quantile")))
+    return exact_quantiles(df, keys, value, [low, mid, high]).groupBy(*keys).agg(at(mid).alias("median"), (at(high) - at(mid)).alias("plus"), (at(mid) - at(low)).alias("minus"))
+
+
 def map_point(df: DataFrame, keys: list[str], lnprob: str, order: list[str], carry: list[str]) -> DataFrame:
     """The row of greatest lnprob, NaN and null last; of equal ones the first by `order`."""
     # The greatest struct wins: ties fall to the smallest order through its negation.
@@ -40,8 +70,26 @@ def map_point(df: DataFrame, keys: list[str], lnprob: str, order: list[str], car
     return df.groupBy(*keys).agg(best.alias("b"), F.max(stats.no_nan(F.col(lnprob))).alias("lnprob")).select(*keys, *[F.col("b")[n].alias(n) for n in names], "lnprob")
 
 
-def _flat(df: DataFrame, keys: list[str], order: list[str]) -> tuple[Column, Column]:
-    return F.row_number().over(W.partitionBy(*keys).orderBy(*order)), F.count(F.lit(1)).over(W.partitionBy(*keys))
+def flat_ranks(df: DataFrame, keys: list[str], order: list[str], rank: str = "_r", total: str = "_n") -> DataFrame:
+    """Each row's place among its key's rows in `order`, from 1, and their number.
+
+    Rows are ranked within the first column of the order (a walker, say) and moved on by the counts of those
+    before it, so that a key of any size is sorted by many tasks.
+    """
+    major, minor = order[0], order[1:]
+    part = [*keys, major]
+    counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_c"))
+    whole = W.partitionBy(*keys)
+    starts = counts.select(*part, (F.sum("_c").over(whole.orderBy(major)) - F.col("_c")).alias("_s"), F.sum("_c").over(whole).alias(total))
+    own = F.row_number().over(W.partitionBy(*part).orderBy(*(minor or [major])))
+    return df.withColumn("_own", own).join(starts, part).withColumn(rank, F.col("_s") + F.col("_own")).drop("_own", "_s")
+
+
+def _chunk(rank: Column, total: Column, chunks: int) -> Column:
+    """The chunk of a rank, from 1; sizes differ by one at most and the first ones are the larger."""
+    size, more = F.floor(total / chunks), total % chunks
+    edge = (size + 1) * more
+    return F.when(rank <= edge, F.ceil(rank / (size + 1))).otherwise(more + F.ceil((rank - edge) / F.greatest(size, F.lit(1)))).cast("int")
 
 
 def _geweke(parts: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -53,8 +101,7 @@ def _geweke(parts: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def geweke_flat(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
     """First against last quarter of the rows in `order` (walker-major order compares walkers); the last is rounded up."""
-    row, n = _flat(df, keys, order)
-    parts = df.select(*keys, value, row.alias("_r"), n.alias("_n"))
+    parts = flat_ranks(df.select(*keys, value, *order), keys, order)
     return _geweke(parts.withColumn("_a", F.col("_r") <= F.floor(F.col("_n") / 4)).withColumn("_b", F.col("_r") > F.col("_n") - F.ceil(F.col("_n") / 4)), keys, value)
 
 
@@ -68,8 +115,8 @@ def geweke(df: DataFrame, keys: list[str], value: str, step: str) -> DataFrame:
 
 def rhat_flat(df: DataFrame, parameter: str, value: str, order: list[str], splits: int = 2) -> DataFrame:
     """Split R-hat of flattened samples: within-variance averaged over splits and parameters, result averaged over parameters."""
-    split = F.ntile(splits).over(W.partitionBy(parameter).orderBy(*order))
-    by = df.select(parameter, value, split.alias("c")).groupBy(parameter, "c").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    ranked = flat_ranks(df.select(parameter, value, *order), [parameter], order)
+    by = ranked.select(parameter, value, _chunk(F.col("_r"), F.col("_n"), splits).alias("c")).groupBy(parameter, "c").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
     per = by.groupBy(parameter).agg(F.max_by("n", "c").cast("double").alias("l"), (F.var_samp("m")).alias("bm"), F.avg("v").alias("wp"))
     within = per.agg(F.avg("wp").alias("w"))
     r = F.sqrt(((1 - 1 / F.col("l")) * F.col("w") + F.col("bm")) / F.col("w"))
@@ -162,11 +209,10 @@ def systematic_resample(df: DataFrame, keys: list[str], weight: str, order: list
 
 def draw_rows(df: DataFrame, keys: list[str], order: list[str], draws: int, seed: int) -> DataFrame:
     """Rows drawn with replacement: keyed uniforms name row numbers, an equi-join fetches them."""
-    row, n = _flat(df, keys, order)
-    numbered = df.withColumn("_r", row)
+    numbered = flat_ranks(df, keys, order).drop("_n")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     pick = F.floor(stats.keyed_uniform(F.lit(seed), *[F.col(k) for k in keys], F.col("draw")) * F.col("_n")) + 1
-    wanted = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_r", pick.cast("int")).drop("_n")
+    wanted = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_r", pick.cast("long")).drop("_n")
     return wanted.join(numbered, [*keys, "_r"]).drop("_r")
 
 

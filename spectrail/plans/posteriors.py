@@ -22,6 +22,14 @@ SELECT event_type, round(m, 6) AS median, round(h - m, 6) AS plus, round(m - l,
 """
 
 
+def credible_interval_large(spark: SparkSession, sf: str) -> DataFrame:
+    out = diagnostics.credible_interval_large(table(spark, sf, "events"), ["event_type"], "value")
+    return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("median", "plus", "minus")])
+
+
+CREDIBLE_INTERVAL_LARGE = CREDIBLE_INTERVAL
+
+
 def map_point(spark: SparkSession, sf: str) -> DataFrame:
     rows = chains(spark, sf).withColumn("lnprob", -F.abs(F.round("value") - 250))
     out = diagnostics.map_point(rows, ["event_type"], "lnprob", ["user_id", "step"], ["value"])
@@ -281,6 +289,6 @@ def lfi_line(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {name: (globals()[name], globals().get(name.upper())) for name in (
-    "credible_interval", "map_point", "geweke_flat", "geweke_steps", "rhat_flat", "rhat_split", "autocorr_lags", "ess", "acceptance", "weighted_mean_cov", "evidence", "last_sample",
+    "credible_interval", "credible_interval_large", "map_point", "geweke_flat", "geweke_steps", "rhat_flat", "rhat_split", "autocorr_lags", "ess", "acceptance", "weighted_mean_cov", "evidence", "last_sample",
     "systematic_resample", "burnin_flatten", "corner_hist", "envelope", "predictive_band", "draws_with_replacement", "lnlike_corr_dense", "mcmc_line", "slice_line", "nested_line", "lfi_line",
 )}

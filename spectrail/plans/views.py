@@ -51,11 +51,11 @@ DATA_WITH_ERRORS = f"WITH {SPECTRA_SQL} SELECT vec_id, round(sum(y - abs(y) * 0.
 
 def lnprob_evolution(spark: SparkSession, sf: str) -> DataFrame:
     """Mean log-probability at each step over walkers."""
-    rows = chains(spark, sf).withColumn("lnprob", -0.5 * F.pow((F.col("value") - 250) / 100, F.lit(2.0)))
+    rows = chains(spark, sf).withColumn("lnprob", -0.5 * F.pow((F.col("value") - 250) / 130, F.lit(2.0)))
     return rows.groupBy("event_type", F.col("step").cast("long").alias("step")).agg(F.round(F.avg("lnprob"), 8).alias("lnprob"), F.count(F.lit(1)).alias("walkers"))
 
 
-LNPROB_EVOLUTION = f"WITH {CHAINS_SQL} SELECT event_type, step, round(avg(-0.5 * pow((value - 250) / 100, 2)), 8) AS lnprob, count(*) AS walkers FROM c GROUP BY ALL"
+LNPROB_EVOLUTION = f"WITH {CHAINS_SQL} SELECT event_type, step, round(avg(-0.5 * pow((value - 250) / 130, 2)), 8) AS lnprob, count(*) AS walkers FROM c GROUP BY ALL"
 
 
 def trace_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -328,3 +328,23 @@ def test_resamplers(spark):
     df = spark.createDataFrame([([0.0, 1.0, 2.0], [1.0, 3.0, 5.0], [0.5, 1.5])], "x array<double>, y array<double>, n array<double>")
     assert align.resample_arrays(df, "x", "y", "n", "o").first()["o"] == [2.0, 4.0]
     assert align.resample_arrays(df, "x", "y", "n", "o", lambda n, x, y: np.full(len(n), 7.0)).first()["o"] == [7.0, 7.0]
+
+
+def test_quantiles_by_counting_match_numpy(spark):
+    rng = np.random.default_rng(8)
+    groups = {1: rng.normal(size=501), 2: np.repeat([1.0, 2.0], 50), 3: np.array([4.0]), 4: np.exp(rng.normal(size=300) * 5)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [(1, None), (1, math.nan)], "k int, v double")
+    got = {(r["k"], r["probability"]): r["quantile"] for r in diagnostics.exact_quantiles(df, ["k"], "v", [0.0, 0.16, 0.5, 0.84, 1.0], bins=16).collect()}
+    for k, vs in groups.items():
+        for p in (0.0, 0.16, 0.5, 0.84, 1.0):
+            assert got[k, p] == pytest.approx(float(np.quantile(vs, p)), rel=1e-12)
+
+
+@pytest.mark.parametrize("n,chunks", [(10, 2), (11, 2), (11, 3), (2, 3), (100, 7)])
+def test_flat_ranks_and_chunks_match_array_split(spark, n, chunks):
+    rng = np.random.default_rng(n)
+    df = spark.createDataFrame([(1, int(rng.integers(3)), i, float(i)) for i in range(n)], "p int, walker int, step int, v double")
+    ranked = diagnostics.flat_ranks(df, ["p"], ["walker", "step"]).withColumn("c", diagnostics._chunk(F.col("_r"), F.col("_n"), chunks))
+    rows = sorted(ranked.collect(), key=lambda r: (r["walker"], r["step"]))
+    assert [r["_r"] for r in rows] == list(range(1, n + 1))
+    assert [r["c"] for r in rows] == [i + 1 for i, part in enumerate(np.array_split(np.arange(n), chunks)) for _ in part]
