@@ -327,4 +327,5 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _valid(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
     found = common.settle(classes(vectors, K), "ann-classes")
     graphs = common.settle(index(found), "ann-graphs")
+    common.release(found)
     return search(graphs, vectors.where(F.col("id") % QUERY_EVERY == 0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE_SQL = r"[\x20\x09-\x0D]+"
 
 
+_settled: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from the session's spark.checkpoint.dir."""
     return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR).rstrip("/")
@@ -29,7 +33,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a cut in the lineage that lost executors can't undo."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _settled[out] = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete settled tables that no later result reads: all that came of them is settled itself."""
+    for df in frames:
+        path = _settled.pop(df, None)
+        if path:
+            drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

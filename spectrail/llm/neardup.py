@@ -147,11 +147,14 @@ def components(edges: DataFrame) -> DataFrame:
     while last is not None:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = common.settle(labels.join(near, "node").select("node", F.least("component", "near").alias("component")), "cc-lower")
-        labels = common.settle(lower.join(lower.select(F.col("node").alias("component"), F.col("component").alias("next")), "component").select("node", F.col("next").alias("component")), "cc-labels")
+        jumped = common.settle(lower.join(lower.select(F.col("node").alias("component"), F.col("component").alias("next")), "component").select("node", F.col("next").alias("component")), "cc-labels")
+        common.release(lower, labels)
+        labels = jumped
         now = total(labels)
         if now == last:
             break
         last = now
+    common.release(both)
     return labels
 
 
@@ -163,7 +166,9 @@ def _merge_components(component: DataFrame | None, links: DataFrame) -> DataFram
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
     further = components(between)
     moved = component.join(further.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-    return common.settle(moved.union(further.join(component, "node", "left_anti")), "components")
+    merged = common.settle(moved.union(further.join(component, "node", "left_anti")), "components")
+    common.release(component, further)
+    return merged
 
 
 def _length_fits(percent: int):
@@ -216,11 +221,14 @@ def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame, words: int) -> D
     return wanted.mapInArrow(run, "id long, n long, shingles binary").where("n > 0").dropDuplicates()
 
 
-def _star_pairs(members: DataFrame, component: DataFrame | None, round_: int) -> DataFrame:
-    """Each class with the leaders of its buckets, where they are in different components."""
+def _leaders(members: DataFrame, round_: int) -> DataFrame:
     order = F.xxhash64(F.lit(SEED + round_), F.col("bucket"), F.col("id"))
-    leaders = members.groupBy("bucket").agg(F.min_by("id", order).alias("a"))
-    pairs = members.join(common.settle(leaders, "dup-leaders"), "bucket").select("a", F.col("id").alias("b")).where("a != b").distinct()
+    return common.settle(members.groupBy("bucket").agg(F.min_by("id", order).alias("a")), "dup-leaders")
+
+
+def _star_pairs(members: DataFrame, leaders: DataFrame, component: DataFrame | None) -> DataFrame:
+    """Each class with the leaders of its buckets, where they are in different components."""
+    pairs = members.join(leaders, "bucket").select("a", F.col("id").alias("b")).where("a != b").distinct()
     if component is None:
         return pairs
     of = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
@@ -366,9 +374,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     component = None
     for round_ in range(STAR_ROUNDS):
-        likely = _compare(_star_pairs(members, component, round_), near, percent)
-        best = likely.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-        component = _merge_components(component, _confirm(common.settle(best, "dup-star"), sets, percent))
+        leaders = _leaders(members, round_)
+        likely = _compare(_star_pairs(members, leaders, component), near, percent)
+        best = common.settle(likely.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "dup-star")
+        component = _merge_components(component, _confirm(best, sets, percent))
+        common.release(leaders, best)
     rest = common.settle(_rest_cells(members, component, near, percent), "dup-rest")
     component = _merge_components(component, _confirm_cells(rest, sets, percent))
 
@@ -376,6 +386,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         classes.join(component.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id")),
         "dup-known",
     )
+    common.release(classes, sketches, shared, members, met, sets, near, rest, component)
     placed = profiles.select("id", "n", "d1", "d2").join(known, ["d1", "d2"], "left")
     component_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     component_id = F.when(F.col("id").isNotNull(), component_id)

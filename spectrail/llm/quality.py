@@ -201,6 +201,7 @@ def fit(counts: DataFrame, labels: DataFrame, key: str, label: str = "quality",
                 yield pa.RecordBatch.from_arrays([pa.array((score * SCORE_BINS).astype(np.int64)), batch.column(0)], names=["bin", "good"])
 
     histogram = labelled.select("good", *COUNTS).mapInArrow(bins, "bin long, good int").groupBy("bin", "good").count().collect()
+    common.release(labelled)
     good, bad = np.zeros(SCORE_BINS + 2), np.zeros(SCORE_BINS + 2)
     for r in histogram:
         (good if r["good"] else bad)[r["bin"]] += r["count"]

@@ -207,6 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str = "t
 
     kind = docs.schema[key].dataType.simpleString()
     rows = labelled.select(F.col(key).alias("id"), "toxic", "features").mapInArrow(numbered, f"id {kind}, toxic int, columns array<int>").orderBy("id", "toxic", "columns").toArrow()
+    common.release(sample, labelled)
     y = rows["toxic"].to_numpy().astype(float)
     lists = rows["columns"].combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())

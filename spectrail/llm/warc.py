@@ -93,6 +93,7 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     # known size: few are broadcast and no payload is shuffled; many are joined by row number, which spreads evenly.
     surplus = common.settle(judged.where(F.col("row") != F.col("last")["row"]).select("row"), "warc-surplus")
     staged.select("row", "sha256", "payload").join(surplus, "row", "left_anti").select("sha256", "payload").write.option("compression", "zstd").parquet(archive.payloads)
+    common.release(surplus)
     common.drop_path(spark, staging)
     return archive
 
