@@ -218,7 +218,7 @@ def classes(vectors: DataFrame, k: int) -> DataFrame:
         if held:
             yield out()
 
-    cut = vectors.mapInArrow(run, "vec binary, ids array<long>")
+    cut = vectors.mapInArrow(common.lean(run), "vec binary, ids array<long>")
     return cut.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
 
 
@@ -259,7 +259,7 @@ def index(found: DataFrame, shard_nodes: int = SHARD_NODES) -> DataFrame:
             blob = _pack(np.array([graph.start], dtype="<i8"), x, graph.neighbours.astype("<i4"), sizes, ids)
             yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), pa.array([blob], pa.binary())], names=["dim", "shard", "graph"])
 
-    return dealt.select("dim", "shard", "vec", "ids").repartition("dim", "shard").sortWithinPartitions("dim", "shard", "vec").mapInArrow(run, "dim int, shard int, graph binary")
+    return dealt.select("dim", "shard", "vec", "ids").repartition("dim", "shard").sortWithinPartitions("dim", "shard", "vec").mapInArrow(common.lean(run), "dim int, shard int, graph binary")
 
 
 def _query_blocks(queries: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def _query_blocks(queries: DataFrame) -> DataFrame:
         for dim, rows in held.items():
             yield out(dim, rows)
 
-    return queries.mapInArrow(run, "dim int, block binary")
+    return queries.mapInArrow(common.lean(run), "dim int, block binary")
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM_SEARCH) -> DataFrame:
@@ -318,7 +318,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM_S
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
     both = graphs.select("dim", "shard", F.lit(0).alias("kind"), F.col("graph").alias("blob")).unionAll(blocks)
-    found = both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind").mapInArrow(common.lean(run), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -168,7 +168,7 @@ def encode_decode(docs: DataFrame, key: str, text: str, tokenizer_path: str, wit
 
     kind = docs.schema[key].dataType.simpleString()
     more = ", ids array<long>, decoded string" if with_output else ""
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return docs.select(key, text).mapInArrow(common.lean(run), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spectrail.llm import common
+
 KINDS = ("open", "regenerate", "edit", "delta")
 #: What a reader of the format could take for structure.
 CONTROL = re.compile(r"\\|</?s>|\[/?INST\]|<</?SYS>>|\[ROLE ")
@@ -135,7 +137,7 @@ def reconstruct(events: DataFrame) -> DataFrame:
         .repartition("conv_id", "message")
         .sortWithinPartitions("conv_id", "message", "seq", "o", "text")
         .select("conv_id", "message", "kind", "role", "text")
-        .mapInArrow(run, "conv_id long, message long, role string, text string")
+        .mapInArrow(common.lean(run), "conv_id long, message long, role string, text string")
     )
 
 
@@ -161,7 +163,7 @@ def render_messages(messages: DataFrame) -> DataFrame:
             if out:
                 yield _batch(out, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()], ["conv_id", "message", "formatted", "loss_start", "loss_end"])
 
-    return messages.select("conv_id", "message", "role", "text").mapInArrow(run, "conv_id long, message long, formatted string, loss_start long, loss_end long")
+    return messages.select("conv_id", "message", "role", "text").mapInArrow(common.lean(run), "conv_id long, message long, formatted string, loss_start long, loss_end long")
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
@@ -194,7 +196,7 @@ def read_back(rendered: DataFrame) -> DataFrame:
         rendered.repartition("conv_id")
         .sortWithinPartitions("conv_id", "message")
         .select("conv_id", "formatted", "loss_start", "loss_end")
-        .mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+        .mapInArrow(common.lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     )
 
 

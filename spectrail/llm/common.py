@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
+import time
 import uuid
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE_SQL = r"[\x20\x09-\x0D]+"
 
 
+TRIM_SECONDS = 1.0
+
 _settled: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -51,6 +58,40 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@functools.cache
+def _libc_trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Return memory that the allocators keep for later.
+
+    Python workers live on from task to task and stage to stage beside a JVM that counts on the rest of the memory.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = _libc_trim()
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for mapInArrow, with memory given back between batches, and at the end."""
+
+    def run_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
+        for batch in run(batches):
+            yield batch
+            if time.monotonic() - last > TRIM_SECONDS:
+                give_back()
+                last = time.monotonic()
+        give_back()
+
+    return run_lean
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

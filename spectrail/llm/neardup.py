@@ -132,7 +132,7 @@ def profile(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 rows.append(signature(shingles, multipliers).tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(rows, pa.binary())], names=["id", "n", "d1", "d2", "sig"])
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "id long, n long, d1 long, d2 long, sig binary")
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(common.lean(run), "id long, n long, d1 long, d2 long, sig binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def _compare(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 at = pa.array(at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(matches)], names=["a", "b", "matches"])
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(_length_fits(percent)).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, matches long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_length_fits(percent)).select("a", "b", "sa", "sb").mapInArrow(common.lean(run), "a long, b long, matches long")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "xa", "xb").mapInArrow(common.lean(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame, words: int) -> DataFrame:
@@ -218,7 +218,7 @@ def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame, words: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "n", "shingles"])
 
     wanted = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    return wanted.mapInArrow(run, "id long, n long, shingles binary").where("n > 0").dropDuplicates()
+    return wanted.mapInArrow(common.lean(run), "id long, n long, shingles binary").where("n > 0").dropDuplicates()
 
 
 def _leaders(members: DataFrame, round_: int) -> DataFrame:
@@ -293,7 +293,7 @@ def _rest_cells(members: DataFrame, component: DataFrame, sketches: DataFrame, p
         cells.select("bucket", "band", F.col("c.p").alias("p"), F.col("c.t").alias("t"), F.col("c.asks").alias("asks"), "id", "component", "probe", "n", "sig")
         .repartition("bucket", "p", "t")
         .sortWithinPartitions("bucket", "p", "t")
-        .mapInArrow(run, "bucket long, p int, t int, id long, component long, candidates array<long>")
+        .mapInArrow(common.lean(run), "bucket long, p int, t int, id long, component long, candidates array<long>")
     )
 
 
@@ -355,7 +355,7 @@ def _confirm_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     named = cells.where("candidates IS NULL").join(sets, "id").select("bucket", "p", "t", "id", "component", "shingles", "candidates")
     asking = cells.where("candidates IS NOT NULL").select("bucket", "p", "t", "id", "component", F.lit(None).cast("binary").alias("shingles"), "candidates")
-    return named.unionAll(asking).repartition("bucket", "p", "t").sortWithinPartitions("bucket", "p", "t").mapInArrow(run, "a long, b long")
+    return named.unionAll(asking).repartition("bucket", "p", "t").sortWithinPartitions("bucket", "p", "t").mapInArrow(common.lean(run), "a long, b long")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:

@@ -128,7 +128,7 @@ def cut_pieces(docs: DataFrame, key: str, text: str, tokenizer_path: str, capaci
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, task int, task_rank long" + (", ids array<long>" if with_ids else ""))
+    return docs.select(key, text).mapInArrow(common.lean(run), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, task int, task_rank long" + (", ids array<long>" if with_ids else ""))
 
 
 def _best_configuration(lengths: np.ndarray, values: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
@@ -295,7 +295,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(sequence), pa.array(offset)], names=[*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "rank")
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(common.lean(run), f"{schema}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, key: str, text: str, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -176,7 +176,7 @@ def rule_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=[key, *COUNTS])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(key, text).mapInArrow(common.lean(run), f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _counts_of(batch: pa.RecordBatch) -> np.ndarray:
@@ -200,7 +200,7 @@ def fit(counts: DataFrame, labels: DataFrame, key: str, label: str = "quality",
                 score = forest.score(_counts_of(batch))
                 yield pa.RecordBatch.from_arrays([pa.array((score * SCORE_BINS).astype(np.int64)), batch.column(0)], names=["bin", "good"])
 
-    histogram = labelled.select("good", *COUNTS).mapInArrow(bins, "bin long, good int").groupBy("bin", "good").count().collect()
+    histogram = labelled.select("good", *COUNTS).mapInArrow(common.lean(bins), "bin long, good int").groupBy("bin", "good").count().collect()
     common.release(labelled)
     good, bad = np.zeros(SCORE_BINS + 2), np.zeros(SCORE_BINS + 2)
     for r in histogram:
@@ -232,7 +232,7 @@ def judge(counts: DataFrame, forest: Forest, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(failed), pa.array(score), pa.array(kept)], names=[*batch.schema.names, "base_failed", "anomaly_score", "kept"])
 
     kind = counts.schema[key].dataType.simpleString()
-    return counts.select(key, *COUNTS).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly_score double, kept boolean")
+    return counts.select(key, *COUNTS).mapInArrow(common.lean(run), f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly_score double, kept boolean")
 
 
 def keep_rows(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
@@ -246,7 +246,7 @@ def keep_rows(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
                 counts = np.array([count_text(x.as_py()) for x in batch.column(at)], dtype=np.int64)
                 yield batch.filter(pa.array(verdicts(counts, shared.value)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

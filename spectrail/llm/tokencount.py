@@ -95,7 +95,7 @@ def count_tokens(docs: DataFrame, key: str, text: str, tokenizer_path: str, limi
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(key, text).mapInArrow(common.lean(run), f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,7 +144,7 @@ def document_features(docs: DataFrame, key: str, text: str, carried: list[str])
 
     chosen = docs.select(key, *carried, text)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:at])
-    return chosen.mapInArrow(run, f"{kinds}, features array<string>")
+    return chosen.mapInArrow(common.lean(run), f"{kinds}, features array<string>")
 
 
 def choose_vocabulary(labelled: DataFrame, limit: int = FEATURES) -> list[str]:
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "toxic", "columns"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = labelled.select(F.col(key).alias("id"), "toxic", "features").mapInArrow(numbered, f"id {kind}, toxic int, columns array<int>").orderBy("id", "toxic", "columns").toArrow()
+    rows = labelled.select(F.col(key).alias("id"), "toxic", "features").mapInArrow(common.lean(numbered), f"id {kind}, toxic int, columns array<int>").orderBy("id", "toxic", "columns").toArrow()
     common.release(sample, labelled)
     y = rows["toxic"].to_numpy().astype(float)
     lists = rows["columns"].combine_chunks()
@@ -274,7 +274,7 @@ def score(docs: DataFrame, chain: Chain, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, i]) for i in range(len(names)))], names=[key, *names])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} double" for n in names))
+    return docs.select(key, text).mapInArrow(common.lean(run), f"`{key}` {kind}, " + ", ".join(f"{n} double" for n in names))
 
 
 def keep_rows(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
@@ -288,7 +288,7 @@ def keep_rows(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
             p = fitted.predict([x.as_py() for x in batch.column(at)])
             yield batch.filter(pa.array(p[:, -1] <= fitted.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

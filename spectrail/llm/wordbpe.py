@@ -18,10 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from spectrail.llm import common
+
 #: Chunks and pre-tokens kept per Python worker, twice: when as many are new, those not seen since the last time are
 #: forgotten. Longer chunks are encoded each time.
-CACHE_CHUNKS = 400_000
-CACHE_WORDS = 250_000
+CACHE_CHUNKS = 200_000
+CACHE_WORDS = 130_000
 CACHE_CHUNK_BYTES = 96
 
 #: Fixed values. Capitals newer than Python's case table, and unassigned code points that the regex module takes for letters.
@@ -124,7 +126,7 @@ class ChunkCache:
         passing = self._encode_chunks(fresh) if fresh else {}
         return ChainMap(known, passing) if passing else known
 
-    def look_up(self, texts: Iterable[str | None], wanted_bytes: int = 16 << 20) -> Iterator[tuple[int, list]]:
+    def look_up(self, texts: Iterable[str | None], wanted_bytes: int = 8 << 20) -> Iterator[tuple[int, list]]:
         """Each text's UTF-8 length and its chunks' values; new pre-tokens of many texts are encoded together."""
         held: list[tuple[int, list[bytes]]] = []
         size = 0
@@ -141,8 +143,9 @@ class ChunkCache:
         found = self.values(set().union(*[chunks for _, chunks in held]))
         for n, chunks in held:
             yield n, list(map(found.__getitem__, chunks))
+        common.give_back()
 
-    def look_up_arrow(self, texts: pa.Array, wanted_bytes: int = 16 << 20) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
+    def look_up_arrow(self, texts: pa.Array, wanted_bytes: int = 8 << 20) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
         """The same for a string array, some rows at a time: the rows' UTF-8 lengths, the values of the distinct chunks, each chunk's place among them, and each row's end."""
         texts = pc.fill_null(texts, "")
         ends = pc.cumulative_sum(pc.binary_length(texts).cast(pa.int64())).to_numpy() if len(texts) else np.zeros(0, dtype=np.int64)
@@ -154,7 +157,11 @@ class ChunkCache:
             distinct = coded.dictionary.cast(pa.binary()).to_pylist()
             found = self.values(distinct)
             offsets = part.offsets.to_numpy()
-            yield np.diff(ends[at:to], prepend=ends[at - 1] if at else 0), list(map(found.__getitem__, distinct)), coded.indices.to_numpy(), offsets[1:] - offsets[0]
+            values, numbers = list(map(found.__getitem__, distinct)), coded.indices.to_numpy()
+            del part, coded, distinct, found
+            yield np.diff(ends[at:to], prepend=ends[at - 1] if at else 0), values, numbers, offsets[1:] - offsets[0]
+            del values, numbers, offsets
+            common.give_back()
             at = to
 
     def _encode_chunks(self, chunks: list[bytes]) -> dict[bytes, object]:
