@@ -15,25 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrail.llm import common, neardup, packing, quality, toxicity
+from spectrail.plans.shipping import ship
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest."""
+    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     counts = common.settle(quality.rule_counts(docs, "doc_id", "text"), "quality-counts")
-    return quality.keep_rows(docs, quality.fit(counts, labels, "doc_id"), "text")
+    forest = quality.fit(counts, labels, "doc_id")
+    common.release(counts)
+    return quality.keep_rows(docs, forest, "text")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't call toxic."""
+    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     fitted = toxicity.fit(docs, labels, "doc_id", "text")
     scored = common.settle(toxicity.score(docs, fitted.chain, "doc_id", "text"), "toxicity-scored")
-    return toxicity.keep_rows(docs, toxicity.calibrate(fitted, scored, labels, "doc_id"), "text")
+    chain = toxicity.calibrate(fitted, scored, labels, "doc_id")
+    common.release(scored)
+    return toxicity.keep_rows(docs, chain, "text")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id, and one row of it."""
+    ship(spark)
     dropped = common.settle(neardup.link(docs, "doc_id", "text").where(~F.col("kept")).select("doc_id").distinct(), "dup-dropped")
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = common.settle(kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "dup-repeated")
@@ -45,6 +53,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' pieces with their places in sequences."""
+    ship(spark)
     return packing.pack(docs, "doc_id", "text", public_tokenizers.path(packing.TOKENIZER))
 
 
