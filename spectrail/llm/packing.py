@@ -190,13 +190,19 @@ def _fill(lengths: np.ndarray, left: np.ndarray, capacity: int, exact: bool) ->
     return chosen
 
 
-def _fill_all(lengths: np.ndarray, left: np.ndarray, capacity: int, exact: bool) -> list[tuple[np.ndarray, int]]:
+def _as_dict(lengths: np.ndarray, chosen: np.ndarray) -> dict[int, int]:
+    """A configuration without its zeros: thousands of them are held at once."""
+    at = np.flatnonzero(chosen)
+    return dict(zip(lengths[at].tolist(), chosen[at].tolist(), strict=True))
+
+
+def _fill_all(lengths: np.ndarray, left: np.ndarray, capacity: int, exact: bool) -> list[tuple[dict[int, int], int]]:
     plan = []
     while left.any():
         chosen = _fill(lengths, left, capacity, exact)
         inside = chosen > 0
         times = int(np.min(left[inside] // chosen[inside]))
-        plan.append((chosen, times))
+        plan.append((_as_dict(lengths, chosen), times))
         left = left - times * chosen
     return plan
 
@@ -205,10 +211,10 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
     """Configurations with how many sequences use each; together they hold every piece exactly once."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
     left = np.array([histogram[i] for i in lengths.tolist()], dtype=np.int64)
-    plan: list[tuple[np.ndarray, int]] = []
+    plan: list[tuple[dict[int, int], int]] = []
     full = lengths == capacity
     if full.any():
-        plan.append((full.astype(np.int64), int(left[full][0])))
+        plan.append(({capacity: 1}, int(left[full][0])))
         left[full] = 0
     if left.sum():
         # Fractional solution: use[c] grows by as much of configuration c as its scarcest length allows.
@@ -236,14 +242,14 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
             inside = chosen > 0
             times = min(int(u), int(np.min(left[inside] // chosen[inside])))
             if times > 0 and int(chosen @ lengths) >= capacity * 0.995:
-                plan.append((chosen, times))
+                plan.append((_as_dict(lengths, chosen), times))
                 left = left - times * chosen
         plan += _fill_all(lengths, left, capacity, True)
         # Without the program's help, longest first: in small or odd histograms that can need fewer.
         plain = _fill_all(lengths, np.array([histogram[i] for i in lengths.tolist()], dtype=np.int64), capacity, False)
         if sum(m for _, m in plain) < sum(m for _, m in plan):
             plan = plain
-    return [({int(lengths[i]): int(c[i]) for i in np.flatnonzero(c)}, m) for c, m in plan]
+    return plan
 
 
 @dataclass(frozen=True)
@@ -277,6 +283,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = common.settle(counts, "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = lay_out(solve(histogram, capacity))
+    common.give_back()
     # A task has a row for each length that it holds, so that the windows see far fewer rows than there are pieces.
     before = counts.select("task", "length", (F.sum("n").over(W.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
     ranked = pieces.join(before, ["task", "length"]).withColumn("rank", F.col("before") + F.col("task_rank")).drop("before", "task_rank", "task")

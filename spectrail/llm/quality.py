@@ -202,6 +202,8 @@ def fit(counts: DataFrame, labels: DataFrame, key: str, label: str = "quality",
 
     histogram = labelled.select("good", *COUNTS).mapInArrow(common.lean(bins), "bin long, good int").groupBy("bin", "good").count().collect()
     common.release(labelled)
+    del picked, rows
+    common.give_back()
     good, bad = np.zeros(SCORE_BINS + 2), np.zeros(SCORE_BINS + 2)
     for r in histogram:
         (good if r["good"] else bad)[r["bin"]] += r["count"]

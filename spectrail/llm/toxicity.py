@@ -213,6 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str = "t
     sizes = np.diff(lists.offsets.to_numpy())
     x = Sparse(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(y)), sizes), (len(y), len(vocabulary)))
     chain, out = _fit_chain(x, y, place, names)
+    del x, rows, lists
+    common.give_back()
     bins = np.array([np.bincount((out[y == k] * BINS).astype(np.int64), minlength=BINS + 1) for k in (0, 1)], dtype=float)
     return Fitted(chain, bins, last_hash)
 
