@@ -42,12 +42,13 @@ TOKENIZER = "word_bpe_49k.json"
 ROUNDS = 120
 STEP = 0.5
 WORDS_AT_ONCE = 2000
+BATCH_ROWS = 2000
 #: Lengths that a pricing round looks at: those of the highest value for their length.
 PRICED = 96
 
 
 @functools.cache
-def _chunk_ids(path: str) -> wordbpe.ChunkCache:
+def _chunk_ids(path: str, share: float = 1.0) -> wordbpe.ChunkCache:
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
@@ -67,7 +68,7 @@ def _chunk_ids(path: str) -> wordbpe.ChunkCache:
             else:  # the library cuts one of them further
                 yield from (np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(part, add_special_tokens=False))
 
-    return wordbpe.ChunkCache(bpe, encode, lambda i: np.array([i], dtype="<u4").tobytes(), b"".join)
+    return wordbpe.ChunkCache(bpe, encode, lambda i: np.array([i], dtype="<u4").tobytes(), b"".join, share)
 
 
 def _joined_ids(cache: wordbpe.ChunkCache, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -88,14 +89,14 @@ def _joined_ids(cache: wordbpe.ChunkCache, texts: pa.Array) -> Iterator[np.ndarr
         yield from (gathered[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
 
 
-def cut_pieces(docs: DataFrame, key: str, text: str, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, key: str, text: str, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, cache_share: float = 1.0) -> DataFrame:
     """Each document's pieces, with their task's number and their rank in the task among pieces of their length.
 
     Task and rank are fixed once the table is written; `place_pieces` needs it settled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _chunk_ids(tokenizer_path)
+        cache = _chunk_ids(tokenizer_path, cache_share)
         task = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         end = np.array([END_ID], dtype="<u4").tobytes()
@@ -305,9 +306,14 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(common.lean(run), f"{schema}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, key: str, text: str, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Each piece with its sequence and offset; with_ids adds the ids, ready to be written out by sequence."""
-    placed = place_pieces(common.settle(cut_pieces(docs, key, text, tokenizer_path, capacity, with_ids), "pack-pieces"), capacity)
+def pack(docs: DataFrame, key: str, text: str, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, cache_share: float = 1.0) -> DataFrame:
+    """Each piece with its sequence and offset; with_ids adds the ids, ready to be written out by sequence.
+
+    cache_share below one trades CPU time for memory of the Python workers.
+    """
+    with common.small_batches(docs.sparkSession, BATCH_ROWS):
+        pieces = common.settle(cut_pieces(docs, key, text, tokenizer_path, capacity, with_ids, cache_share), "pack-pieces")
+    placed = place_pieces(pieces, capacity)
     return placed.select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
 
 

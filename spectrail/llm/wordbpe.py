@@ -105,8 +105,10 @@ class ChunkCache:
     from its parts'.
     """
 
-    def __init__(self, bpe: WordBPE, encode: Callable[[list[str]], Iterable], special: Callable[[int], object], combine: Callable[[Sequence], object]):
+    def __init__(self, bpe: WordBPE, encode: Callable[[list[str]], Iterable], special: Callable[[int], object], combine: Callable[[Sequence], object], share: float = 1.0):
         self.bpe, self.encode, self.special, self.combine = bpe, encode, special, combine
+        #: A share below one keeps less, where memory is short.
+        self.share = share
         self.known: dict[bytes, object] = {}
         self.words: dict[str, object] = {}
         self.old_known: dict[bytes, object] = {}
@@ -114,9 +116,9 @@ class ChunkCache:
 
     def values(self, chunks: Iterable[bytes]) -> dict[bytes, object]:
         """A mapping that holds the values of the chunks, among others."""
-        if len(self.known) > CACHE_CHUNKS:
+        if len(self.known) > CACHE_CHUNKS * self.share:
             self.old_known, self.known = self.known, {}
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > CACHE_WORDS * self.share:
             self.old_words, self.words = self.words, {}
         known, old = self.known, self.old_known
         fresh = set(chunks).difference(known)
