@@ -4,9 +4,12 @@ A configuration is a multiset of piece lengths that fits one sequence. The linea
 program (how often to use each configuration, so that every length is covered) is
 solved over the length histogram by multiplicative weights: a length's weight falls
 as configurations cover it, and pricing, the most valuable configuration under the
-weights, is a knapsack dynamic program. Whole multiples of the configurations found
-are used up to what the histogram holds; what is left over is filled one
-configuration at a time, longest piece first, the rest by a subset-sum program.
+weights, is a knapsack dynamic program over some of the open lengths, each in its
+turn. Rounds go on until every length is covered. The solution is rounded down, room
+in its configurations is used up by longer pieces of the remainder, and the remainder
+is filled one configuration at a time, longest piece first, the rest by a subset-sum
+program. If longest-first alone needs fewer sequences, its plan is taken;
+`solve_with_report` says what came from the program, and the lower bound.
 
 Only the histogram, at most `capacity` numbers, reaches the driver. Pieces get their
 places by their rank among those of their length: a configuration used m times is
@@ -41,10 +44,17 @@ TOKENIZER = "word_bpe_49k.json"
 #: Rounds of multiplicative weights, and how sharply weights fall.
 ROUNDS = 120
 STEP = 0.5
+#: The part of a price that falls.
+FALLING = 0.1
+#: Parts of the rounded sequences that are given up for the remainder, those with the shortest pieces first, if that needs fewer in all.
+SPARE = (0.0, 0.02)
 WORDS_AT_ONCE = 2000
 BATCH_ROWS = 2000
-#: Lengths that a pricing round looks at: those of the highest value for their length.
+#: Lengths that a pricing round looks at, of all that are open.
+POOL = 48
+#: Lengths that the fill's subset-sum program looks at.
 PRICED = 96
+SEED = 4_229
 
 
 @functools.cache
@@ -208,49 +218,120 @@ def _fill_all(lengths: np.ndarray, left: np.ndarray, capacity: int, exact: bool)
     return plan
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Configurations with how many sequences use each; together they hold every piece exactly once."""
+def cover(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
+    """A fractional solution by multiplicative weights: configurations with their use, which cover each length's demand exactly.
+
+    A round uses one configuration for up to `step` of the demand of its scarcest length, at least once where that much
+    is open. Rounds go on until nothing is open, however many lengths there are. Pricing looks at `POOL` lengths at a time,
+    and each has its turn: the least covered come first, in seeded order among equals.
+    """
+    rng = np.random.default_rng(SEED)
+    step = min(0.5, 4 / rounds * max(1.0, len(lengths) / POOL))
+    open_ = demand.astype(float)
+    use: dict[tuple[tuple[int, int], ...], float] = {}
+    while True:
+        live = np.flatnonzero(open_ > 1e-9)
+        if not len(live):
+            break
+        # The least covered lengths, and as many of the others: alone, lengths of high demand would use each other up.
+        order = live[np.lexsort((rng.random(len(live)), 1 - open_[live] / demand[live]))]
+        pool = np.r_[order[: POOL // 2], rng.permutation(order[POOL // 2 :])[: POOL // 2]]
+        # A length weighs more the less of its demand is covered, and in proportion to its length at first. Only a part
+        # of its price falls: prices in proportion to length are the dual of the volume bound, that make full ones best.
+        weight = lengths[pool] * (1 - FALLING + FALLING * np.exp(-STEP / step * (1 - open_[pool] / demand[pool])))
+        chosen = _best_configuration(lengths[pool], weight, np.ceil(open_[pool] - 1e-9).astype(np.int64), capacity)
+        at, count = pool[chosen > 0], chosen[chosen > 0]
+        share = min(float(np.min(open_[at] / count)), max(1.0, step * float(np.min(demand[at] / count))))
+        open_[at] -= share * count
+        key = tuple(sorted(zip(lengths[at].tolist(), count.tolist(), strict=True)))
+        use[key] = use.get(key, 0.0) + share
+    return [(dict(k), u) for k, u in use.items()]
+
+
+@dataclass(frozen=True)
+class Report:
+    """How a plan came about: its sequences, those among them from the rounded program, the program's value and the lower bound."""
+
+    sequences: int
+    from_program: int
+    value: float
+    bound: int
+
+
+def _round_down(solution: list[tuple[dict[int, int], float]], lengths: np.ndarray, left: np.ndarray, capacity: int, least: int, spare: float = 0.0) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Whole multiples of the configurations, with room in them used up by longer pieces of the remainder; and what they leave.
+
+    Those that then hold less than `least` go back to the remainder, and `spare` of the others, those with the shortest
+    pieces first: they let the fill end in full sequences.
+    """
+    rest = dict(zip(lengths.tolist(), left.tolist(), strict=True))
+    todo = []
+    for chosen, u in solution:
+        times = min(int(u + 1e-6), *(rest[k] // n for k, n in chosen.items()))
+        if times > 0:
+            todo.append((chosen, times))
+            for k, n in chosen.items():
+                rest[k] -= times * n
+    plan = []
+    while todo:
+        chosen, times = todo.pop()
+        room = capacity - sum(k * n for k, n in chosen.items())
+        # The longest step up that some piece can take; what the remainder has too few of leaves the others as they are.
+        step, k = next(((d, k) for d in range(room, 0, -1) for k in chosen if rest.get(k + d)), (0, 0))
+        if not step:
+            if capacity - room >= least:
+                plan.append((chosen, times))
+            else:
+                for i, n in chosen.items():
+                    rest[i] += times * n
+            continue
+        some = min(times, rest[k + step])
+        rest[k + step] -= some
+        rest[k] += some
+        longer = dict(chosen)
+        longer[k + step] = longer.get(k + step, 0) + 1
+        longer[k] -= 1
+        todo.append(({i: n for i, n in longer.items() if n}, some))
+        if times > some:
+            todo.append((chosen, times - some))
+    plan.sort(key=lambda x: -min(x[0]))
+    given_up, most = 0, spare * sum(m for _, m in plan)
+    while plan and given_up + plan[-1][1] <= most:
+        chosen, times = plan.pop()
+        given_up += times
+        for i, n in chosen.items():
+            rest[i] += times * n
+    return plan, np.array([rest[k] for k in lengths.tolist()], dtype=np.int64)
+
+
+def solve_with_report(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], Report]:
+    """The plan of `solve`, and how it came about. Sequences that one piece fills are counted as the program's."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
     left = np.array([histogram[i] for i in lengths.tolist()], dtype=np.int64)
-    plan: list[tuple[dict[int, int], int]] = []
+    bound = -(-int(lengths @ left) // capacity)
+    count = lambda plan: sum(m for _, m in plan)
+    whole: list[tuple[dict[int, int], int]] = []
     full = lengths == capacity
     if full.any():
-        plan.append(({capacity: 1}, int(left[full][0])))
-        left[full] = 0
-    if left.sum():
-        # Fractional solution: use[c] grows by as much of configuration c as its scarcest length allows.
-        demand = np.maximum(left, 1).astype(float)
-        covered = np.zeros(len(lengths))
-        use: dict[bytes, float] = {}
-        for _ in range(rounds):
-            # A length weighs more the less of its demand is covered, and in proportion to its length at first.
-            weight = lengths * np.exp(-STEP * rounds * covered / demand / 4) * (left > 0)
-            order = np.argsort(-weight / lengths, kind="stable")[:PRICED]
-            order = order[weight[order] > 0]
-            chosen = np.zeros(len(lengths), dtype=np.int64)
-            chosen[order] = _best_configuration(lengths[order], weight[order], left[order], capacity)
-            if not chosen.any():
-                break
-            inside = chosen > 0
-            share = float(np.min(demand[inside] / chosen[inside])) * 4 / rounds
-            share = min(share, float(np.min(np.maximum(demand[inside] - covered[inside], 0.25) / chosen[inside])) if np.all(covered[inside] < demand[inside]) else share)
-            covered += share * chosen
-            key = chosen.tobytes()
-            use[key] = use.get(key, 0.0) + share
-        # Round down, fullest configurations first.
-        found = sorted(((np.frombuffer(k, dtype=np.int64), u) for k, u in use.items()), key=lambda x: (-int(x[0] @ lengths), -x[1]))
-        for chosen, u in found:
-            inside = chosen > 0
-            times = min(int(u), int(np.min(left[inside] // chosen[inside])))
-            if times > 0 and int(chosen @ lengths) >= capacity * 0.995:
-                plan.append((_as_dict(lengths, chosen), times))
-                left = left - times * chosen
-        plan += _fill_all(lengths, left, capacity, True)
-        # Without the program's help, longest first: in small or odd histograms that can need fewer.
-        plain = _fill_all(lengths, np.array([histogram[i] for i in lengths.tolist()], dtype=np.int64), capacity, False)
-        if sum(m for _, m in plain) < sum(m for _, m in plan):
-            plan = plain
-    return plan
+        whole.append(({capacity: 1}, int(left[full][0])))
+    lengths, left = lengths[~full & (left > 0)], left[~full & (left > 0)]
+    if not len(lengths):
+        return whole, Report(count(whole), count(whole), float(count(whole)), bound)
+    solution = cover(lengths, left, capacity, rounds)
+    value = sum(u for _, u in solution)
+    tries = []
+    for least, spare in ((0, 0.0), *((capacity, x) for x in SPARE)):
+        rounded, rest = _round_down(solution, lengths, left, capacity, least, spare)
+        tries.append((whole + rounded + _fill_all(lengths, rest, capacity, True), count(whole + rounded)))
+    # Without the program's help, longest first: in small or odd histograms that can need fewer.
+    tries.append((whole + _fill_all(lengths, left, capacity, False), count(whole)))
+    plan, from_program = min(tries, key=lambda x: count(x[0]))
+    return plan, Report(count(plan), from_program, count(whole) + value, bound)
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+    """Configurations with how many sequences use each; together they hold every piece exactly once."""
+    return solve_with_report(histogram, capacity, rounds)[0]
 
 
 @dataclass(frozen=True)

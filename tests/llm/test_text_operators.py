@@ -279,6 +279,24 @@ def test_solution_holds_every_piece_once(histogram):
     assert sum(times for _, times in plan) <= len(bins)
 
 
+def test_program_covers_many_lengths_and_packs_most_of_them():
+    rng = random.Random(3)
+    histogram = Counter(min(1023, 1 + int(rng.expovariate(1 / 200))) for _ in range(8000))
+    lengths = np.array(sorted(histogram))
+    demand = np.array([histogram[k] for k in lengths.tolist()])
+    solution = packing.cover(lengths, demand, 1024)
+    covered = Counter()
+    for chosen, use in solution:
+        assert use > 0 and sum(k * n for k, n in chosen.items()) <= 1024
+        for k, n in chosen.items():
+            covered[k] += use * n
+    assert [covered[k] for k in lengths.tolist()] == pytest.approx(demand.tolist(), abs=1e-4)
+    plan, report = packing.solve_with_report(histogram, 1024)
+    assert report.sequences == sum(times for _, times in plan) <= report.bound + 1
+    assert report.bound <= report.value + 1 and report.value <= 1.01 * report.bound
+    assert report.from_program > report.sequences / 2
+
+
 def test_knapsack_against_brute_force():
     import itertools
 
