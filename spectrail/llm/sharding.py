@@ -69,10 +69,10 @@ def shuffle_buckets(scattered: DataFrame, shards: int = SHARDS, bucket_bytes: in
     )
     parts = max(1, min(shards * buckets, 1 << 16))
     dealt = (
-        placed.groupBy("shard", "bucket")
+        placed.repartition(parts, "shard", "bucket")  # the one time that records are shuffled
+        .groupBy("shard", "bucket")
         .agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows"))
-        .join(starts, ["shard", "bucket"])
-        .repartition(parts, "shard", "bucket")
+        .join(F.broadcast(starts), ["shard", "bucket"])
         .sortWithinPartitions("shard", "bucket")
         .select("shard", "bucket", "start", F.shuffle("rows", F.lit(seed)).alias("rows"))
     )
@@ -87,23 +87,28 @@ def write_shards(df: DataFrame, path: str, key: str, text: str, shards: int = SH
     Columns named shard, slot, size or scatter of the input are carried under `record`.
     """
     shard, _ = shard_by_key(F.col(key), shards, seed)
-    staged = common.settle(
-        df.select(
-            F.struct(*[F.col(c) for c in df.columns]).alias("record"),
-            (common.utf8_bytes(F.col(text)) + RECORD_OVERHEAD).alias("size"),
-            shard.alias("shard"),
-            F.xxhash64(F.lit(seed + 1), F.col(key), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), F.spark_partition_id()).alias("scatter"),
-        ),
-        "shard-scatter",
+    staging = common.new_path(df.sparkSession, "shard-scatter")
+    scattered = df.select(
+        F.struct(*[F.col(c) for c in df.columns]).alias("record"),
+        (common.utf8_bytes(F.col(text)) + RECORD_OVERHEAD).alias("size"),
+        shard.alias("shard"),
+        F.xxhash64(F.lit(seed + 1), F.col(key), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), F.spark_partition_id()).alias("scatter"),
     )
-    shuffle_buckets(staged, shards, bucket_bytes, seed).select("shard", "slot", "record").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    scattered.write.option("compression", "zstd").parquet(staging)
+    staged = df.sparkSession.read.schema(scattered.schema).parquet(staging)
+    dealt = shuffle_buckets(staged, shards, bucket_bytes, seed).select("shard", "slot", "record")
+    dealt.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    common.drop_path(df.sparkSession, staging)
+    return df.sparkSession.read.schema(dealt.select("slot", "record", F.col("shard").cast("int")).schema).parquet(path)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard, slot, and shard among one more."""
-    scattered = common.settle(scatter(common.documents(spark, sf_dir), "doc_id", "text"), "shard-scatter")
-    return shuffle_buckets(scattered).select(
-        "doc_id", F.col("size").cast("long"), F.col("text_crc32").cast("long"), F.lit("key").alias("law"),
-        F.col("shard").cast("int"), F.col("slot").cast("long"), F.col("grown_shard").cast("int"),
+    """Shard all documents whole, read the shards back and describe each record from what was read: its shard, slot, and shard among one more."""
+    written = write_shards(common.documents(spark, sf_dir), common.new_path(spark, "shards"), "doc_id", "text")
+    doc_id, text = F.col("record.doc_id"), F.col("record.text")
+    _, grown = shard_by_key(doc_id, SHARDS)
+    return written.select(
+        doc_id.alias("doc_id"), (common.utf8_bytes(text) + RECORD_OVERHEAD).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long").alias("text_crc32"), F.lit("key").alias("law"),
+        F.col("shard").cast("int"), F.col("slot").cast("long"), grown.cast("int").alias("grown_shard"),
     )

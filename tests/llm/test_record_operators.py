@@ -66,6 +66,20 @@ def test_written_shards(spark, tmp_path):
     assert {r["text"] for r in rows} == {f"text {i}" for i in range(200)} and {r["clash"] for r in rows} == {"clash"}
 
 
+def test_sharding_describes_the_written_records(spark, tmp_path, monkeypatch):
+    written = []
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path, *a: written.append(path) or write(df, path, *a))
+    out = sharding.op6_sharding(spark, write_tables(spark, tmp_path)).collect()
+    back = {r["record"]["doc_id"]: r for r in spark.read.parquet(written[0]).collect()}
+    want = {i: (i, t, lang, source, n) for i, t, lang, source, n in hard_documents()}
+    assert {i: tuple(r["record"]) for i, r in back.items()} == want
+    for r in out:
+        stored = back[r["doc_id"]]
+        raw = (stored["record"]["text"] or "").encode()
+        assert (r["shard"], r["slot"], r["size"], r["text_crc32"]) == (stored["shard"], stored["slot"], len(raw) + 16, zlib.crc32(raw))
+
+
 def test_sharding_of_nothing(spark, tmp_path):
     assert sharding.op6_sharding(spark, write_tables(spark, tmp_path, [])).count() == 0
 
