@@ -230,11 +230,14 @@ def draws_with_replacement(spark: SparkSession, sf: str) -> DataFrame:
 
 def lnlike_corr_dense(spark: SparkSession, sf: str) -> DataFrame:
     """Correlated likelihoods of every spectrum against its class's first one, with three sets of noise parameters."""
-    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("flux"))
-    data = vectors.orderBy("vec_id").limit(1).select("flux").first()
-    value = np.array(data[0])
-    spectrum = noise.Spectrum(np.arange(len(value), dtype=float), value, np.full(len(value), 0.5))
-    params = vectors.withColumn("noise", F.explode(F.array(*[F.array(*map(F.lit, t)) for t in ((1.0, 0.0, 1.0), (1.0, 0.2, 2.0), (0.98, 0.5, 4.0))])))
+    vectors = table(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("flux"))
+    data = vectors.groupBy(F.col("label").alias("class")).agg(F.min_by("flux", "vec_id").alias("data"))
+    n = len(vectors.select("flux").first()["flux"])
+    # The data differ by class, so that they are taken off the fluxes: scale * data - flux is what is left of zero.
+    spectrum = noise.Spectrum(np.arange(n, dtype=float), np.zeros(n), np.full(n, 0.5))
+    pairs = vectors.join(data, F.col("label").eqNullSafe(F.col("class")))
+    params = pairs.withColumn("noise", F.explode(F.array(*[F.array(*map(F.lit, t)) for t in ((1.0, 0.0, 1.0), (1.0, 0.2, 2.0), (0.98, 0.5, 4.0))])))
+    params = params.withColumn("flux", F.zip_with("flux", "data", lambda f, d: f - F.col("noise")[0] * d))
     return noise.lnlike_correlated(params, spectrum).select("vec_id", "noise", "lnlike")
 
 

@@ -348,3 +348,22 @@ def test_flat_ranks_and_chunks_match_array_split(spark, n, chunks):
     rows = sorted(ranked.collect(), key=lambda r: (r["walker"], r["step"]))
     assert [r["_r"] for r in rows] == list(range(1, n + 1))
     assert [r["c"] for r in rows] == [i + 1 for i, part in enumerate(np.array_split(np.arange(n), chunks)) for _ in part]
+
+
+def test_correlated_likelihood_takes_each_class_s_first_spectrum(spark, tmp_path):
+    from spectrail.plans import posteriors
+
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist(), label) for i, label in enumerate([1, 0, 1, 2, 0, None, 2, None])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    first = {}
+    for _, flux, label in rows:
+        first.setdefault(label, np.array(flux, dtype=np.float32).astype(float))
+    out = posteriors.lnlike_corr_dense(spark, str(tmp_path)).collect()
+    assert len(out) == 3 * len(rows)
+    for r in out:
+        _, flux, label = rows[r["vec_id"]]
+        scale, weight, length = r["noise"]
+        cov = noise.covariance(np.arange(6.0), np.full(6, 0.5), weight, length, noise.TRUNCATION)
+        residual = scale * first[label] - np.array(flux, dtype=np.float32).astype(float)
+        assert r["lnlike"] == pytest.approx(noise.lnlike_correlated_np(residual, cov))
