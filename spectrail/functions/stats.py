@@ -79,7 +79,11 @@ def keyed_uniform(*keys: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*keys), 12).cast("double") + 0.5) / float(1 << 52)
 
 
+def box_muller(u1: Column, u2: Column) -> Column:
+    """A normal deviate from two uniforms."""
+    return F.sqrt(-2 * F.ln(u1)) * F.cos(2 * math.pi * u2)
+
+
 def keyed_normal(*keys: Column) -> Column:
-    """A normal deviate by Box and Muller from two keyed uniforms."""
-    r = F.sqrt(-2 * F.ln(keyed_uniform(*keys, F.lit(1))))
-    return r * F.cos(2 * math.pi * keyed_uniform(*keys, F.lit(2)))
+    """A normal deviate from two keyed uniforms."""
+    return box_muller(keyed_uniform(*keys, F.lit(1)), keyed_uniform(*keys, F.lit(2)))

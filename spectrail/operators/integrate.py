@@ -55,6 +55,19 @@ def band_fluxes(flux: DataFrame, filters: DataFrame, keys: list[str], grid: str
     return sums.select(*keys, "filter", F.sqrt(F.try_divide(F.col("b"), F.col("c"))).alias("lpivot"), F.try_divide("a", "c").alias("flux"))
 
 
+def zero_points(star: DataFrame, filters: DataFrame, grid: str = "wavelength") -> DataFrame:
+    """Each filter's flux of magnitude zero in Jy: the band flux of the standard star's curve on the filters' grid."""
+    return band_fluxes(star.withColumn("_star", F.lit(0)), filters, ["_star"], grid).select("filter", "lpivot", F.col("flux").alias("zero_point"))
+
+
+def opacity_in_cm(opacity: Column, species_idx: Column, scales: dict[int, float]) -> Column:
+    """Opacities without negative values, in the library's unit: species listed in `scales` are multiplied by their factor."""
+    q = F.greatest(opacity, F.lit(0.0))
+    for i, scale in scales.items():
+        q = F.when(species_idx == i, F.greatest(opacity, F.lit(0.0)) * scale).otherwise(q)
+    return q
+
+
 def mix(opacities: Column, abundances: Column) -> Column:
     """Matrix times vector at one grid point: the sum of opacity times abundance."""
     return F.aggregate(F.zip_with(opacities, abundances, lambda q, a: q * a), F.lit(0.0), lambda s, v: s + v)

@@ -151,9 +151,10 @@ def kernel_entries(points: DataFrame, keys: list[str], index: str, wavelength: s
     return left.join(right, keys).select(*keys, "i", "j", ((F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0) + weight * k) * F.col("_s") * F.col("_t")).alias("c"))
 
 
-def simulate_diagonal(df: DataFrame, model: str, sigma: str, keys: list[str], seed: int, out: str = "simulated") -> DataFrame:
-    """Model plus sigma times a normal deviate keyed by the columns `keys`."""
-    return df.withColumn(out, F.col(model) + F.col(sigma) * stats.keyed_normal(F.lit(seed), *[F.col(k) for k in keys]))
+def simulate_diagonal(df: DataFrame, model: str, sigma: str, keys: list[str], seed: int = 0, out: str = "simulated", deviate: Column | None = None) -> DataFrame:
+    """Model plus sigma times a normal deviate: the given one, or one keyed by the columns `keys`."""
+    z = stats.keyed_normal(F.lit(seed), *[F.col(k) for k in keys]) if deviate is None else deviate
+    return df.withColumn(out, F.col(model) + F.col(sigma) * z)
 
 
 def simulate_batches(params: DataFrame, simulator: Callable[[np.ndarray, np.ndarray], np.ndarray], key: str = "sample_id", theta: str = "theta", seed: int = 0, out: str = "x") -> DataFrame:

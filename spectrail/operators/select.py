@@ -94,3 +94,14 @@ def first_of_each(df: DataFrame, name: str, order: str) -> DataFrame:
     rest = [c for c in df.columns if c != name]
     first = F.min_by(F.struct(*rest), order)
     return df.groupBy(name).agg(first.alias("row")).select(name, *[F.col("row")[c].alias(c) for c in rest])
+
+
+def rest_frame(wavelength: Column, redshift: Column) -> Column:
+    """The wavelength at which light seen at `wavelength` was sent."""
+    return wavelength / (1 + redshift)
+
+
+def fields(df: DataFrame) -> DataFrame:
+    """What every dataset has: wavelength, value, uncertainty and mask (all points if it has none)."""
+    mask = F.col("mask") if "mask" in df.columns else F.lit(True)
+    return df.select("wavelength", "value", "uncertainty", mask.alias("mask"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,3 +39,13 @@ def uniform_sql(id_: str, k: str | int) -> str:
 #: Views that the SQL twins start from.
 SPECTRA_SQL = "s AS (SELECT vec_id, CAST(i AS INT) AS k, CAST(embedding[CAST(i + 1 AS INT)] AS DOUBLE) AS y FROM embeddings, range(64) t(i))"
 CHAINS_SQL = "c AS (SELECT event_type, user_id, value, ts, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS step FROM events)"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file:///tmp/checkpoints"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

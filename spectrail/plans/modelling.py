@@ -368,10 +368,9 @@ SELECT vec_id, count(*) AS allowed, 25 - count(*) AS forbidden, round(max(l), 6)
 
 def simulate_obs(spark: SparkSession, sf: str) -> DataFrame:
     """Noise by Box and Muller from keyed uniforms that SQL computes alike."""
-    rows = spectra(spark, sf)
-    u1, u2 = uniform(F.col("vec_id"), F.col("k")), uniform(F.col("vec_id"), F.col("k") + 1000)
-    z = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * math.pi * u2)
-    return rows.select("vec_id", (F.col("y") + 0.1 * z).alias("x")).groupBy("vec_id").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("sd"))
+    z = stats.box_muller(uniform(F.col("vec_id"), F.col("k")), uniform(F.col("vec_id"), F.col("k") + 1000))
+    out = noise.simulate_diagonal(spectra(spark, sf).withColumn("sd", F.lit(0.1)), "y", "sd", ["vec_id", "k"], out="x", deviate=z)
+    return out.groupBy("vec_id").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("sd"))
 
 
 SIMULATE_OBS = f"""

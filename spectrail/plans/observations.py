@@ -147,7 +147,7 @@ FIRST_FILTERS = "SELECT p_brand, min(p_partkey) AS p_partkey, arg_min(p_size, p_
 
 def redshift_rest(spark: SparkSession, sf: str) -> DataFrame:
     z = F.pmod("vec_id", F.lit(5)) / 10
-    return spectra(spark, sf).groupBy("vec_id").agg(F.round(F.sum((F.col("k") + 1) / (1 + z) * F.col("y")), 6).alias("moment"))
+    return spectra(spark, sf).groupBy("vec_id").agg(F.round(F.sum(select.rest_frame(F.col("k") + 1, z) * F.col("y")), 6).alias("moment"))
 
 
 REDSHIFT_REST = f"WITH {SPECTRA_SQL} SELECT vec_id, round(sum((k + 1) / (1 + (vec_id % 5) / 10.0::DOUBLE) * y), 6) AS moment FROM s GROUP BY 1"
@@ -155,8 +155,8 @@ REDSHIFT_REST = f"WITH {SPECTRA_SQL} SELECT vec_id, round(sum((k + 1) / (1 + (ve
 
 def opacity_units(spark: SparkSession, sf: str) -> DataFrame:
     """Clipped opacities in units that depend on the species' place."""
-    rows = spectra(spark, sf).select("vec_id", F.pmod("k", F.lit(8)).alias("species"), F.greatest("y", F.lit(0.0)).alias("q"))
-    fixed = F.when(F.col("species") == 2, F.col("q") * 1e-4).when(F.col("species") == 5, F.col("q") * 2.71 * (4 / 3) * 1e-4).otherwise(F.col("q"))
+    rows = spectra(spark, sf).select("vec_id", F.pmod("k", F.lit(8)).alias("species"), "y")
+    fixed = integrate.opacity_in_cm(F.col("y"), F.col("species"), {2: 1e-4, 5: 2.71 * (4 / 3) * 1e-4})
     return rows.groupBy("vec_id", "species").agg(F.round(F.sum(fixed), 9).alias("q"))
 
 
@@ -176,10 +176,12 @@ def interp_linear(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("vec_id", "j", F.round("y", 6).alias("y"))
 
 
+TARGETS_SQL = f"t AS (SELECT vec_id, embedding AS e, CAST(j AS INT) AS j, -2 + 4.25::DOUBLE * j + {uniform_sql('vec_id', 'j')} AS x FROM embeddings, range(16) r(j))"
+
 INTERP_LINEAR = f"""
-WITH {SPECTRA_SQL}, t AS (SELECT vec_id, CAST(j AS INT) AS j, -2 + 4.25::DOUBLE * j + {uniform_sql('vec_id', 'j')} AS x FROM embeddings, range(16) r(j)),
-b AS (SELECT vec_id, j, least(greatest(x, 0), 63) AS x, CAST(least(greatest(floor(x), 0), 62) AS INT) AS k FROM t)
-SELECT b.vec_id, j, round(l.y + (x - b.k) * (h.y - l.y), 6) AS y FROM b JOIN s l ON l.vec_id = b.vec_id AND l.k = b.k JOIN s h ON h.vec_id = b.vec_id AND h.k = b.k + 1
+WITH {TARGETS_SQL}, b AS (SELECT vec_id, e, j, least(greatest(x, 0), 63) AS x, CAST(least(greatest(floor(x), 0), 62) AS INT) AS k FROM t),
+y AS (SELECT vec_id, j, x - k AS d, e[k + 1]::DOUBLE AS l, e[k + 2]::DOUBLE AS h FROM b)
+SELECT vec_id, j, round(l + d * (h - l), 6) AS y FROM y
 """
 
 
@@ -190,10 +192,9 @@ def interp_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 INTERP_LOG = f"""
-WITH {SPECTRA_SQL}, t AS (SELECT vec_id, CAST(j AS INT) AS j, -2 + 4.25::DOUBLE * j + {uniform_sql('vec_id', 'j')} AS x FROM embeddings, range(16) r(j)),
-b AS (SELECT vec_id, j, x, CAST(least(greatest(floor(x), 0), 62) AS INT) AS k FROM t)
-SELECT b.vec_id, j, round(pow(10, log10(abs(l.y) + 1) + (x - b.k) * (log10(abs(h.y) + 1) - log10(abs(l.y) + 1))), 6) AS y
-FROM b JOIN s l ON l.vec_id = b.vec_id AND l.k = b.k JOIN s h ON h.vec_id = b.vec_id AND h.k = b.k + 1
+WITH {TARGETS_SQL}, b AS (SELECT vec_id, e, j, x, CAST(least(greatest(floor(x), 0), 62) AS INT) AS k FROM t),
+y AS (SELECT vec_id, j, x - k AS d, log10(abs(e[k + 1]::DOUBLE) + 1) AS l, log10(abs(e[k + 2]::DOUBLE) + 1) AS h FROM b)
+SELECT vec_id, j, round(pow(10, l + d * (h - l)), 6) AS y FROM y
 """
 
 

@@ -1,7 +1,9 @@
 """Readers of observation, filter and opacity files, each with a fixed schema.
 
+A source is a path, or a table of files that are at hand already (path, content).
 Line-based formats go through `spark.read.text`, self-contained ones (VOTable, FITS)
-through `binaryFile`, one file a row, parsed on the executors.
+through `binaryFile`, one file a row, parsed on the executors. Lines are numbered,
+and a file read whole for that, only where a format goes by their order.
 """
 
 from __future__ import annotations
@@ -23,25 +25,41 @@ from spectrail.operators.select import finite_rows, gap_split, spitzer_chunks
 C_UM_HZ = units.C_UM
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line number within its file from 1, text; files are read whole, so that numbers are exact."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
-    return files.select("file", F.posexplode("lines").alias("line", "text")).withColumn("line", F.col("line") + 1)
+Source = str | DataFrame
+
+
+def _files(spark: SparkSession, source: Source) -> DataFrame:
+    """path, content."""
+    files = spark.read.format("binaryFile").load(source) if isinstance(source, str) else source
+    return files.select("path", "content")
+
+
+def _lines(spark: SparkSession, source: Source) -> DataFrame:
+    """file, line number within its file from 1, text."""
+    lines = F.split(F.col("content").cast("string"), r"\r?\n")
+    return _files(spark, source).select(F.col("path").alias("file"), F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line") + 1)
+
+
+def _loose_lines(spark: SparkSession, source: Source) -> DataFrame:
+    """file, text; a large file is split over tasks."""
+    if isinstance(source, str):
+        return spark.read.text(source).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return _lines(spark, source).drop("line")
 
 
 def _fields(text: Column) -> Column:
     return F.split(F.trim(text), r"\s+")
 
 
-def read_columns(spark: SparkSession, path: str, names: list[str], comment: str = "#") -> DataFrame:
+def read_columns(spark: SparkSession, path: Source, names: list[str], comment: str = "#") -> DataFrame:
     """White-space separated numbers; lines that start otherwise than with a number are headers or comments."""
     number = r"^\s*[-+]?(\d|\.\d)"
-    rows = _lines(spark, path).where(~F.col("text").startswith(comment) & F.col("text").rlike(number))
+    rows = _loose_lines(spark, path).where(~F.col("text").startswith(comment) & F.col("text").rlike(number))
     parts = _fields(F.col("text"))
     return rows.select("file", *[F.try_element_at(parts, F.lit(i + 1)).cast("double").alias(n) for i, n in enumerate(names)])
 
 
-def read_opacities(spark: SparkSession, path: str, value: str = "q") -> DataFrame:
+def read_opacities(spark: SparkSession, path: Source, value: str = "q") -> DataFrame:
     """species (the file's name without its ending), species_idx in name order, wavelength, q; `sub` files have the continuum-subtracted q second."""
     rows = read_columns(spark, path, ["wavelength", value])
     species = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"(_sub)?\.[^.]*$", "")
@@ -50,11 +68,11 @@ def read_opacities(spark: SparkSession, path: str, value: str = "q") -> DataFram
     return named.join(F.broadcast(order), "species").select("species", "species_idx", "wavelength", value)
 
 
-def read_opacity_list(spark: SparkSession, list_path: str, folder: str) -> DataFrame:
+def read_opacity_list(spark: SparkSession, list_path: Source, folder: Source) -> DataFrame:
     """The same in the order of a list file; the order is what unit fixes go by."""
     names = _lines(spark, list_path).select(F.trim("text").alias("name"), "line").where("name <> ''")
     order = names.select("name", (F.row_number().over(W.orderBy("line")) - 1).cast("int").alias("species_idx"))
-    rows = read_columns(spark, f"{folder.rstrip('/')}/*", ["wavelength", "q"]).withColumn("name", F.element_at(F.split("file", "/"), -1))
+    rows = read_columns(spark, f"{folder.rstrip('/')}/*" if isinstance(folder, str) else folder, ["wavelength", "q"]).withColumn("name", F.element_at(F.split("file", "/"), -1))
     return rows.join(F.broadcast(order), "name").select(F.col("name").alias("species"), "species_idx", "wavelength", "q")
 
 
@@ -70,7 +88,7 @@ def read_user_text(spark: SparkSession, path: str, wavelength: str, flux: str, u
     return out if "chunk" in raw.columns else out.withColumn("chunk", F.lit(1))
 
 
-def read_lrs(spark: SparkSession, path: str) -> DataFrame:
+def read_lrs(spark: SparkSession, path: Source) -> DataFrame:
     """A name line, then two blocks of wavelength and power per area, parted by a dashed line; flux in Jy, no uncertainty."""
     rows = _lines(spark, path)
     dash = F.col("text").rlike(r"^\s*-{5,}\s*$")
@@ -81,7 +99,7 @@ def read_lrs(spark: SparkSession, path: str) -> DataFrame:
     return numbers.select("file", F.col("module").cast("int"), w.alias("wavelength"), units.to_jy(power, F.lit("W/m2"), w).alias("value"))
 
 
-def read_filter_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_filter_csv(spark: SparkSession, path: Source) -> DataFrame:
     """Two-header filter files: names; unit and detector; then wavelength and transmission."""
     rows = _lines(spark, path).where(F.trim("text") != "").where(~F.col("text").startswith("#"))
     place = F.row_number().over(W.partitionBy("file").orderBy("line"))
@@ -94,7 +112,7 @@ def read_filter_csv(spark: SparkSession, path: str) -> DataFrame:
     return values.join(second, "file").select(name.alias("filter"), "detector", units.to_um(F.col("x"), F.col("unit")).alias("wavelength"), "transmission")
 
 
-def read_eso_filter(spark: SparkSession, path: str) -> DataFrame:
+def read_eso_filter(spark: SparkSession, path: Source) -> DataFrame:
     """Wavelength, transmission and, if there, its error."""
     return read_columns(spark, path, ["wavelength", "transmission", "error"])
 
@@ -139,7 +157,7 @@ def _votable_rows(raw: bytes) -> Iterator[dict]:
             yield row
 
 
-def read_votable_photometry(spark: SparkSession, path: str) -> DataFrame:
+def read_votable_photometry(spark: SparkSession, path: Source) -> DataFrame:
     """filter, flux, err and unit of the columns sed_filter, sed_flux and sed_eflux, empty cells null; one file a row until parsed."""
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,10 +166,10 @@ def read_votable_photometry(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(name, r["sed_filter"], r["sed_flux"], r["sed_eflux"], r["sed_flux.unit"]) for r in _votable_rows(raw)]
                 yield pd.DataFrame(rows, columns=["file", "filter", "flux", "err", "unit"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, filter string, flux double, err double, unit string")
+    return _files(spark, path).mapInPandas(parse, "file string, filter string, flux double, err double, unit string")
 
 
-def read_votable_spectrum(spark: SparkSession, path: str, wavelength: str, flux: str) -> DataFrame:
+def read_votable_spectrum(spark: SparkSession, path: Source, wavelength: str, flux: str) -> DataFrame:
     """Array cells as rows: file, wavelength, flux and frequency for wavelengths in µm."""
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +178,7 @@ def read_votable_spectrum(spark: SparkSession, path: str, wavelength: str, flux:
                 for r in _votable_rows(raw):
                     yield pd.DataFrame({"file": name, "wavelength": r[wavelength], "flux": r[flux]})
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, wavelength double, flux double")
+    rows = _files(spark, path).mapInPandas(parse, "file string, wavelength double, flux double")
     return rows.withColumn("nu", C_UM_HZ / F.col("wavelength"))
 
 
@@ -206,13 +224,14 @@ def fits_image(raw: bytes, unit: int = 0) -> tuple[dict, np.ndarray]:
     return header, values * header.get("BSCALE", 1.0) + header.get("BZERO", 0.0)
 
 
-def fits_table(raw: bytes, unit: int = 1) -> pd.DataFrame:
+def fits_table(raw: bytes, unit: int = 1, names: list[str] | None = None) -> pd.DataFrame:
+    """A binary table, its columns named by the file or, in order, by `names`."""
     header, data = list(fits_units(raw))[unit]
     kinds = []
     for i in range(header["TFIELDS"]):
         count, code = re.match(r"(\d*)([A-Z])", header[f"TFORM{i + 1}"]).groups()
         n = int(count or 1)
-        kinds.append((header.get(f"TTYPE{i + 1}", f"col{i + 1}"), f"S{n}" if code == "A" else FITS_TABLE[code], () if code == "A" or n == 1 else (n,)))
+        kinds.append((names[i] if names else header.get(f"TTYPE{i + 1}", f"col{i + 1}"), f"S{n}" if code == "A" else FITS_TABLE[code], () if code == "A" or n == 1 else (n,)))
     rows = np.frombuffer(data[: header["NAXIS1"] * header["NAXIS2"]], np.dtype(kinds))
     plain = {}
     for name, _, shape in kinds:
@@ -221,7 +240,7 @@ def fits_table(raw: bytes, unit: int = 1) -> pd.DataFrame:
     return pd.DataFrame(plain)
 
 
-def _parse_files(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
+def _parse_files(spark: SparkSession, path: Source, parse, schema: str) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
             for name, raw in zip(b["path"], b["content"], strict=True):
@@ -229,10 +248,10 @@ def _parse_files(spark: SparkSession, path: str, parse, schema: str) -> DataFram
                 out.insert(0, "file", name)
                 yield out
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return _files(spark, path).mapInPandas(run, schema)
 
 
-def read_spitzer_low(spark: SparkSession, path: str) -> DataFrame:
+def read_spitzer_low(spark: SparkSession, path: Source) -> DataFrame:
     """Low-resolution spectra: an image of 16 columns named in the header; finite rows, modules as chunks, in wavelength order."""
 
     def parse(raw: bytes) -> pd.DataFrame:
@@ -246,7 +265,7 @@ def read_spitzer_low(spark: SparkSession, path: str) -> DataFrame:
     return fine.select("file", "wavelength", "value", "uncertainty", spitzer_chunks(F.col("module").cast("int")).alias("chunk")).orderBy("file", "wavelength")
 
 
-def read_spitzer_high(spark: SparkSession, path: str) -> DataFrame:
+def read_spitzer_high(spark: SparkSession, path: Source) -> DataFrame:
     """High-resolution spectra: per order 11 to 20 the first jump of more than 5 µm parts chunks 1 and 2; other orders are chunk 0."""
 
     def parse(raw: bytes) -> pd.DataFrame:
@@ -260,7 +279,7 @@ def read_spitzer_high(spark: SparkSession, path: str) -> DataFrame:
     return split.withColumn("chunk", F.when(F.col("irs_order").between(11, 20), F.col("chunk")).otherwise(0)).orderBy("file", "wavelength")
 
 
-def read_fits_spectrum(spark: SparkSession, path: str, wavelength: str, flux: str, uncertainty: str, wavelength_unit: str = "um", flux_unit: str = "Jy", unit: int = 1) -> DataFrame:
+def read_fits_spectrum(spark: SparkSession, path: Source, wavelength: str, flux: str, uncertainty: str, wavelength_unit: str = "um", flux_unit: str = "Jy", unit: int = 1) -> DataFrame:
     """A binary table with the user's column names; one chunk."""
 
     def parse(raw: bytes) -> pd.DataFrame:
@@ -272,14 +291,47 @@ def read_fits_spectrum(spark: SparkSession, path: str, wavelength: str, flux: st
     return rows.select("file", w.alias("wavelength"), units.to_jy(F.col("y"), u, w).alias("value"), units.to_jy(F.col("e"), u, w).alias("uncertainty"), F.lit(1).alias("chunk"))
 
 
-SPECTRUM_FORMATS = {"SPITZER-YAAAR": read_spitzer_low, "SPITZER-YAAAR_OPTDIFFHR": read_spitzer_high, "IRAS-LRS": read_lrs}
+#: Fixed values of the format: the columns of an SWS table, in order, whatever the file calls them.
+SWS_COLUMNS = ["wavelength", "flux", "uncertainty", "integration count", "detector number", "time key", "universal time key", "rpid", "spare", "line number", "scan direction", "counts", "status", "flag"]
+
+
+def read_sws(spark: SparkSession, path: Source) -> DataFrame:
+    """A binary table of 14 columns that go by their places; µm and Jy."""
+    rows = _parse_files(spark, path, lambda raw: fits_table(raw, 1, SWS_COLUMNS)[SWS_COLUMNS[:3]].astype(float), "file string, wavelength double, flux double, uncertainty double")
+    return rows.select("file", "wavelength", F.col("flux").alias("value"), "uncertainty", F.lit(1).alias("chunk"))
+
+
+SPECTRUM_FORMATS = {"SPITZER-YAAAR": read_spitzer_low, "SPITZER-YAAAR_OPTDIFFHR": read_spitzer_high, "IRAS-LRS": read_lrs, "SWS-AAR": read_sws}
+
+
+def read_radiative_transfer(spark: SparkSession, path: Source) -> DataFrame:
+    """A code's output: in its first line the scale in W/m2 second, then wavelength and relative flux; Jy."""
+    rows = _lines(spark, path).where(F.trim("text") != "").withColumn("n", F.row_number().over(W.partitionBy("file").orderBy("line")))
+    number = lambda i: F.try_element_at(_fields(F.col("text")), F.lit(i)).cast("double")
+    scale = rows.where("n = 1").select("file", number(2).alias("scale"))
+    values = rows.where("n > 1").select("file", number(1).alias("wavelength"), number(2).alias("relative"))
+    w = F.col("wavelength")
+    return values.join(scale, "file").select("file", "wavelength", units.to_jy(F.col("relative") * F.col("scale"), F.lit("W/m2"), w).alias("flux"))
+
+
+def read_stellar_template(spark: SparkSession, path: Source) -> DataFrame:
+    """Lines of frequency and flux under one line of names; wavelengths in µm, ascending within a file."""
+    parts = F.split("text", ",")
+    rows = _loose_lines(spark, path).where(F.col("text").rlike(r"^\s*[-+]?(\d|\.\d)"))
+    return rows.select("file", parts[0].cast("double").alias("nu"), parts[1].cast("double").alias("fnu")).withColumn("wavelength", C_UM_HZ / F.col("nu")).orderBy("file", "wavelength")
+
+
+def read_filter_library(spark: SparkSession, path: str, wanted: list[str] | None = None) -> DataFrame:
+    """filter, detector, wavelength, transmission of a library that `write_filter_library` wrote; of the filters named, if any are."""
+    filters = spark.read.parquet(path)
+    return filters if wanted is None else filters.where(F.col("filter").isin(wanted))
 
 
-def read_spectrum(spark: SparkSession, path: str, format: str, filetype: str | None = None, **options) -> DataFrame:
-    """By format tag; SWS-AAR and User-Defined take the column names as options."""
+def read_spectrum(spark: SparkSession, path: Source, format: str, filetype: str | None = None, **options) -> DataFrame:
+    """By format tag; User-Defined takes the column names as options."""
     if format in SPECTRUM_FORMATS:
         return SPECTRUM_FORMATS[format](spark, path)
-    if format == "SWS-AAR" or (format == "User-Defined" and filetype == "fits"):
+    if format == "User-Defined" and filetype == "fits":
         return read_fits_spectrum(spark, path, **options)
     if format == "User-Defined" and filetype == "text":
         return read_user_text(spark, path, **options)
