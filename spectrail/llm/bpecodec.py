@@ -10,14 +10,17 @@ pair made by a merge ranks after it: its symbol is that merge's own. A file for
 which that doesn't hold is refused.
 
 Defined results: a null or empty text has no ids and decodes to nothing; special
-strings in a text become the ids that the library gives them.
+strings in a text become the ids that the library gives them; a very long text is
+cut into chunks like any other, and only its ids and their decoding are held whole;
+rows that repeat are encoded each; other columns play no part; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +65,7 @@ class MergeTable:
         symbols[ends] = self.bpe.last[raw[ends]]
         word = np.repeat(np.arange(len(words)), sizes)
         done_symbols, done_words = [], []
-        # Rank and table place of the pair that starts at each symbol; kept from round to round where nothing changed.
+        # Every round looks up all pairs of the words that are still open.
         while len(symbols):
             within = word[:-1] == word[1:]
             rank = np.full(len(symbols), self.none, dtype=np.int64)
@@ -117,47 +120,49 @@ def merge_table(path: str) -> MergeTable:
 
 def encode(text: str | None, path: str) -> list[int]:
     """The ids of one text."""
-    return [int(i) for _, found in _id_cache(path).look_up([text]) for ids, _ in found for i in np.frombuffer(ids, dtype="<u4")]
+    return next(iter(_id_cache(path).joined_ids(pa.array([text], pa.string())))).tolist()
 
 
-def decode(ids: list[int], path: str) -> str:
+def decode(ids: Iterable[int], path: str) -> str:
     """Token strings with a blank between; this tokenizer has no decoder that would join them further."""
+    return _decode_bytes(ids, path).decode("utf-8")
+
+
+def _decode_bytes(ids: Iterable[int], path: str) -> bytes:
+    return b" ".join(map(_token_bytes(path).__getitem__, ids))
+
+
+@functools.cache
+def _token_bytes(path: str) -> list[bytes]:
     tokens = wordbpe.load(path).tokens
-    return " ".join(tokens[i] for i in ids)
+    return [tokens.get(i, "").encode("utf-8") for i in range(max(tokens) + 1)]
 
 
 @functools.cache
 def _id_cache(path: str) -> wordbpe.ChunkCache:
-    """Each chunk's packed ids and the bytes they decode to."""
+    """Each chunk's packed ids."""
     table = merge_table(path)
-    tokens = {i: t.encode("utf-8") for i, t in table.bpe.tokens.items()}
-    pack = lambda ids: (np.asarray(ids, dtype="<u4").tobytes(), b" ".join([tokens[int(i)] for i in ids]))
-
-    def values(words: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        for ids in table.encode_words(words):
-            yield ids.astype("<u4").tobytes(), b" ".join([tokens[i] for i in ids.tolist()])
 
-    def combine(parts: Sequence[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
-        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
+    def values(words: list[str]) -> Iterator[bytes]:
+        return (ids.astype("<u4").tobytes() for ids in table.encode_words(words))
 
-    return wordbpe.ChunkCache(table.bpe, values, lambda i: pack([i]), combine)
+    return wordbpe.ChunkCache(table.bpe, values, lambda i: np.array([i], dtype="<u4").tobytes(), b"".join)
 
 
 def encode_decode(docs: DataFrame, key: str, text: str, tokenizer_path: str, with_output: bool = True) -> DataFrame:
-    """Each row's key, n_tokens and digests; with_output adds the ids and the decoded text themselves."""
+    """Each row's key, n_tokens and digests of its ids and of what they decode to; with_output adds both themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _id_cache(tokenizer_path)
         for batch in batches:
             counts, packed_sha, text_sha, packed, texts = [], [], [], [], []
-            for _, found in cache.look_up(x.as_py() for x in batch.column(1)):
-                ids = b"".join([f[0] for f in found])
-                decoded = b" ".join([f[1] for f in found if f[0]])
-                counts.append(len(ids) // 4)
+            for ids in cache.joined_ids(batch.column(1)):
+                decoded = _decode_bytes(ids.tolist(), tokenizer_path)
+                counts.append(len(ids))
                 packed_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(decoded).hexdigest())
                 if with_output:
-                    packed.append(np.frombuffer(ids, dtype="<u4").astype(np.int64))
+                    packed.append(ids.astype(np.int64))
                     texts.append(decoded.decode("utf-8"))
             arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(packed_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]

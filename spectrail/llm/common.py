@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import functools
+import gc
 import re
 import time
 import uuid
@@ -24,13 +24,22 @@ SPACE_SQL = r"[\x20\x09-\x0D]+"
 
 
 TRIM_SECONDS = 1.0
+#: Bytes of an Arrow batch: whole texts lie in it on both sides, the JVM's and the Python worker's.
+BATCH_BYTES = 8 << 20
+#: Rows that the Parquet reader takes at once.
+READ_ROWS = 1024
+#: New objects after which Python looks for garbage in cycles; batches make many objects and no cycles.
+GC_OBJECTS = 100_000
 
 _settled: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session's spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR).rstrip("/")
+    """The folder that driver and executors share, from the session's spark.checkpoint.dir; on one machine it needn't be set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or DEFAULT_SHARED_DIR).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -82,6 +91,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     """The function for mapInArrow, with memory given back between batches, and at the end."""
 
     def run_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(GC_OBJECTS)
         last = time.monotonic()
         for batch in run(batches):
             yield batch
@@ -93,19 +103,20 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return run_lean
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for what is run inside: a batch of long texts lies in memory on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Bound what a batch of whole texts takes in the JVM and in Python workers, for the session, unless it is bounded closer already.
+
+    The settings hold when a result is run, which may be after the call that made it.
+    """
+    settings = spark._jsparkSession.sessionState().conf()
+    known = spark._jvm.org.apache.spark.sql.internal.SQLConf
+    for entry, most in ((known.ARROW_EXECUTION_MAX_BYTES_PER_BATCH(), size), (known.PARQUET_VECTORIZED_READER_BATCH_SIZE(), READ_ROWS)):
+        if settings.getConf(entry) > most:
+            spark.conf.set(entry.key(), str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -6,10 +6,11 @@ solved over the length histogram by multiplicative weights: a length's weight fa
 as configurations cover it, and pricing, the most valuable configuration under the
 weights, is a knapsack dynamic program over some of the open lengths, each in its
 turn. Rounds go on until every length is covered. The solution is rounded down, room
-in its configurations is used up by longer pieces of the remainder, and the remainder
-is filled one configuration at a time, longest piece first, the rest by a subset-sum
-program. If longest-first alone needs fewer sequences, its plan is taken;
-`solve_with_report` says what came from the program, and the lower bound.
+in its configurations is used up by longer pieces of the remainder, a few sequences
+are given up again, and the remainder is filled one configuration at a time, longest
+piece first, the last by a subset-sum program. If longest-first alone needs fewer
+sequences, its plan is taken; `solve_with_report` says what came from the program,
+and the lower bound: the program's dual at prices in proportion to length.
 
 Only the histogram, at most `capacity` numbers, reaches the driver. Pieces get their
 places by their rank among those of their length: a configuration used m times is
@@ -46,10 +47,10 @@ ROUNDS = 120
 STEP = 0.5
 #: The part of a price that falls.
 FALLING = 0.1
-#: Parts of the rounded sequences that are given up for the remainder, those with the shortest pieces first, if that needs fewer in all.
-SPARE = (0.0, 0.02)
+#: Ways to round, until one meets the bound: whether only full sequences stay (1), and the part of those that is given up for
+#: the remainder, those with the shortest pieces first.
+ROUNDINGS = ((1, 0.02), (1, 0.05), (1, 0.0), (0, 0.0))
 WORDS_AT_ONCE = 2000
-BATCH_ROWS = 2000
 #: Lengths that a pricing round looks at, of all that are open.
 POOL = 48
 #: Lengths that the fill's subset-sum program looks at.
@@ -57,13 +58,12 @@ PRICED = 96
 SEED = 4_229
 
 
-@functools.cache
-def _chunk_ids(path: str, share: float = 1.0) -> wordbpe.ChunkCache:
+def _chunk_ids(path: str, keep: bool = True) -> wordbpe.ChunkCache:
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
 
-    bpe = wordbpe.load(path)
+    bpe = wordbpe.WordBPE(path)
     ends = np.array([bpe.tokens.get(i, "").endswith(bpe.suffix) for i in range(max(bpe.tokens) + 1)])
 
     def encode(words: list[str]) -> Iterator[bytes]:
@@ -78,41 +78,29 @@ def _chunk_ids(path: str, share: float = 1.0) -> wordbpe.ChunkCache:
             else:  # the library cuts one of them further
                 yield from (np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(part, add_special_tokens=False))
 
-    return wordbpe.ChunkCache(bpe, encode, lambda i: np.array([i], dtype="<u4").tobytes(), b"".join, share)
+    return wordbpe.ChunkCache(bpe, encode, lambda i: np.array([i], dtype="<u4").tobytes(), b"".join, keep)
 
 
-def _joined_ids(cache: wordbpe.ChunkCache, texts: pa.Array) -> Iterator[np.ndarray]:
-    """Each text's ids: those of its chunks, gathered from the ids of all distinct chunks."""
-    for sizes, values, numbers, ends in cache.look_up_arrow(texts):
-        if len(sizes) == 1:  # perhaps a very long text
-            yield np.frombuffer(b"".join([values[i] for i in numbers.tolist()]), dtype="<u4")
-            continue
-        flat = np.frombuffer(b"".join(values), dtype="<u4")
-        counts = np.fromiter(map(len, values), dtype=np.int32, count=len(values)) // 4
-        starts = (np.cumsum(counts) - counts).astype(np.int32)
-        each = counts[numbers]
-        till = np.cumsum(each)
-        source = np.repeat(starts[numbers] - (till - each).astype(np.int32), each)
-        source += np.arange(len(source), dtype=np.int32)
-        gathered = flat[source]
-        bounds = np.r_[0, till][np.r_[0, ends]]
-        yield from (gathered[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-
-
-def cut_pieces(docs: DataFrame, key: str, text: str, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, cache_share: float = 1.0) -> DataFrame:
+@functools.cache
+def _kept_chunk_ids(path: str) -> wordbpe.ChunkCache:
+    """What a worker keeps from task to task."""
+    return _chunk_ids(path)
+
+
+def cut_pieces(docs: DataFrame, key: str, text: str, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
     """Each document's pieces, with their task's number and their rank in the task among pieces of their length.
 
     Task and rank are fixed once the table is written; `place_pieces` needs it settled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _chunk_ids(tokenizer_path, cache_share)
+        cache = _kept_chunk_ids(tokenizer_path) if keep_words else _chunk_ids(tokenizer_path, False)
         task = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             owner, piece, start, length, crc, rank, packed = [], [], [], [], [], [], []
-            for row, ids in enumerate(_joined_ids(cache, batch.column(1))):
+            for row, ids in enumerate(cache.joined_ids(batch.column(1))):
                 total = len(ids) + 1
                 for k, at in enumerate(range(0, total, capacity)):
                     part = ids[at : at + capacity]
@@ -157,13 +145,13 @@ def _best_configuration(lengths: np.ndarray, values: np.ndarray, limits: np.ndar
             k *= 2
     best = np.zeros(capacity + 1)
     took = np.zeros((len(sizes), capacity + 1), dtype=bool)
+    buffer = np.empty(capacity + 1)
     for j, (size, gain) in enumerate(zip(sizes, gains, strict=True)):
         if size > capacity:
             continue
-        offer = best[:-size] + gain if size else best + gain
-        better = offer > best[size:]
-        took[j, size:] = better
-        best[size:] = np.where(better, offer, best[size:])
+        offer = np.add(best[: capacity + 1 - size], gain, out=buffer[: capacity + 1 - size])
+        np.greater(offer, best[size:], out=took[j, size:])
+        np.maximum(offer, best[size:], out=best[size:])
     chosen = np.zeros(len(lengths), dtype=np.int64)
     room = int(np.argmax(best))
     for j in range(len(sizes) - 1, -1, -1):
@@ -174,7 +162,7 @@ def _best_configuration(lengths: np.ndarray, values: np.ndarray, limits: np.ndar
 
 
 def _fill(lengths: np.ndarray, left: np.ndarray, capacity: int, exact: bool) -> np.ndarray:
-    """One configuration of what is left, from long to short; `exact` looks for a full filling in place of its shortest pieces."""
+    """One configuration of what is left, from long to short; `exact` looks for a full filling in place of its shortest piece."""
     chosen = np.zeros(len(lengths), dtype=np.int64)
     room = capacity
     live = np.flatnonzero(left)[::-1]
@@ -189,15 +177,16 @@ def _fill(lengths: np.ndarray, left: np.ndarray, capacity: int, exact: bool) ->
         chosen[i] = min(int(left[i]), room // int(lengths[i]))
         room -= int(chosen[i] * lengths[i])
         at += 1
-    if room and exact:
+    if room and exact and chosen.sum() > 1:
         small = int(np.flatnonzero(chosen)[0])
-        if chosen[small] > 1 or small != live[0]:
-            free = 1 if small == live[0] else int(chosen[small])
-            chosen[small] -= free
-            room += free * int(lengths[small])
-            rest = left - chosen
-            within = np.flatnonzero((rest > 0) & (lengths <= room))[::-1][:PRICED]
-            chosen[within] += _best_configuration(lengths[within], lengths[within].astype(float), rest[within], room)
+        chosen[small] -= 1
+        room += int(lengths[small])
+        rest = left - chosen
+        within = np.flatnonzero((rest > 0) & (lengths <= room))
+        if len(within) > PRICED:  # the longest, and others all the way down
+            within = np.unique(np.r_[within[-PRICED // 2 :], within[np.linspace(0, len(within) - 1, PRICED // 2).astype(np.int64)]])
+        within = within[::-1]
+        chosen[within] += _best_configuration(lengths[within], lengths[within].astype(float), rest[within], room)
     return chosen
 
 
@@ -320,11 +309,13 @@ def solve_with_report(histogram: dict[int, int], capacity: int = CAPACITY, round
     solution = cover(lengths, left, capacity, rounds)
     value = sum(u for _, u in solution)
     tries = []
-    for least, spare in ((0, 0.0), *((capacity, x) for x in SPARE)):
-        rounded, rest = _round_down(solution, lengths, left, capacity, least, spare)
+    for least, spare in ROUNDINGS:
+        rounded, rest = _round_down(solution, lengths, left, capacity, least * capacity, spare)
         tries.append((whole + rounded + _fill_all(lengths, rest, capacity, True), count(whole + rounded)))
-    # Without the program's help, longest first: in small or odd histograms that can need fewer.
-    tries.append((whole + _fill_all(lengths, left, capacity, False), count(whole)))
+        if count(tries[-1][0]) == bound:
+            break
+    else:  # Without the program's help, longest first: in small or odd histograms that can need fewer.
+        tries.append((whole + _fill_all(lengths, left, capacity, False), count(whole)))
     plan, from_program = min(tries, key=lambda x: count(x[0]))
     return plan, Report(count(plan), from_program, count(whole) + value, bound)
 
@@ -387,13 +378,13 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(common.lean(run), f"{schema}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, key: str, text: str, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, cache_share: float = 1.0) -> DataFrame:
+def pack(docs: DataFrame, key: str, text: str, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
     """Each piece with its sequence and offset; with_ids adds the ids, ready to be written out by sequence.
 
-    cache_share below one trades CPU time for memory of the Python workers.
+    Without keep_words Python workers take more CPU time and less memory: they keep nothing from slice to slice, nor from task to task.
     """
-    with common.small_batches(docs.sparkSession, BATCH_ROWS):
-        pieces = common.settle(cut_pieces(docs, key, text, tokenizer_path, capacity, with_ids, cache_share), "pack-pieces")
+    common.bound_batches(docs.sparkSession)
+    pieces = common.settle(cut_pieces(docs, key, text, tokenizer_path, capacity, with_ids, keep_words), "pack-pieces")
     placed = place_pieces(pieces, capacity)
     return placed.select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
 
