@@ -15,13 +15,19 @@ pairs in different components where not both are in the bucket's largest, is
 compared in full, cell by cell of two bounded blocks, so that no pair that shares a
 bucket goes unseen. A cell gives out the links that join its components, not pairs.
 
-With `BANDS` bands of `BAND_ROWS` rows a pair at the threshold of 0.85 shares none
-with a probability of 8e-7.
+Bands are as wide as lets a pair at the threshold share none with a probability of
+at most `UNSEEN`: 24 bands of 5 rows at 0.85 (8e-7), 30 of 4 at 0.80 (2e-7).
+
+Shingles are compared by 64-bit hashes. Two documents of n and m shingles take one
+for another with a probability of n * m / 2**64: 5e-12 for ten thousand shingles each.
 
 Defined results: a document without words (null, empty or white space) has an empty
-set and is linked with nothing; one with fewer words than a shingle has its whole
-sequence as one shingle; rows that share an id count as one document; a row without
-an id has no component and is kept; an empty table gives an empty result.
+set and is linked with nothing, whatever other rows share its id; one with fewer
+words than a shingle has its whole sequence as one shingle; rows that share an id
+count as one document, linked with all that any of its texts is linked with; a row
+without an id has no component and is kept; of a very long text the set is held
+whole, its signature is made from some shingles at a time; columns other than key
+and text play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +45,8 @@ from spectrail.llm import common
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
-BANDS, BAND_ROWS = 24, 5
-HASHES = BANDS * BAND_ROWS
+HASHES = 120
+UNSEEN = 1e-6
 BATCH = 20
 MISS = 1e-7
 STAR_ROUNDS = 2
@@ -79,6 +85,13 @@ def signature(shingles: np.ndarray, multipliers: tuple[np.ndarray, np.ndarray])
     return (least >> np.uint64(32)).astype("<u4")
 
 
+def banding(percent: int, unseen: float = UNSEEN) -> tuple[int, int]:
+    """Bands, and rows in each: as wide as may be if a pair at the threshold is to share a band but for a chance of `unseen`."""
+    fits = [r for r in range(1, HASHES + 1) if HASHES % r == 0 and (1 - (percent / 100) ** r) ** (HASHES // r) <= unseen]
+    rows = max(fits, default=1)
+    return HASHES // rows, rows
+
+
 def fewest_matches(percent: int, miss: float = MISS) -> list[int]:
     """For 0, BATCH, 2*BATCH, ... rows compared: the fewest matches with which a pair stays a candidate.
 
@@ -221,6 +234,19 @@ def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame, words: int) -> D
     return wanted.mapInArrow(common.lean(run), "id long, n long, shingles binary").where("n > 0").dropDuplicates()
 
 
+def _same_ids(named: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Components of the classes that share an id; None if each id has one text."""
+    digest = F.struct("d1", "d2")
+    many = common.settle(named.groupBy("id").agg((F.min(digest) != F.max(digest)).alias("many")).where("many").select("id"), "dup-same-ids")
+    if many.isEmpty():
+        common.release(many)
+        return None
+    kin = named.join(many, "id", "left_semi").select(F.col("id").alias("b"), "d1", "d2").join(classes.withColumnRenamed("id", "a"), ["d1", "d2"])
+    found = components(kin.select("a", "b").distinct())
+    common.release(many)
+    return found
+
+
 def _leaders(members: DataFrame, round_: int) -> DataFrame:
     order = F.xxhash64(F.lit(SEED + round_), F.col("bucket"), F.col("id"))
     return common.settle(members.groupBy("bucket").agg(F.min_by("id", order).alias("a")), "dup-leaders")
@@ -236,7 +262,7 @@ def _star_pairs(members: DataFrame, leaders: DataFrame, component: DataFrame | N
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b")
 
 
-def _rest_cells(members: DataFrame, component: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _rest_cells(members: DataFrame, component: DataFrame, sketches: DataFrame, percent: int, band_rows: int) -> DataFrame:
     """What is left to confirm, by cells: a block of a bucket's probes against a block of its classes.
 
     In each bucket the classes outside its largest component are probes; they meet all its classes in other
@@ -264,14 +290,14 @@ def _rest_cells(members: DataFrame, component: DataFrame, sketches: DataFrame, p
         left = np.frombuffer(b"".join(r["sig"] for r in probes), dtype="<u4").reshape(-1, HASHES)
         right = np.frombuffer(b"".join(r["sig"] for r in targets), dtype="<u4").reshape(-1, HASHES)
         ids, sizes, parts, probe = (take(targets, c) for c in ("id", "n", "component", "probe"))
-        earlier = BAND_ROWS * group[0]["band"]
+        earlier = band_rows * group[0]["band"]
         named: dict[int, int] = {}
         out = []
         for i, p in enumerate(probes):
             fits = (parts != p["component"]) & (100 * np.minimum(sizes, p["n"]) >= percent * np.maximum(sizes, p["n"])) & ((probe == 0) | (ids > p["id"]))
             at = np.flatnonzero(fits)
             if earlier and len(at):
-                same = (right[at, :earlier] == left[i, :earlier]).reshape(len(at), -1, BAND_ROWS).all(axis=2).any(axis=1)
+                same = (right[at, :earlier] == left[i, :earlier]).reshape(len(at), -1, band_rows).all(axis=2).any(axis=1)
                 at = at[~same]
             if len(at):
                 stay, _ = survives(np.broadcast_to(left[i], (len(at), HASHES)), right[at], table)
@@ -317,8 +343,12 @@ def _confirm_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """Links (a, b) of settled cells, confirmed on full sets; no more than join the cell's components are looked for."""
 
     def links(group: list[dict]) -> Iterator[tuple[int, int]]:
-        full = {r["id"]: np.frombuffer(r["shingles"], dtype=np.uint64) for r in group if r["candidates"] is None}
-        root = {r["id"]: r["component"] for r in group if r["candidates"] is None}
+        full: dict[int, list[np.ndarray]] = {}  # of an id with several texts all sets
+        root: dict[int, int] = {}
+        for r in group:
+            if r["candidates"] is None:
+                full.setdefault(r["id"], []).append(np.frombuffer(r["shingles"], dtype=np.uint64))
+                root[r["id"]] = r["component"]
         above: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -327,24 +357,22 @@ def _confirm_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             return x
 
         for r in group:
-            if r["candidates"] is None:
-                continue
-            own = full[r["id"]]
-            left = r["candidates"]
-            while left:
-                now, left = left[:32], left[32:]
-                now = [t for t in now if top(root[t]) != top(root[r["id"]])]
-                if not now:
-                    continue
-                sizes = np.array([len(full[t]) for t in now])
-                flat = np.concatenate([full[t] for t in now])
-                hits = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-                both = np.add.reduceat(hits.astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
-                for k in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)):
-                    a, b = top(root[now[k]]), top(root[r["id"]])
-                    if a != b:
-                        above[max(a, b)] = min(a, b)
-                        yield r["id"], now[k]
+            for own in full[r["id"]] if r["candidates"] is not None else ():
+                left = r["candidates"]
+                while left:
+                    now, left = left[:32], left[32:]
+                    pairs = [(t, x) for t in now if top(root[t]) != top(root[r["id"]]) for x in full[t]]
+                    if not pairs:
+                        continue
+                    sizes = np.array([len(x) for _, x in pairs])
+                    flat = np.concatenate([x for _, x in pairs])
+                    hits = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                    both = np.add.reduceat(hits.astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+                    for k in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)):
+                        a, b = top(root[pairs[k][0]]), top(root[r["id"]])
+                        if a != b:
+                            above[max(a, b)] = min(a, b)
+                            yield r["id"], pairs[k][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _by_cell(batches):
@@ -360,11 +388,12 @@ def _confirm_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """Each row's id, set size, component and whether it is the document that its component keeps."""
+    many_bands, band_rows = banding(percent)
     profiles = common.settle(profile(docs, key, text, words), "dup-profiles")
     named = profiles.where("n > 0 AND id IS NOT NULL")
     classes = common.settle(named.groupBy("d1", "d2").agg(F.min("id").alias("id")), "dup-classes")
     sketches = common.settle(profiles.where("n > 0").join(classes, ["id", "d1", "d2"], "left_semi").select("id", "n", "sig").dropDuplicates(), "dup-sketches")
-    bands = F.array(*[F.struct(F.lit(z).alias("band"), F.xxhash64(F.lit(z), F.substring("sig", 1 + 4 * BAND_ROWS * z, 4 * BAND_ROWS)).alias("bucket")) for z in range(BANDS)])
+    bands = F.array(*[F.struct(F.lit(z).alias("band"), F.xxhash64(F.lit(z), F.substring("sig", 1 + 4 * band_rows * z, 4 * band_rows)).alias("bucket")) for z in range(many_bands)])
     banded = sketches.select("id", F.explode(bands).alias("x")).select("id", "x.band", "x.bucket")
     shared = common.settle(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "dup-buckets")
     members = common.settle(banded.join(shared, "bucket", "left_semi"), "dup-members")
@@ -372,14 +401,14 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     sets = common.settle(_sets(docs, key, text, met, words).select("id", "shingles"), "dup-sets")
     near = common.settle(sketches.join(met, "id", "left_semi"), "dup-near")
 
-    component = None
+    component = _same_ids(named, classes)
     for round_ in range(STAR_ROUNDS):
         leaders = _leaders(members, round_)
         likely = _compare(_star_pairs(members, leaders, component), near, percent)
         best = common.settle(likely.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "dup-star")
         component = _merge_components(component, _confirm(best, sets, percent))
         common.release(leaders, best)
-    rest = common.settle(_rest_cells(members, component, near, percent), "dup-rest")
+    rest = common.settle(_rest_cells(members, component, near, percent, band_rows), "dup-rest")
     component = _merge_components(component, _confirm_cells(rest, sets, percent))
 
     known = common.settle(
