@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one for each shard.
 
-Equal vectors are one class and take one node. Classes are dealt over shards of about
-`SHARD_NODES` nodes by a hash. In each shard a graph grows in batches: a greedy beam
+Equal vectors are one class and take one node. Classes are dealt over shards by a
+hash; shards and their size both grow with the square root of the table, until a
+shard holds as much as a task should (`SHARD_BYTES`). In each shard a graph grows in batches: a greedy beam
 search from the medoid proposes a node's neighbours among the nodes it expands;
 relaxed pruning (`ALPHA`) walks them from near to far and drops those that a kept
 one is much nearer to, so that the kept edges point different ways; edges are added
@@ -9,14 +10,18 @@ backwards too and pruned where they grow too many. A query's beam search runs in
 every shard; the best of all shards' finds, scored in double precision on the
 original vectors, are its neighbours.
 
-Queries are packed in blocks; a shard loads its graph once and takes the blocks one
-after another. Of a class the `k` + 1 smallest ids are kept: no more can be among
+Queries are packed in blocks. A task loads a shard's graph once and takes blocks one
+after another, up to `TASK_QUERIES` queries; a shard with more has more tasks. Every
+query meets every shard, so that work grows with queries times shards: linear in the
+table times its square root while shards grow, with its square beyond. Of a class the `k` + 1 smallest ids are kept: no more can be among
 the k nearest of a query that may itself be one of them, as ties go to smaller ids.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite
 components take no part, nor do rows without id; vectors are compared with those of
-their own length only; rows that repeat an id with one vector count once; a query
-with fewer than k candidates gets them all; an empty table gives an empty result.
+their own length only; rows that repeat an id with one vector count once; an id with
+several vectors is as near as the nearest of them, as a query as well as a candidate;
+ties go to smaller ids; a query with fewer than k candidates gets them all; columns
+other than key and vector play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +41,10 @@ from spectrail.llm import common
 
 K = 5
 QUERY_EVERY = 50
-SHARD_NODES = 8192
+#: A table of n distinct vectors has about sqrt(n / SHARD_BASE) shards.
+SHARD_BASE = 3_000
+SHARD_BYTES = 128 << 20
+TASK_QUERIES = 1 << 18
 DEGREE = 28
 SLACK = 12
 BEAM_BUILD = 48
@@ -241,9 +249,16 @@ def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
         yield key, group
 
 
-def index(found: DataFrame, shard_nodes: int = SHARD_NODES) -> DataFrame:
+def shards_of(nodes: int, vector_bytes: int, shard_nodes: int | None = None) -> int:
+    """How many shards a table of so many distinct vectors has."""
+    # A node's doubles, its unit vector in single precision, its edges twice and its ids.
+    most = max(1, SHARD_BYTES // (vector_bytes * 3 // 2 + 12 * (DEGREE + SLACK) + 8 * (K + 2)))
+    return max(1, -(-nodes // shard_nodes) if shard_nodes else max(round((nodes / SHARD_BASE) ** 0.5), -(-nodes // most)))
+
+
+def index(found: DataFrame, shard_nodes: int | None = None) -> DataFrame:
     """One row per shard: its graph, vectors and ids, packed. `found` is a settled table of classes."""
-    counts = {r["dim"]: max(1, -(-r["n"] // shard_nodes)) for r in found.groupBy(F.octet_length("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["dim"]: shards_of(r["n"], r["dim"], shard_nodes) for r in found.groupBy(F.octet_length("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return found.sparkSession.createDataFrame([], "dim int, shard int, graph binary")
     shards = F.element_at(F.create_map(*[x for d, n in counts.items() for x in (F.lit(d), F.lit(n))]), F.col("dim"))
@@ -284,17 +299,24 @@ def _query_blocks(queries: DataFrame) -> DataFrame:
     return queries.mapInArrow(common.lean(run), "dim int, block binary")
 
 
-def search(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM_SEARCH) -> DataFrame:
+def search(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM_SEARCH, task_queries: int = TASK_QUERIES) -> DataFrame:
     """Each query's k nearest: query_id, rank, vec_id, score. `graphs` is a settled index, `queries` has id and v."""
     # Vectors come in few lengths; every block goes to each shard of its length, a stated query set against all rows.
     counts = {r["dim"]: r["n"] for r in graphs.groupBy("dim").agg(F.count(F.lit(1)).cast("int").alias("n")).collect()}
     if not counts:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = F.try_element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("dim"))
-    blocks = _query_blocks(queries).select("dim", F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"), F.lit(1).alias("kind"), F.col("block").alias("blob"))
+    asked = queries.groupBy((8 * F.size("v")).alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()
+    parts = {r["dim"]: -(-r["n"] // task_queries) for r in asked if r["dim"] in counts}
+    if not parts:
+        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    of = lambda numbers: F.try_element_at(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair]), F.col("dim"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    part = F.pmod(F.xxhash64("block"), of(parts)).cast("int").alias("part")
+    blocks = _query_blocks(queries).select("dim", part, "block").select("dim", numbers(of(counts)).alias("shard"), "part", F.lit(1).alias("kind"), F.col("block").alias("blob"))
+    loaded = graphs.select("dim", "shard", numbers(F.coalesce(of(parts), F.lit(1)).cast("int")).alias("part"), F.lit(0).alias("kind"), F.col("graph").alias("blob"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _groups(batches, ("dim", "shard")):
+        for _, group in _groups(batches, ("dim", "shard", "part")):
             graph = None
             for row in group:
                 if row["kind"] == 0:
@@ -317,10 +339,10 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM_S
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
-    both = graphs.select("dim", "shard", F.lit(0).alias("kind"), F.col("graph").alias("blob")).unionAll(blocks)
-    found = both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind").mapInArrow(common.lean(run), "query_id long, vec_id long, score double")
+    dealt = loaded.unionAll(blocks).repartition("dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", "kind")
+    found = dealt.mapInArrow(common.lean(run), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
