@@ -1,17 +1,23 @@
 """Quality rules: counts per document, base rules, and an isolation forest over the rule statistics.
 
-A rule measures a share (of symbols, of words in capitals, ...) and tolerates up to
-`MARGIN` times what all but one in a thousand of the rows labelled good have; its
-statistic is the excess over that. Each tree of the forest splits a small random
-part of the rows at random values of random statistics until rows stand alone. Rows
-that stand alone after few splits are unlike the rest. The forest grows on at most
-`FIT_ROWS` labelled rows (those with the smallest seeded hashes of their ids);
-tolerances, and the score above which a row is rejected, come from all labelled rows.
+A rule measures a share: of symbols, of words in capitals, and so on. The forest sees
+shares on a scale that leaves their order as it is, but gives what good rows have
+little room: up to `MARGIN` times what all but one in a thousand of the rows labelled
+good have it takes `ORDINARY` of the scale, and beyond it grows with the fourth root.
+Each tree splits a small random part of the rows at random values of random measures
+until rows stand alone; `BACKGROUND` copies of those rows for each measure, with that
+measure drawn from the whole scale, make it split measures too that hardly vary, so
+that what no row of the fit has is still found far out. Rows that stand alone after
+few splits are unlike the rest. The forest grows on at most `FIT_ROWS` labelled rows
+(those with the smallest seeded hashes of their ids); the scale, and the score above
+which a row is rejected, come from all labelled rows.
 
 Defined results: a null text counts as empty and fails the base rules; a document
 without labels is judged like any other; without labelled rows of both kinds that
-pass the base rules, the forest rejects nothing; rows that repeat are judged each;
-other columns pass through `keep_rows` untouched; an empty table gives an empty result.
+pass the base rules, the forest rejects nothing; rows that repeat are judged each; a
+score equal to the threshold is rejected; a very long text is split into words whole,
+by one task; other columns pass through `keep_rows` untouched; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +48,8 @@ SCORE_BINS = 2000
 SEED = 3_301
 TOLERATED = 0.999
 MARGIN = 1.5
+ORDINARY = 0.005
+BACKGROUND = 8
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capital_words", "n_exclamations", "n_stutters")
 
@@ -84,7 +92,7 @@ def count_text(text: str | None) -> tuple[int, ...]:
     blank = len(raw) - len(raw.translate(None, SPACES))
     return (
         len(words), len(text) - blank, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words),
-        sum(1 for w in words if len(w) > 1 and w.isupper()), raw.count(b"!"), sum(map(operator.eq, words, words[1:])),
+        sum(1 for w in words if len(w) > 1 and (w if w.isascii() else w.decode("utf-8")).isupper()), raw.count(b"!"), sum(map(operator.eq, words, words[1:])),
     )
 
 
@@ -100,9 +108,11 @@ _TOPS, _BASES = (np.array([COUNTS.index(m.split(" / ")[0]) for m in MEASURES]),
 
 
 def statistics(counts: np.ndarray, tolerance: np.ndarray) -> np.ndarray:
-    """The excess of each measure over its tolerance."""
-    shares = counts[:, _TOPS] / np.maximum(counts[:, _BASES], 1)
-    return np.maximum(shares - tolerance, 0.0)
+    """Each measure's share on the forest's scale, from 0 to 1."""
+    shares = np.minimum(counts[:, _TOPS] / np.maximum(counts[:, _BASES], 1), 1.0)
+    inside = np.divide(np.minimum(shares, tolerance), tolerance, out=np.zeros_like(shares), where=tolerance > 0)
+    beyond = np.maximum(shares - tolerance, 0.0) / np.maximum(1 - tolerance, 1e-9)
+    return ORDINARY * inside + (1 - ORDINARY) * beyond**0.25
 
 
 def _even_path(n: float) -> float:
@@ -142,7 +152,8 @@ def grow(counts: np.ndarray, tolerance: np.ndarray, trees: int = TREES, tree_row
     rng = np.random.default_rng(seed)
     x = statistics(counts, tolerance)
     size = min(tree_rows, len(x))
-    limit = max(1, int(np.ceil(np.log2(max(size, 2)))))
+    whole = size + BACKGROUND * x.shape[1]
+    limit = int(np.ceil(np.log2(whole)))
     nodes: list[list[float]] = []
 
     def build(part: np.ndarray, depth: int) -> int:
@@ -160,10 +171,17 @@ def grow(counts: np.ndarray, tolerance: np.ndarray, trees: int = TREES, tree_row
                 nodes[me][3] = build(part[~below], depth + 1)
         return me
 
-    roots = [build(x[rng.choice(len(x), size, replace=False)], 0) for _ in range(trees)]
+    def sample() -> np.ndarray:
+        part = x[rng.choice(len(x), size, replace=False)]
+        strange = part[rng.integers(0, size, BACKGROUND * x.shape[1])]
+        at = np.arange(len(strange))
+        strange[at, at // BACKGROUND] = rng.random(len(strange))
+        return np.vstack([part, strange])
+
+    roots = [build(sample(), 0) for _ in range(trees)]
     table = np.array(nodes)
     ints = lambda k: table[:, k].astype(np.int64)
-    return Forest(ints(0), table[:, 1], ints(2), ints(3), table[:, 4], np.array(roots), limit, max(_even_path(size), 1.0), tolerance)
+    return Forest(ints(0), table[:, 1], ints(2), ints(3), table[:, 4], np.array(roots), limit, _even_path(whole), tolerance)
 
 
 def rule_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -191,7 +209,7 @@ def fit(counts: DataFrame, labels: DataFrame, key: str, label: str = "quality",
     picked = labelled.orderBy(F.xxhash64(F.lit(SEED), key), *COUNTS).limit(fit_rows).select(*COUNTS).collect()
     rows = np.array([list(r) for r in picked], dtype=np.int64).reshape(-1, len(COUNTS))
     usual = labelled.where("good = 1").agg(*[F.percentile_approx(F.expr(m), TOLERATED, 100_000).alias(f"m{i}") for i, m in enumerate(MEASURES)]).first()
-    tolerance = np.array([MARGIN * (m or 0.0) for m in usual])
+    tolerance = np.minimum(1.0, [MARGIN * (m or 0.0) for m in usual])
     forest = grow(rows if len(rows) else np.zeros((1, len(COUNTS)), dtype=np.int64), tolerance)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
