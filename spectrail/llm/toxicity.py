@@ -12,18 +12,23 @@ toxic documents first (see `choose_categories`). A document is of a category if
 is labelled toxic and has one of its features. The last link of the chain is the
 label itself.
 
-The classifier (the `FEATURES` words and word starts with the greatest chi-square, and
-the models over them) is fitted on at most `FIT_ROWS` labelled documents, those with
-the smallest seeded hashes of their ids. The threshold is calibrated on all labelled
-documents: on out-of-fold predictions of those fitted on, on predictions of the rest.
+The classifier (the `FEATURES` words and word starts with the greatest chi-square, their
+categories, and the models over them) is fitted on at most `FIT_ROWS` labelled documents,
+those with the smallest seeded hashes of their ids. The threshold is calibrated on all
+labelled documents: on predictions of the rest, and for those fitted on by chains that
+were fitted from features to models without the document's fold. Folds go by hashes of
+ids, so that rows of one document share a fold.
 
 Defined results: a null, empty or unlabelled text is judged like any other; with no
 labelled documents of one kind nothing is toxic; rows that repeat are judged each;
-other columns pass through `keep_rows` untouched; an empty table gives an empty result.
+features of equal chi-square are taken in name order, a probability equal to the
+threshold isn't toxic; of a very long text the set of its words is held whole; other
+columns pass through `keep_rows` untouched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -42,6 +47,8 @@ MIN_DOCS = 3
 FIT_ROWS = 20_000
 CATEGORIES = 3
 FOLDS = 5
+#: Folds inside each of the chains that leave one of FOLDS out, for the probabilities that their later links are fitted on.
+INNER_FOLDS = 2
 RIDGE = 1e-3
 STEPS = 300
 #: A clean row lost weighs as much as so many toxic rows missed, each as a share of its kind.
@@ -124,13 +131,7 @@ class Chain:
             columns = [known[f] for f in features(text) & known.keys()]
             if columns:
                 sums[i] += self.weights[:, columns].sum(axis=1)
-        return self._link(sums)
-
-    def _link(self, sums: np.ndarray) -> np.ndarray:
-        p = np.zeros_like(sums)
-        for i, past in enumerate(self.past):
-            p[:, i] = _sigmoid(sums[:, i] + p[:, :i] @ past)
-        return p
+        return link_probabilities(sums, self.past)
 
 
 def document_features(docs: DataFrame, key: str, text: str, carried: list[str]) -> DataFrame:
@@ -147,17 +148,23 @@ def document_features(docs: DataFrame, key: str, text: str, carried: list[str])
     return chosen.mapInArrow(common.lean(run), f"{kinds}, features array<string>")
 
 
-def choose_vocabulary(labelled: DataFrame, limit: int = FEATURES) -> list[str]:
-    """The features that tell toxic from other rows best, by chi-square over all labelled rows, ties in name order."""
-    totals = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
-    n, t = float(totals["n"]), float(totals["t"] or 0)
+def feature_counts(labelled: DataFrame) -> DataFrame:
+    """For each feature the rows and the toxic rows that have it, in all (f, a) and in each fold (f0, a0, ...)."""
+    inside = [x for k in range(FOLDS) for x in (F.count_if(F.col("fold") == k).alias(f"f{k}"), F.count_if((F.col("fold") == k) & (F.col("toxic") == 1)).alias(f"a{k}"))]
+    exploded = labelled.select("toxic", "fold", F.explode("features").alias("feature"))
+    return exploded.groupBy("feature").agg(F.count(F.lit(1)).alias("f"), F.sum("toxic").alias("a"), *inside).where(F.col("f") >= MIN_DOCS)
+
+
+def choose_vocabulary(counts: DataFrame, n: float, t: float, without: int | None = None, limit: int = FEATURES) -> list[str]:
+    """The features that tell t toxic from n rows best, by chi-square, ties in name order; `without` leaves a fold's rows out."""
     if not t or t == n:
         return []
-    counts = labelled.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("f"), F.sum("toxic").cast("double").alias("a")).where(f"f >= {MIN_DOCS} AND f < {n}")
-    off = F.col("a") * n - F.col("f") * t
-    chi = off * off / (F.col("f") * (n - F.col("f")))
+    f, a = (F.col(c).cast("double") - (F.col(f"{c}{without}") if without is not None else 0) for c in ("f", "a"))
+    off = a * n - f * t
+    chi = off * off / (f * (n - f))
     # Only features of toxic rows: what is rare in toxic rows says little about a long clean text.
-    return [r["feature"] for r in counts.where(off > 0).orderBy(chi.desc(), "feature").limit(limit).select("feature").collect()]
+    fine = counts.where((f >= MIN_DOCS) & (f < n) & (off > 0))
+    return [r["feature"] for r in fine.orderBy(chi.desc(), "feature").limit(limit).select("feature").collect()]
 
 
 def choose_categories(x: Sparse, y: np.ndarray, many: int = CATEGORIES) -> np.ndarray:
@@ -189,33 +196,45 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str = "t
     # Of at most fit_rows small rows: no text is shuffled to meet its label.
     sample = common.settle(_known(labels, key, label).orderBy("hash", key, "label").limit(fit_rows), "toxicity-sample")
     last_hash = sample.agg(F.max("hash")).first()[0]
-    known = F.broadcast(sample.select(key, F.col("label").alias("toxic")))
-    labelled = common.settle(document_features(docs.select(key, text).join(known, key), key, text, ["toxic"]), "toxicity-labelled")
-    vocabulary = choose_vocabulary(labelled)
+    fold = F.pmod(F.xxhash64(F.lit(SEED + 1), key), F.lit(FOLDS)).cast("int")
+    known = F.broadcast(sample.select(key, F.col("label").alias("toxic"), fold.alias("fold")))
+    labelled = common.settle(document_features(docs.select(key, text).join(known, key), key, text, ["toxic", "fold"]), "toxicity-labelled")
+    sizes = {r["fold"]: (r["n"], r["t"]) for r in labelled.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).collect()}
+    n, t = (float(sum(x[i] for x in sizes.values())) for i in (0, 1))
+    counts = common.settle(feature_counts(labelled), "toxicity-features")
+    vocabulary = choose_vocabulary(counts, n, t)
     names = tuple(f"category_{i + 1}" for i in range(categories))
     if not vocabulary:
+        common.release(sample, labelled, counts)
         nothing = Chain({}, names, np.zeros((categories + 1, 0)), tuple(np.zeros(i) for i in range(categories + 1)), np.full(categories + 1, -35.0), 1.0)
         return Fitted(nothing, np.zeros((2, BINS + 1)), last_hash)
-    place = {f: i for i, f in enumerate(vocabulary)}
+    without = [choose_vocabulary(counts, n - sizes.get(k, (0, 0))[0], t - sizes.get(k, (0, 0))[1], k) for k in range(FOLDS)]
+    place = {f: i for i, f in enumerate(dict.fromkeys([*vocabulary, *(f for fs in without for f in fs)]))}
     shared = spark.sparkContext.broadcast(place)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = shared.value
         for batch in batches:
-            found = [[numbers[f] for f in fs if f in numbers] for fs in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "toxic", "columns"])
+            found = [[numbers[f] for f in fs if f in numbers] for fs in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], names=["id", "toxic", "fold", "columns"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = labelled.select(F.col(key).alias("id"), "toxic", "features").mapInArrow(common.lean(numbered), f"id {kind}, toxic int, columns array<int>").orderBy("id", "toxic", "columns").toArrow()
-    common.release(sample, labelled)
+    rows = labelled.select(F.col(key).alias("id"), "toxic", "fold", "features").mapInArrow(common.lean(numbered), f"id {kind}, toxic int, fold int, columns array<int>").orderBy("id", "toxic", "columns").toArrow()
+    common.release(sample, labelled, counts)
     y = rows["toxic"].to_numpy().astype(float)
     lists = rows["columns"].combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    x = Sparse(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(y)), sizes), (len(y), len(vocabulary)))
-    chain, out = _fit_chain(x, y, place, names)
-    del x, rows, lists
+    x = Sparse(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy())), (len(y), len(place)))
+    data = Labelled(x, y, rows["fold"].to_numpy(), tuple(np.array([place[f] for f in fs], dtype=np.int64) for fs in (*without, vocabulary)))
+    del rows, lists
+    found = _fit_all(spark, data, categories)
+    weights, past, intercepts, _ = found[FOLDS]
+    chain = Chain({f: i for i, f in enumerate(vocabulary)}, names, weights[:, : len(vocabulary)], past, intercepts, 0.5)
+    bins = np.zeros((2, BINS + 1))
+    for k in range(FOLDS):
+        for label in (0, 1):
+            mine = found[k][3][y[data.fold == k] == label]
+            bins[label] += np.bincount((mine * BINS).astype(np.int64), minlength=BINS + 1)
     common.give_back()
-    bins = np.array([np.bincount((out[y == k] * BINS).astype(np.int64), minlength=BINS + 1) for k in (0, 1)], dtype=float)
     return Fitted(chain, bins, last_hash)
 
 
@@ -237,31 +256,84 @@ def calibrate(fitted: Fitted, scored: DataFrame, labels: DataFrame, key: str, la
     missed = np.r_[0, toxic.cumsum()] / toxic.sum()
     cost = CLEAN_WEIGHT * lost + missed
     best = np.flatnonzero(cost <= cost.min() + 1e-12)
-    return replace(fitted.chain, threshold=float(best[0] + best[-1]) / 2 / BINS)
+    # The middle of the first stretch of equally good thresholds: between two stretches worse ones may lie.
+    stretch = best[: np.argmax(np.r_[np.diff(best) > 1, True]) + 1]
+    return replace(fitted.chain, threshold=float(stretch[0] + stretch[-1]) / 2 / BINS)
+
+
+@dataclass(frozen=True)
+class Labelled:
+    """The rows that chains are fitted on, at most FIT_ROWS: features, labels, folds, and the features chosen without each fold and with all."""
+
+    x: Sparse
+    y: np.ndarray
+    fold: np.ndarray
+    chosen: tuple[np.ndarray, ...]
+
 
+Links = tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]
 
-def _fit_chain(x: Sparse, y: np.ndarray, place: dict[str, int], names: tuple[str, ...]) -> tuple[Chain, np.ndarray]:
-    group = choose_categories(x, y, len(names))
+
+def fit_links(x: Sparse, y: np.ndarray, fold: np.ndarray, categories: int) -> Links:
+    """A chain's weights over features, weights of earlier links and intercepts; later links are fitted on out-of-fold probabilities of earlier ones."""
+    group = choose_categories(x, y, categories)
     targets = []
-    for c in range(len(names)):
+    for c in range(categories):
         has = np.bincount(x.rows, weights=(group[x.columns] == c).astype(float), minlength=len(y)) > 0
         targets.append((has & (y > 0)).astype(float))
     targets.append(y)
-    fold = np.random.default_rng(SEED).permutation(len(y)) % FOLDS
     past = np.zeros((len(y), 0))
     weights, befores, intercepts = [], [], []
-    for target in targets:
-        out = np.zeros(len(y))
-        for k in range(FOLDS):
-            train, test = fold != k, fold == k
-            w, b, c = fit_linear(x.take(train), past[train], target[train])
-            out[test] = _sigmoid(x.take(test).dot(w) + past[test] @ b + c)
+    for i, target in enumerate(targets):
+        if i < categories:
+            out = np.zeros(len(y))
+            for k in np.unique(fold):
+                train, test = fold != k, fold == k
+                w, b, c = fit_linear(x.take(train), past[train], target[train])
+                out[test] = _sigmoid(x.take(test).dot(w) + past[test] @ b + c)
         w, b, c = fit_linear(x, past, target)
         weights.append(w)
         befores.append(b)
         intercepts.append(c)
-        past = np.column_stack([past, out])
-    return Chain(place, names, np.array(weights), tuple(befores), np.array(intercepts), 0.5), past[:, -1]
+        if i < categories:
+            past = np.column_stack([past, out])
+    return np.array(weights), tuple(befores), np.array(intercepts)
+
+
+def link_probabilities(sums: np.ndarray, past: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Each row's probabilities of the links one after another, from each link's sum over features and intercept."""
+    p = np.zeros_like(sums)
+    for i, b in enumerate(past):
+        p[:, i] = _sigmoid(sums[:, i] + p[:, :i] @ b)
+    return p
+
+
+def fit_without(data: Labelled, k: int, categories: int) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """The chain fitted without fold k, and its probabilities of being toxic for that fold; k = FOLDS leaves nothing out."""
+    train = data.fold != k
+    allowed = np.zeros(data.x.shape[1], dtype=bool)
+    allowed[data.chosen[k]] = True
+    seen = allowed[data.x.columns]
+    x = Sparse(data.x.columns[seen], data.x.rows[seen], data.x.shape)
+    inner = data.fold[train] if k == FOLDS else data.fold[train] % INNER_FOLDS
+    weights, past, intercepts = fit_links(x.take(train), data.y[train], inner, categories)
+    held = x.take(~train)
+    sums = np.column_stack([held.dot(w) for w in weights]) + intercepts
+    return weights, past, intercepts, link_probabilities(sums, past)[:, -1]
+
+
+def _fit_all(spark: SparkSession, data: Labelled, categories: int) -> list[tuple]:
+    """The chains without each fold and the one of all rows, each in a task of its own."""
+    shared = spark.sparkContext.broadcast(data)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(fit_without(shared.value, k, categories))], pa.binary())], names=["id", "chain"])
+
+    rows = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(common.lean(run), "id long, chain binary").collect()
+    shared.destroy()
+    return [pickle.loads(r["chain"]) for r in sorted(rows, key=lambda r: r["id"])]
 
 
 def score(docs: DataFrame, chain: Chain, key: str, text: str) -> DataFrame:
