@@ -163,6 +163,7 @@ def test_neighbours_of_many_shards(spark):
     graphs = common.settle(ann.index(common.settle(ann.classes(df, 3), "t"), shard_nodes=200), "t")
     assert graphs.count() == 5
     out = ann.search(graphs, df.where("id < 30"), 3).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, ann.search(graphs, df.where("id < 30"), 3, task_queries=7).collect()))
     x = np.array([v for _, v in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
@@ -173,6 +174,24 @@ def test_neighbours_of_many_shards(spark):
     assert hits >= 85
 
 
+def test_an_id_with_several_vectors(spark):
+    """It is as near as the nearest of them, as a query and as a candidate."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [3.0, 1.0]), (3, [1.0, 4.0]), (4, [-1.0, -2.0])]
+    df = ann._valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    graphs = common.settle(ann.index(common.settle(ann.classes(df, 5), "t")), "t")
+    out = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(graphs, df, 5).collect()}
+    unit = {i: [np.array(v) / np.linalg.norm(v) for k, v in rows if k == i] for i, _ in rows}
+    for q in unit:
+        want = sorted((-max(float(a @ b) for a in unit[q] for b in unit[c]), c) for c in unit if c != q)
+        assert [out[q, k + 1][0] for k in range(3)] == [c for _, c in want]
+        assert [out[q, k + 1][1] for k in range(3)] == pytest.approx([-x for x, _ in want])
+
+
+def test_shards_grow_slowly():
+    assert [ann.shards_of(n, 512) for n in (0, 1, 3_000, 10_000, 50_000, 1_000_000)] == [1, 1, 1, 2, 4, 18]
+    assert ann.shards_of(10**9, 512) > 5_000 and ann.shards_of(900, 128, 200) == 5
+
+
 def test_neighbours_of_nothing(spark, tmp_path):
     path = write_tables(spark, tmp_path, [], embeddings=([], "vec_id long, embedding array<float>, label int"))
     assert ann.op4_ann(spark, path).count() == 0
@@ -231,6 +250,57 @@ def test_toxicity_without_labels(spark, tmp_path):
     assert toxicity.op8_toxicity(spark, write_tables(spark, tmp_path / "none", [], [])).count() == 0
 
 
+def test_chain_by_brute_force(spark, tmp_path):
+    """Verdicts from words, weights and thresholds, document by document."""
+    docs, labels = toxic_corpus()
+    path = write_tables(spark, tmp_path, docs + [(2000, None, None, None, None)], labels)
+    frame, known = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    fitted = toxicity.fit(frame, known, "doc_id", "text")
+    scored = toxicity.score(frame, fitted.chain, "doc_id", "text")
+    chain = toxicity.calibrate(fitted, scored, known, "doc_id")
+    rows = {r["doc_id"]: r for r in toxicity.op8_toxicity(spark, path).collect()}
+    for i, text, *_ in [*docs, (2000, None)]:
+        found = {w.lower() for w in "".join(c if c.isalpha() else " " for c in text or "").split()}
+        names = {f"={w}" for w in found} | {f"{w[:n]}*" for w in found for n in (4, 5, 6) if len(w) > n}
+        p = []
+        for link in range(4):
+            z = chain.intercepts[link] + sum(chain.weights[link][chain.vocabulary[f]] for f in names & chain.vocabulary.keys()) + sum(b * q for b, q in zip(chain.past[link], p, strict=True))
+            p.append(1 / (1 + np.exp(-z)))
+        assert [rows[i][c] for c in ("p_category_1", "p_category_2", "p_category_3", "p_toxic")] == pytest.approx(p, abs=1e-9)
+        assert rows[i]["toxic"] == (rows[i]["p_toxic"] > chain.threshold) == (not rows[i]["kept"])
+
+
+def test_a_fold_gives_its_chain_nothing():
+    """What only a held-out fold holds has no weight in the chain that judges it."""
+    rng = np.random.default_rng(6)
+    n = 300
+    fold = np.arange(n) % toxicity.FOLDS
+    y = (np.arange(n) % 6 == 0).astype(float)
+    dense = rng.random((n, 8)) < 0.2
+    dense[:, 0] = y > 0
+    dense[:, 7] = (y > 0) & (fold == 2)
+    rows, columns = np.nonzero(dense)
+    x = toxicity.Sparse(columns, rows, dense.shape)
+    chosen = tuple(np.array([c for c in range(8) if c != 7 or k != 2]) for k in range(toxicity.FOLDS + 1))
+    data = toxicity.Labelled(x, y, fold, chosen)
+    weights, past, intercepts, held = toxicity.fit_without(data, 2, 2)
+    assert not weights[:, 7].any() and len(held) == (fold == 2).sum()
+    assert (held[y[fold == 2] > 0] > 0.5).all() and (held[y[fold == 2] == 0] < 0.5).all()
+    assert [len(b) for b in past] == [0, 1, 2]
+
+
+def test_threshold_lies_in_the_first_stretch(spark):
+    chain = toxicity.Chain({}, ("c",), np.zeros((2, 0)), (np.zeros(0), np.zeros(1)), np.zeros(2), 0.5)
+    bins = np.zeros((2, toxicity.BINS + 1))
+    bins[0, 100] = 100
+    bins[1, [400, 1600]] = 10
+    bins[0, 1000] = 1  # worse between two stretches: a clean row lost weighs twenty hundredths, the toxic ones below a half
+    got = toxicity.calibrate(toxicity.Fitted(chain, bins, None), None, None, "doc_id").threshold * toxicity.BINS
+    clean, toxic = bins
+    cost = [20 * clean[i:].sum() / clean.sum() + toxic[:i].sum() / toxic.sum() for i in range(toxicity.BINS + 1)]
+    assert cost[round(got)] == pytest.approx(min(cost))
+
+
 def test_linear_model_finds_the_separating_feature():
     rng = np.random.default_rng(1)
     rows, columns = np.nonzero(rng.random((300, 20)) < 0.3)
@@ -259,12 +329,32 @@ def test_fold_of_events(spark):
         (1, 1, 10, "edit", None, "bye"), (2, 1, 1, "delta", None, "x"), (2, 1, 0, "open", None, None), (None, 1, 1, "delta", None, None),
     ]
     df = spark.createDataFrame(events, "conv_id long, message long, seq long, kind string, role string, text string").repartition(4)
-    got = {(r["conv_id"], r["message"]): (r["role"], r["text"]) for r in chat.reconstruct(df).collect()}
-    assert got == {(1, 1): ("user", "bye"), (1, 2): ("assistant", "good"), (2, 1): ("", "x"), (None, 1): ("", "")}
+    want = {(1, 1): ("user", "bye"), (1, 2): ("assistant", "good"), (2, 1): ("", "x"), (None, 1): ("", "")}
+    log = chat.log_of_events(df)
+    for hot in (1, 100):
+        assert {(r["conv_id"], r["message"]): (r["role"], r["text"]) for r in chat.reconstruct(log, hot).collect()} == want
+        rendered = {(r["conv_id"], r["message"]): r for r in chat.format_log(log, hot).collect()}
+        assert {k: list(chat.parse(r["formatted"])) for k, r in rendered.items()} == {k: [v] for k, v in want.items()}
+        spans = {k: chat.unescape(r["formatted"][r["loss_start"] : r["loss_end"]]) for k, r in rendered.items() if r["loss_start"] is not None}
+        assert spans == {(1, 2): "good"}
     with pytest.raises(ValueError):
         chat.fold([("shout", None, None)])
 
 
+def test_a_large_conversation_is_dealt_by_ranges(spark):
+    rng = np.random.default_rng(4)
+    turns = [(c, int(t), ("user", "assistant")[t % 2], "".join(rng.choice(list("ab</s>\\\n"), 30))) for c in (1, 2, None) for t in range(400 if c == 1 else 5)]
+    turns += [(1, 7, "user", "again")] * 3 + [(1, None, None, None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(7)
+    cold = sorted(map(tuple, chat.format_and_read_back(chat.log_of_turns(df)).collect()), key=str)
+    hot = sorted(map(tuple, chat.format_and_read_back(chat.log_of_turns(df), hot_rows=3).collect()), key=str)
+    long = sorted(map(tuple, chat.format_and_read_back(chat.log_of_turns(df), hot_chars=1000).collect()), key=str)
+    assert cold == hot == long and [r[1] for r in cold] == [404, 5, 5]
+    one = [t for t in turns if t[0] == 1]
+    one.sort(key=lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3] or ""))
+    assert cold[0][2] == hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in one).encode()).hexdigest()
+
+
 def test_chat_query(spark, tmp_path):
     rows = [(1, 1, "assistant", "b" * 9000, 0), (1, 0, "user", "</s>a\\", 0), (2, 0, None, None, 0), (2, 0, None, None, 0), (3, None, "assistant", "late", 0), (3, 0, "assistant", "é", 0)]
     path = write_tables(spark, tmp_path, [], conversations=(rows, "conv_id long, turn long, role string, text string, n_turns int"))

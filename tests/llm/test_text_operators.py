@@ -6,6 +6,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -89,6 +91,64 @@ def test_quality_finds_junk(spark, tmp_path):
     assert not any(kept[i] for i in range(0, 600, 8))
 
 
+STRANGE = {
+    "symbols": lambda t: t.replace(" ", " ## ", 12),
+    "exclamations": lambda t: t.replace(" ", "!! ", 20),
+    "capitals": lambda t: " ".join(w.upper() if i % 3 else w for i, w in enumerate(t.split())),
+    "accented capitals": lambda t: " ".join("ÉÀ" if i % 3 else w for i, w in enumerate(t.split())),
+    "stutters": lambda t: " ".join(f"{w} {w}" if i % 3 == 0 else w for i, w in enumerate(t.split())),
+    "repeats": lambda t: " ".join([*t.split(), *t.split()[: len(t.split()) // 8]]),
+    "lines": lambda t: "\n".join([*(f"{w} {i}" for i, w in enumerate(t.split())), *["same"] * (len(t.split()) // 4)]),
+}
+
+
+def test_quality_finds_what_no_row_of_the_fit_has(spark, tmp_path):
+    """Each measure's anomaly, where the labelled rows know of one kind of junk only."""
+    rng = random.Random(18)
+    docs, labels = [], []
+    for i in range(800):
+        text = words(rng, rng.randint(60, 200))
+        bad = i % 10 == 0
+        docs.append((i, text.replace(" ", " %% ") if bad else text, "en", "s", None))
+        labels.append((i, int(not bad), 0))
+    clean = [(1000 + i, words(rng, rng.randint(60, 200)), "en", "s", None) for i in range(100)]
+    strange = [(2000 + i, f(words(rng, 150)), "en", "s", None) for i, f in enumerate(STRANGE.values())]
+    path = write_tables(spark, tmp_path, docs + clean + strange, labels)
+    rows = {r["doc_id"]: r for r in quality.op1_quality(spark, path).collect()}
+    assert not any(r["base_failed"] for r in rows.values())
+    assert all(rows[i]["kept"] for i in rows if 1000 <= i < 2000) and all(rows[i]["kept"] for i in range(800) if i % 10)
+    assert [name for i, name in enumerate(STRANGE) if rows[2000 + i]["kept"]] == []
+    # The more of it, the more anomalous.
+    few, many = ("a b c d e f g h i j " * 1 + words(random.Random(1), 200) for _ in range(2))
+    forest = quality.fit(quality.rule_counts(spark.read.parquet(f"{path}/documents.parquet"), "doc_id", "text"), spark.read.parquet(f"{path}/labels.parquet"), "doc_id")
+    none, few, many = (np.array([quality.count_text(t)]) for t in (few, few.replace(" ", "! ", 1), many.replace(" ", "! ")))
+    assert forest.score(none)[0] < forest.score(few)[0] < forest.score(many)[0]
+
+
+def slow_score(forest, counts):
+    """Path by path, for one document."""
+    shares = [min(1.0, counts[t] / max(counts[b], 1)) for t, b in zip(quality._TOPS, quality._BASES, strict=True)]
+    x = [0.005 * (min(v, t) / t if t else 0.0) + 0.995 * (max(v - t, 0.0) / max(1 - t, 1e-9)) ** 0.25 for v, t in zip(shares, forest.tolerance, strict=True)]
+    depths = []
+    for node in forest.roots:
+        while forest.left[node] != node:
+            node = forest.left[node] if x[forest.feature[node]] < forest.split[node] else forest.right[node]
+        depths.append(forest.depth[node])
+    return 2 ** (-sum(depths) / len(depths) / forest.usual)
+
+
+def test_quality_verdicts_by_brute_force(spark, hard):
+    docs = spark.read.parquet(f"{hard}/documents.parquet")
+    counts = quality.rule_counts(docs, "doc_id", "text")
+    forest = quality.fit(counts, spark.read.parquet(f"{hard}/labels.parquet"), "doc_id")
+    got = {r["doc_id"]: r for r in quality.judge(counts, forest, "doc_id").collect()}
+    for i, text, *_ in hard_documents():
+        c = quality.count_text(text)
+        failed = c[0] < 20 or 100 * c[4] > 30 * c[0]
+        assert got[i]["anomaly_score"] == pytest.approx(slow_score(forest, c), rel=1e-9)
+        assert got[i]["kept"] == (not failed and got[i]["anomaly_score"] < forest.threshold)
+
+
 def test_quality_keeps_other_columns(spark):
     forest = quality.grow(np.zeros((1, len(quality.COUNTS)), dtype=np.int64), np.zeros(len(quality.MEASURES)))
     df = spark.createDataFrame([(1, words(random.Random(1), 40), 5), (2, None, 6)], "doc_id long, text string, n_words int")
@@ -145,6 +205,26 @@ def test_components_of_odd_tables(spark, empty):
     assert rows == sorted([(None, None, True), (3, 3, True), (3, 3, True), (4, 4, True)], key=str)
 
 
+def test_texts_that_share_an_id(spark):
+    """All that any text of an id is linked with is one component, also where several classes have the same least id."""
+    rng = random.Random(9)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    near = " ".join(["changed", *c.split()[1:]])
+    rows = [(3, a), (5, a), (5, b), (9, b), (20, c), (20, d), (21, near), (22, d), (23, " ".join([*d.split(), "more"])), (30, words(rng, 60)), (5, ""), (30, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for percent in (80, 85):
+        got = {(r["doc_id"], r["n_shingles"] > 0): (r["component_id"], r["kept"]) for r in neardup.link(df, words=3, percent=percent).collect()}
+        want = {3: 3, 5: 3, 9: 3, 20: 20, 21: 20, 22: 20, 23: 20, 30: 30}
+        assert got == {**{(i, True): (c, i == c) for i, c in want.items()}, (5, False): (5, True), (30, False): (30, True)}
+
+
+def test_bands_follow_the_threshold():
+    assert neardup.banding(85) == (24, 5) and neardup.banding(80) == (30, 4)
+    for percent in range(50, 100, 5):
+        bands, rows = neardup.banding(percent)
+        assert bands * rows == neardup.HASHES and (1 - (percent / 100) ** rows) ** bands <= neardup.UNSEEN
+
+
 def test_pruning_table_keeps_true_pairs():
     """At the threshold itself the chance to be pruned stays near the chosen one for each batch."""
     import math
@@ -196,6 +276,19 @@ def test_codec(spark, token_rows, library):
         assert r["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest() and r["n_tokens"] == len(ids)
 
 
+def counted(cache, texts, slice_bytes=None):
+    return cache.counts(pa.array(texts, pa.string()), slice_bytes)[1].tolist()
+
+
+def test_every_code_point_alone_and_inside_words(library):
+    for at in range(0, 0x110000, 1 << 14):
+        points = [chr(c) for c in range(at, at + (1 << 14)) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"{c} a{c}b " for c in points)
+        want = library.encode(text, add_special_tokens=False).ids
+        assert bpecodec.encode(text, PATH) == want, hex(at)
+        assert counted(tokencount.chunk_counts(PATH), [text]) == [len(want)], hex(at)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="abcxyz'.,é你 1", max_size=30), max_size=5))
 def test_merge_rounds_and_heap_agree_with_the_library(texts):
@@ -203,18 +296,22 @@ def test_merge_rounds_and_heap_agree_with_the_library(texts):
     for t in texts:
         ids = library.encode(t, add_special_tokens=False).ids
         assert bpecodec.encode(t, PATH) == ids
-        assert sum(sum(found) for _, found in tokencount.chunk_counts(PATH).look_up([t])) == len(ids)
+        assert counted(tokencount.chunk_counts(PATH), [t]) == [len(ids)]
+
+
+def test_plain_letters_are_lowered_alike():
+    letters = [chr(c) for c in range(0x180) if __import__("re").match(wordbpe.PLAIN, chr(c))]
+    assert len(letters) > 150 and pc.utf8_lower(pa.array(letters)).to_pylist() == [c.lower() for c in letters]
+    assert all(__import__("unicodedata").normalize("NFC", c.lower()) == c.lower() for c in letters)
 
 
 def test_caches_that_overflow(monkeypatch, library):
-    monkeypatch.setattr(wordbpe, "CACHE_CHUNKS", 5)
     monkeypatch.setattr(wordbpe, "CACHE_WORDS", 3)
     bpe = wordbpe.load(PATH)
     cache = wordbpe.ChunkCache(bpe, lambda ws: [tokencount.count_word(bpe, w) for w in ws], lambda _: 1, sum)
     rng = random.Random(1)
     texts = [words(rng, 30) for _ in range(40)]
-    got = [sum(found) for _, found in cache.look_up(texts, wanted_bytes=200)]
-    assert got == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert counted(cache, texts, 200) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_token_queries_on_empty_tables(spark, empty):
