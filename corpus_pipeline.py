@@ -17,13 +17,19 @@ from pyspark.sql import functions as F
 from spectrail.llm import common, neardup, packing, quality, toxicity
 from spectrail.plans.shipping import ship
 
-#: The last stage runs in executors that have held the others' state: it keeps less in its cache.
-CACHE_SHARE = 0.25
+
+#: Stages follow each other in one set of executors, whose memory grows from each to the next.
+BATCH_BYTES = 2 << 20
+
+
+def _prepare(spark: SparkSession) -> None:
+    ship(spark)
+    common.bound_batches(spark, BATCH_BYTES)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest."""
-    ship(spark)
+    _prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     counts = common.settle(quality.rule_counts(docs, "doc_id", "text"), "quality-counts")
     forest = quality.fit(counts, labels, "doc_id")
@@ -33,7 +39,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't call toxic."""
-    ship(spark)
+    _prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     fitted = toxicity.fit(docs, labels, "doc_id", "text")
     scored = common.settle(toxicity.score(docs, fitted.chain, "doc_id", "text"), "toxicity-scored")
@@ -43,21 +49,27 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id, and one row of it."""
-    ship(spark)
+    """One document of each group of near-duplicates, that with the smallest id, and one row of it: of several that with the least text."""
+    _prepare(spark)
     dropped = common.settle(neardup.link(docs, "doc_id", "text").where(~F.col("kept")).select("doc_id").distinct(), "dup-dropped")
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = common.settle(kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "dup-repeated")
     if repeated.isEmpty():
         return kept
     # Only rows that share an id are shuffled with their texts.
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionAll(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    order = F.struct(F.col("text").isNull(), "text", F.xxhash64(*docs.columns))
+    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, order).alias("row"))
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionAll(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents' pieces with their places in sequences."""
-    ship(spark)
-    return packing.pack(docs, "doc_id", "text", public_tokenizers.path(packing.TOKENIZER), cache_share=CACHE_SHARE)
+    """The kept documents' pieces with their places in sequences.
+
+    It runs in executors that have grown in the stages before: Python workers keep no words here.
+    """
+    _prepare(spark)
+    return packing.pack(docs, "doc_id", "text", public_tokenizers.path(packing.TOKENIZER), keep_words=False)
 
 
 STAGES = [
