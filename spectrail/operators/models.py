@@ -220,14 +220,20 @@ def _f99_ultraviolet(x: np.ndarray, r_v: float) -> np.ndarray:
     return c1 + c2 * x + F99_C3 * drude + F99_C4 * far + r_v
 
 
-def _natural_spline(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+def _spline_system(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices m, r with m k = r y for the second derivatives k of the natural spline through (x, y)."""
     n, h = len(x), np.diff(x)
-    m = np.eye(n)
-    rhs = np.zeros(n)
+    m, r = np.eye(n), np.zeros((n, n))
     for i in range(1, n - 1):
         m[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        rhs[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-    k = np.linalg.solve(m, rhs)
+        r[i, i - 1 : i + 2] = 6 / h[i - 1], -6 / h[i - 1] - 6 / h[i], 6 / h[i]
+    return m, r
+
+
+def _natural_spline(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    n, h = len(x), np.diff(x)
+    m, r = _spline_system(x)
+    k = np.linalg.solve(m, r @ y)
 
     def at(v: np.ndarray) -> np.ndarray:
         i = np.clip(np.searchsorted(x, v, side="right") - 1, 0, n - 2)
@@ -267,6 +273,54 @@ class F99Extinction:
         return 10 ** (-0.4 * a_v[:, None] * np.array([curves[r] for r in r_v]))
 
 
+    def factor(self, wavelength: Column, theta: Sequence[Column] = ()) -> Column:
+        """The same as a Column."""
+        free = list(theta)
+        a_v = F.lit(float(self.a_v)) if self.a_v is not None else free.pop(0)
+        r_v = F.lit(float(self.r_v)) if self.r_v is not None else free.pop(0)
+        return F.pow(F.lit(10.0), -0.4 * a_v * f99_column(wavelength, r_v))
+
+    def lnprior(self, theta: Sequence[Column], a_v_limits: tuple[float, float] = (0.0, 10.0), r_v_limits: tuple[float, float] = (2.0, 6.0)) -> Column:
+        """0 where what is free lies within its closed limits, else -Infinity; 0 if nothing is free."""
+        limits = [x for x, v in ((a_v_limits, self.a_v), (r_v_limits, self.r_v)) if v is None]
+        inside = F.lit(True)
+        for x, (low, high) in zip(theta, limits, strict=True):
+            inside = inside & x.between(low, high)
+        return F.when(inside, F.lit(0.0)).otherwise(F.lit(float("-inf")))
+
+    def transform(self, u: Sequence[Column], a_v_limits: tuple[float, float] = (0.0, 10.0), r_v_limits: tuple[float, float] = (2.0, 6.0)) -> list[Column]:
+        """Uniforms to what is free."""
+        limits = [x for x, v in ((a_v_limits, self.a_v), (r_v_limits, self.r_v)) if v is None]
+        return [low + (high - low) * x for x, (low, high) in zip(u, limits, strict=True)]
+
+
+def f99_column(wavelength: Column, r_v: Column) -> Column:
+    """A(x) / A(V) with R_V a Column: a natural spline is linear in its anchors' values, and those are polynomials in R_V."""
+    ends = (1e4 / 2700, 1e4 / 2600)
+    anchors = np.array([*F99_ANCHORS, *ends])
+    bends = np.linalg.solve(*_spline_system(anchors))  # second derivatives for a unit value at each anchor
+    polynomial = lambda c: sum((v * F.pow(r_v, F.lit(float(i))) for i, v in enumerate(c)), F.lit(0.0))
+    c2 = -0.824 + 4.717 / r_v
+    c1 = 2.030 - 3.007 * c2
+
+    def ultraviolet(x):
+        square = lambda v: v * v
+        far = (F.when(x > 5.9, x - 5.9).otherwise(F.lit(0.0))) if isinstance(x, Column) else max(x - 5.9, 0.0)
+        return c1 + c2 * x + F99_C3 * (x * x / (square(x * x - F99_X0**2) + square(x * F99_GAMMA))) + F99_C4 * (0.5392 * far * far + 0.05644 * far * far * far) + r_v
+
+    values = [v * r_v / 3.1 for v in F99_INFRARED] + [polynomial(c) for c in F99_OPTICAL] + [ultraviolet(v) for v in ends]
+    x = 1 / wavelength
+    curve = ultraviolet(x)
+    for i in reversed(range(len(anchors) - 2)):
+        low, high = float(anchors[i]), float(anchors[i + 1])
+        h, a, b = high - low, high - x, x - low
+        bend = lambda k: sum((float(bends[k, j]) * values[j] for j in range(len(values)) if bends[k, j]), F.lit(0.0))
+        left, right = bend(i), bend(i + 1)
+        piece = (left * a * a * a + right * b * b * b) / (6 * h) + (values[i] / h - left * h / 6) * a + (values[i + 1] / h - right * h / 6) * b
+        curve = F.when(x < high, piece).otherwise(curve)
+    return curve / r_v
+
+
 OPERATORS = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv}
 
 

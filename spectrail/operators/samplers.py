@@ -1,4 +1,4 @@
-"""Samplers: ensemble MCMC, ensemble slice sampling, nested sampling, likelihood-free regression.
+"""Samplers: ensemble MCMC, ensemble slice sampling, static and dynamic nested sampling, likelihood-free regression.
 
 A chain is sequential, so that one task runs one (object, chain) group from start to
 end and thousands of groups run side by side; there is never a Spark job per step.
@@ -192,62 +192,189 @@ def start_walkers(f: LnProb, rng: np.random.Generator, walkers: int, guess: np.n
     return centre * (1 + spread * rng.standard_normal((walkers, len(centre)))) + 1e-8 * rng.standard_normal((walkers, len(centre)))
 
 
+class Ellipsoids:
+    """Ellipsoids about points, enlarged; where points lie in clumps there is one about each clump.
+
+    A clump is split in two as long as that makes its volume much smaller.
+    """
+
+    def __init__(self, points: np.ndarray, enlarge: float, many: bool):
+        self.enlarge, self.many = enlarge, many
+        self.parts: list[tuple[np.ndarray, np.ndarray, float]] = []
+        self._about(points)
+        volumes = np.array([v for _, _, v in self.parts])
+        self.chance = np.exp(volumes - volumes.max())
+        self.chance /= self.chance.sum()
+
+    def _bound(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Centre, factor of the shape matrix and log volume (but for the unit ball's)."""
+        centre, d = points.mean(axis=0), points.shape[1]
+        factor = np.linalg.cholesky(np.atleast_2d(np.cov(points.T)) + 1e-18 * np.eye(d))
+        reach = np.linalg.norm(np.linalg.solve(factor, (points - centre).T), axis=0).max()
+        factor = factor * max(reach, 1e-12) * self.enlarge ** (1 / d)
+        return centre, factor, float(np.log(np.diag(factor)).sum())
+
+    def _about(self, points: np.ndarray) -> None:
+        whole = self._bound(points)
+        least = 2 * (points.shape[1] + 1)
+        if self.many and len(points) >= 2 * least:
+            side = self._two_clumps(points, whole)
+            if min(side.sum(), (~side).sum()) >= least:
+                halves = [self._bound(points[side]), self._bound(points[~side])]
+                if np.logaddexp(halves[0][2], halves[1][2]) < whole[2] + math.log(0.5):
+                    self._about(points[side])
+                    self._about(points[~side])
+                    return
+        self.parts.append(whole)
+
+    @staticmethod
+    def _two_clumps(points: np.ndarray, whole: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+        """Two means in the ellipsoid's own metric, from the ends of its longest spread."""
+        z = np.linalg.solve(whole[1], (points - whole[0]).T).T
+        axis = np.linalg.svd(z - z.mean(axis=0), full_matrices=False)[2][0]
+        side = z @ axis > np.median(z @ axis)
+        for _ in range(20):
+            if side.all() or not side.any():
+                break
+            a, b = z[side].mean(axis=0), z[~side].mean(axis=0)
+            new = ((z - a) ** 2).sum(axis=1) < ((z - b) ** 2).sum(axis=1)
+            if (new == side).all():
+                break
+            side = new
+        return side
+
+    def draw(self, rng: np.random.Generator, n: int) -> np.ndarray:
+        """Points even over the union: what lies in several ellipsoids is kept once in as many times."""
+        d = len(self.parts[0][0])
+        z = rng.standard_normal((n, d))
+        z *= (rng.random((n, 1)) ** (1 / d)) / np.linalg.norm(z, axis=1, keepdims=True)
+        which = rng.choice(len(self.parts), size=n, p=self.chance)
+        points = np.empty((n, d))
+        for i, (centre, factor, _) in enumerate(self.parts):
+            points[which == i] = centre + z[which == i] @ factor.T
+        if len(self.parts) == 1:
+            return points
+        inside = sum((np.linalg.norm(np.linalg.solve(factor, (points - centre).T), axis=0) <= 1 + 1e-9).astype(int) for centre, factor, _ in self.parts)
+        return points[rng.random(n) * np.maximum(inside, 1) < 1]
+
+
+@dataclass
+class Strand:
+    """Points of a nested run: where they are, their likelihood, and the likelihood above which they were drawn."""
+
+    u: np.ndarray
+    theta: np.ndarray
+    logl: np.ndarray
+    birth: np.ndarray
+
+
+def merge_strands(strands: Sequence[Strand]) -> pd.DataFrame:
+    """Strands as one run: iter, theta, logl, logvol, logwt and the running logz.
+
+    A point's volume shrinks by the number of points that were alive with it, those drawn below it and not dead yet.
+    """
+    logl, birth = (np.concatenate([getattr(x, n) for x in strands]) for n in ("logl", "birth"))
+    theta = np.concatenate([x.theta for x in strands])
+    order = np.argsort(logl, kind="stable")
+    logl, theta, born = logl[order], theta[order], np.sort(birth)
+    alive = np.searchsorted(born, logl, side="left") - np.arange(len(logl))
+    logvol = np.cumsum(np.log1p(-1 / (np.maximum(alive, 1) + 1)))
+    before = np.r_[0.0, logvol[:-1]]
+    logwt = before + np.log1p(-np.exp(logvol - before)) + logl
+    return pd.DataFrame({"iter": np.arange(len(logl)), "theta": list(theta), "logl": logl, "logvol": logvol, "logwt": logwt, "logz": np.logaddexp.accumulate(logwt)})
+
+
 @dataclass(frozen=True)
 class NestedSampler:
-    """Static nested sampling: new live points come from an enlarged ellipsoid about the live ones, then the cube's bounds."""
+    """Static nested sampling: new live points come from enlarged ellipsoids about the live ones, inside the cube's bounds.
+
+    `bound` is "multi", ellipsoids about each clump, or "single".
+    """
 
     live: int = 200
     dlogz: float = 0.1
     enlarge: float = 1.25
     most_iterations: int = 100_000
     batch: int = 64
+    bound: str = "multi"
 
     def run(self, f: LnProb, transform: Callable[[np.ndarray], np.ndarray], dimensions: int, rng: np.random.Generator) -> pd.DataFrame:
         """Dead then live points: iter, theta, logl, logvol, logwt and the running logz."""
-        f = _clean(f)
-        u = rng.random((self.live, dimensions))
-        theta = transform(u)
+        return merge_strands([self._strand(_clean(f), transform, rng, rng.random((self.live, dimensions)))])
+
+    def _strand(self, f: LnProb, transform: Callable[[np.ndarray], np.ndarray], rng: np.random.Generator, u: np.ndarray, floor: float = -np.inf, ceiling: float = np.inf) -> Strand:
+        """Points from `u`, which lie above `floor`, up to `ceiling` or until what is left adds less than dlogz."""
+        u, theta = u.copy(), transform(u)
         logl = np.maximum(f(theta), LOG_LARGE)
-        logz, rows, shrink = -np.inf, [], -1.0 / self.live
+        birth = np.full(len(u), floor)
+        logz, shrink = -np.inf, -1.0 / len(u)
         width = math.log1p(-math.exp(shrink))
+        dead: list[tuple[np.ndarray, np.ndarray, float, float]] = []
         spare: list[tuple[np.ndarray, np.ndarray, float]] = []
         for i in range(self.most_iterations):
             worst = int(np.argmin(logl))
-            logvol = i * shrink + width
-            logwt = logvol + logl[worst]
-            logz = np.logaddexp(logz, logwt)
-            rows.append((i, theta[worst].copy(), logl[worst], (i + 1) * shrink, logwt, logz))
-            if np.logaddexp(logz, logl.max() + (i + 1) * shrink) - logz < self.dlogz:
+            logz = np.logaddexp(logz, i * shrink + width + logl[worst])
+            if logl[worst] >= ceiling or (ceiling == np.inf and np.logaddexp(logz, logl.max() + (i + 1) * shrink) - logz < self.dlogz):
                 break
+            dead.append((u[worst].copy(), theta[worst].copy(), logl[worst], birth[worst]))
             floor = logl[worst]
-            found = None
-            while found is None:
-                spare = [s for s in spare if s[2] > floor]
-                if spare:
-                    found = spare.pop()
-                    break
-                trial = self._ellipsoid(u, rng)
-                trial = trial[((trial > 0) & (trial < 1)).all(axis=1)]
-                if len(trial):
-                    where = transform(trial)
-                    got = f(where)
-                    spare = [(a, b, float(c)) for a, b, c in zip(trial, where, got, strict=True) if c > floor]
-            u[worst], theta[worst], logl[worst] = found
-        n = len(rows)
-        left = n * shrink - math.log(self.live)
-        for k in np.argsort(logl):
-            logz = np.logaddexp(logz, left + logl[k])
-            rows.append((len(rows), theta[k].copy(), logl[k], n * shrink, left + logl[k], logz))
-        return pd.DataFrame(rows, columns=["iter", "theta", "logl", "logvol", "logwt", "logz"])
-
-    def _ellipsoid(self, u: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        centre, d = u.mean(axis=0), u.shape[1]
-        cov = np.atleast_2d(np.cov(u.T)) + 1e-18 * np.eye(d)
-        factor = np.linalg.cholesky(cov)
-        reach = np.linalg.norm(np.linalg.solve(factor, (u - centre).T), axis=0).max()
-        z = rng.standard_normal((self.batch, d))
-        z *= (rng.random((self.batch, 1)) ** (1 / d)) / np.linalg.norm(z, axis=1, keepdims=True)
-        return centre + (z * reach * self.enlarge ** (1 / d)) @ factor.T
+            spare = [x for x in spare if x[2] > floor]
+            while not spare:
+                spare = self._above(f, transform, rng, u, floor)
+            birth[worst] = floor
+            u[worst], theta[worst], logl[worst] = spare.pop()
+        old = [np.array([x[k] for x in dead]) for k in range(4)]
+        join = lambda a, b: np.concatenate([a, b]) if len(a) else b
+        return Strand(join(old[0], u), join(old[1], theta), join(old[2], logl), join(old[3], birth))
+
+    def _above(self, f: LnProb, transform: Callable[[np.ndarray], np.ndarray], rng: np.random.Generator, about: np.ndarray, floor: float) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """Some points above `floor`, drawn about points that are."""
+        trial = Ellipsoids(about, self.enlarge, self.bound == "multi").draw(rng, self.batch)
+        trial = trial[((trial > 0) & (trial < 1)).all(axis=1)]
+        if not len(trial):
+            return []
+        where = transform(trial)
+        return [(a, b, float(c)) for a, b, c in zip(trial, where, f(where), strict=True) if c > floor]
+
+
+@dataclass(frozen=True)
+class DynamicNestedSampler(NestedSampler):
+    """Nested sampling with more live points where the posterior, or the evidence, needs them.
+
+    After a static run strands of `more` live points are added, `strands` times, each over the likelihoods at which
+    points are at least `edge` as important as the most important one; `posterior` is the posterior's part of importance.
+    """
+
+    strands: int = 4
+    more: int = 100
+    posterior: float = 0.8
+    edge: float = 0.8
+
+    def run(self, f: LnProb, transform: Callable[[np.ndarray], np.ndarray], dimensions: int, rng: np.random.Generator) -> pd.DataFrame:
+        f = _clean(f)
+        found = [self._strand(f, transform, rng, rng.random((self.live, dimensions)))]
+        for _ in range(self.strands):
+            run = merge_strands(found)
+            mass = np.exp(run["logwt"].to_numpy() - run["logz"].iloc[-1])
+            left = np.clip(1 - np.cumsum(mass), 0, None)
+            importance = self.posterior * mass / mass.sum() + (1 - self.posterior) * left / max(left.sum(), 1e-300)
+            wanted = np.flatnonzero(importance >= self.edge * importance.max())
+            logl = run["logl"].to_numpy()
+            low = logl[wanted[0] - 1] if wanted[0] else -np.inf
+            high = logl[wanted[-1] + 1] if wanted[-1] + 1 < len(logl) else np.inf
+            start = self._start(f, transform, rng, found, low, dimensions)
+            found.append(self._strand(f, transform, rng, start, low, high))
+        return merge_strands(found)
+
+    def _start(self, f: LnProb, transform: Callable[[np.ndarray], np.ndarray], rng: np.random.Generator, found: Sequence[Strand], low: float, dimensions: int) -> np.ndarray:
+        if low == -np.inf:
+            return rng.random((self.more, dimensions))
+        # All points known above the level show where it is; new ones are drawn about them.
+        known = np.concatenate([x.u[x.logl > low] for x in found])
+        new: list[np.ndarray] = []
+        while len(new) < self.more:
+            new += [a for a, _, _ in self._above(f, transform, rng, known, low)]
+        return np.array(new[: self.more])
 
 
 @dataclass
@@ -264,16 +391,31 @@ class GaussianPosterior:
         return np.column_stack([np.ones(len(s)), s]) @ self.weights
 
 
+def moments(theta: np.ndarray, x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, sums and sums of products of rows of theta and x side by side: they add up over batches."""
+    z = np.column_stack([theta, x])
+    return len(z), z.sum(axis=0), z.T @ z
+
+
+def fit_posterior_of(n: int, total: np.ndarray, products: np.ndarray, parameters: int, features: int = 20) -> GaussianPosterior:
+    """Principal components of x as embedding, then least squares with a Gaussian residual, all from moments."""
+    centre = total / n
+    cov = products - n * np.outer(centre, centre)
+    inner, cross, outer = cov[:parameters, :parameters], cov[parameters:, :parameters], cov[parameters:, parameters:]
+    size, axes = np.linalg.eigh(outer)
+    keep = min(features, int((size > 1e-12 * max(size[-1], 1e-300)).sum())) or 1
+    basis = axes[:, ::-1][:, :keep]
+    slopes = np.linalg.solve(basis.T @ outer @ basis, basis.T @ cross)
+    rest = inner - (basis.T @ cross).T @ slopes
+    return GaussianPosterior(np.vstack([centre[:parameters], slopes]), rest / max(1, n - keep - 1), basis, centre[parameters:])
+
+
 def fit_posterior(theta: np.ndarray, x: np.ndarray, features: int = 20) -> GaussianPosterior:
-    """Principal components of x as embedding, then least squares with a Gaussian residual."""
-    centre = x.mean(axis=0)
-    _, size, axes = np.linalg.svd(x - centre, full_matrices=False)
-    keep = min(features, int((size > 1e-10 * max(size[0], 1e-300)).sum())) or 1
-    basis = axes[:keep].T
-    design = np.column_stack([np.ones(len(x)), (x - centre) @ basis])
-    weights, *_ = np.linalg.lstsq(design, theta, rcond=None)
-    rest = theta - design @ weights
-    return GaussianPosterior(weights, rest.T @ rest / max(1, len(x) - design.shape[1]), basis, centre)
+    centre, scale = theta.mean(axis=0), x.mean(axis=0)
+    fitted = fit_posterior_of(*moments(theta - centre, x - scale), theta.shape[1], features)
+    weights = fitted.weights.copy()
+    weights[0] += centre
+    return GaussianPosterior(weights, fitted.covariance, fitted.basis, fitted.centre + scale)
 
 
 @dataclass(frozen=True)

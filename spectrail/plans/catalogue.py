@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spectrail.plans import files, modelling, observations, posteriors, views
+from spectrail.plans import files, inference, modelling, observations, posteriors, views
 
-PARTS = (observations, files, modelling, posteriors, views)
+PARTS = (observations, files, modelling, posteriors, inference, views)
 
 
 def queries() -> dict:
