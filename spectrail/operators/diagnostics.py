@@ -107,9 +107,11 @@ def geweke_flat(df: DataFrame, keys: list[str], value: str, order: list[str]) ->
 
 def geweke(df: DataFrame, keys: list[str], value: str, step: str) -> DataFrame:
     """First tenth against last half of the steps of each key, over all walkers."""
-    lo, hi = (f(step).over(W.partitionBy(*keys)) for f in (F.min, F.max))
+    rows = df.select(*keys, value, step)
+    ends = rows.groupBy(*keys).agg(F.min(step).alias("_lo"), F.max(step).alias("_hi"))
     place = F.try_divide((F.col(step) - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo") + 1).cast("double"))
-    parts = df.select(*keys, value, step, lo.alias("_lo"), hi.alias("_hi"))
+    # A row a key: no chain is gathered to find its ends.
+    parts = rows.join(ends, keys) if keys else rows.crossJoin(F.broadcast(ends))
     return _geweke(parts.withColumn("_a", place < 0.1).withColumn("_b", place >= 0.5), keys, value)
 
 
@@ -141,28 +143,41 @@ def autocorrelation(df: DataFrame, keys: list[str], value: str, order: list[str]
     return sums.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.lag", "p.rho")
 
 
-def integrated_time(x: np.ndarray, window: float = 5.0) -> float:
-    """Autocorrelation time of walkers (rows) by FFT, summed up to the first lag above `window` times the sum."""
-    n = x.shape[1]
-    size = 1 << (2 * n - 1).bit_length()
-    f = np.fft.rfft(x - x.mean(axis=1, keepdims=True), size, axis=1)
-    acf = np.fft.irfft(f * np.conj(f), size, axis=1)[:, :n]
+def walker_autocorrelation(x: np.ndarray) -> np.ndarray:
+    """rho of one walker's series at all lags by FFT; NaN for a constant one."""
+    n = len(x)
+    f = np.fft.rfft(x - x.mean(), 1 << (2 * n - 1).bit_length())
+    acf = np.fft.irfft(f * np.conj(f), 1 << (2 * n - 1).bit_length())[:n]
     with np.errstate(invalid="ignore", divide="ignore"):
-        rho = np.nanmean(acf / acf[:, :1], axis=0)
+        return acf / acf[0]
+
+
+def integrated_time(rho: np.ndarray, window: float = 5.0) -> float:
+    """Autocorrelation time of a mean rho, summed up to the first lag above `window` times the sum."""
     tau = 2 * np.cumsum(rho) - 1
-    past = np.flatnonzero(np.arange(n) >= window * tau)
-    return float(tau[past[0]] if len(past) else tau[-1])
+    past = np.flatnonzero(np.arange(len(rho)) >= window * tau)
+    return float(tau[past[0]] if len(past) else tau[-1]) if len(rho) else float("nan")
 
 
 def autocorrelation_time(df: DataFrame, keys: list[str], value: str, walker: str, step: str) -> DataFrame:
-    """tau per key; a key is one parameter of one run, and its chain is one task's group."""
+    """tau per key from the mean autocorrelation of its walkers, as far as the shortest of them goes.
+
+    A walker's series is one task's group; only the means by lag come together for a key.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot_table(index=walker, columns=step, values=value, aggfunc="first").dropna(axis=1).to_numpy()
-        return pdf[keys].head(1).assign(tau=integrated_time(x) if x.size else float("nan"))
+    def by_lag(pdf: pd.DataFrame) -> pd.DataFrame:
+        rho = walker_autocorrelation(pdf.sort_values(step)[value].to_numpy(dtype=float))
+        return pd.concat([pdf[keys].head(1)] * len(rho), ignore_index=True).assign(lag=np.arange(len(rho)), rho=rho, n=len(rho)) if len(rho) else pdf[keys].head(0).assign(lag=[], rho=[], n=[])
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[keys].head(1).assign(tau=integrated_time(pdf.sort_values("lag")["rho"].to_numpy()))
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, walker, step, value).groupBy(*keys).applyInPandas(run, f"{kinds}, tau double")
+    once = df.select(*keys, walker, step, value).dropDuplicates([*keys, walker, step])
+    walkers = once.groupBy(*keys, walker).applyInPandas(by_lag, f"{kinds}, lag long, rho double, n long")
+    means = walkers.groupBy(*keys, "lag").agg(F.avg(F.nanvl("rho", F.lit(None).cast("double"))).alias("rho"), F.count(F.lit(1)).alias("walkers"))
+    whole = walkers.where("lag = 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("walkers"))
+    return means.join(whole, [*keys, "walkers"]).select(*keys, "lag", "rho").groupBy(*keys).applyInPandas(summed, f"{kinds}, tau double")
 
 
 def effective_samples(walkers: float, steps: float, tau: float) -> float:
@@ -250,5 +265,13 @@ def summary(chains: DataFrame, labels: list[str], walkers: int, steps: int) -> D
     return out.unionByName(ess).unionByName(rate).unionByName(best)
 
 
+def write_report(summary: DataFrame, path: str) -> None:
+    """A summary as lines of text: a line for each parameter, then what concerns the whole run, as one file: a summary has a few rows a parameter."""
+    value = F.format_string("%.6g", F.col("value"))
+    lines = summary.groupBy("parameter").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" = ", "statistic", value))), ", ").alias("text"))
+    named = lines.select(F.col("parameter").isNull().alias("last"), F.coalesce("parameter", F.lit("run")).alias("name"), "text")
+    named.coalesce(1).sortWithinPartitions("last", "name").select(F.concat_ws(": ", "name", "text").alias("value")).write.mode("overwrite").text(path)
+
+
 def log10_safe(x: Column) -> Column:
     return F.when(x > 0, F.log10(F.when(x > 0, x))).otherwise(F.lit(-math.inf))

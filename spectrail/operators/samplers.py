@@ -423,24 +423,43 @@ class SequentialPosterior:
     """Simulation-based inference in rounds; every round proposes from the posterior of the round before.
 
     Later rounds are regressed on draws from their proposal, so that their Gaussian is the posterior times the
-    proposal; dividing the proposal out again gives the posterior under a flat prior.
+    proposal; dividing the proposal out again gives the posterior under a flat prior. `embed` takes rows of x to rows
+    of what stands for them (principal components of that are regressed on). With `nearest` below one the posterior
+    isn't a Gaussian: that part of the last round's simulations, the nearest to the observation, is moved along the
+    regression to it and weighted by nearness.
     """
 
     simulations: int = 1000
     rounds: int = 1
     draws: int = 1000
     features: int = 20
+    embed: Callable[[np.ndarray], np.ndarray] | None = None
+    nearest: float = 1.0
+
+    def embedded(self, x: np.ndarray) -> np.ndarray:
+        x = np.atleast_2d(x)
+        return x if self.embed is None else np.atleast_2d(self.embed(x))
 
     def run(self, sample_prior: Callable[[int, np.random.Generator], np.ndarray], in_support: Callable[[np.ndarray], np.ndarray], simulate: Callable[[np.ndarray, np.random.Generator], np.ndarray], observed: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """All rounds of one object in one task."""
         theta = sample_prior(self.simulations, rng)
         now = None
         for round_ in range(self.rounds):
             if round_:
-                theta = _draw(now, in_support, self.simulations, rng)
-            fitted = fit_posterior(theta, simulate(theta, rng), self.features)
-            mean, cov = fitted.mean(observed)[0], np.atleast_2d(fitted.covariance)
-            now = (mean, cov) if now is None else _divide((mean, cov), now)
-        return _draw(now, in_support, self.draws, rng)
+                theta = draw_gaussian(now, in_support, self.simulations, rng)
+            now = self.next_posterior(fit_posterior(theta, self.embedded(simulate(theta, rng)), self.features), observed, now)
+        return draw_gaussian(now, in_support, self.draws, rng)
+
+    def next_posterior(self, fitted: GaussianPosterior, observed: np.ndarray, now: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        new = fitted.mean(self.embedded(observed))[0], np.atleast_2d(fitted.covariance)
+        return new if now is None else _divide(new, now)
+
+
+def moved(posterior: GaussianPosterior, theta: np.ndarray, x: np.ndarray, observed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Simulated parameters moved along the regression to the observation, and their distances from it in the regression's terms."""
+    shift = posterior.mean(observed) - posterior.mean(x)
+    scale = np.sqrt(np.maximum(np.diag(np.atleast_2d(posterior.covariance)), 1e-300))
+    return theta + shift, np.sqrt(((shift / scale) ** 2).sum(axis=1))
 
 
 def _divide(top: tuple[np.ndarray, np.ndarray], bottom: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -452,7 +471,7 @@ def _divide(top: tuple[np.ndarray, np.ndarray], bottom: tuple[np.ndarray, np.nda
     return cov @ (p @ top[0] - q @ bottom[0]), cov
 
 
-def _draw(gaussian: tuple[np.ndarray, np.ndarray], in_support: Callable[[np.ndarray], np.ndarray], n: int, rng: np.random.Generator) -> np.ndarray:
+def draw_gaussian(gaussian: tuple[np.ndarray, np.ndarray], in_support: Callable[[np.ndarray], np.ndarray], n: int, rng: np.random.Generator) -> np.ndarray:
     kept, have = [], 0
     for _ in range(200):
         t = rng.multivariate_normal(*gaussian, size=n)

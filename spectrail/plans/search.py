@@ -7,7 +7,7 @@ each chain or replicate and for each batch of predictive draws.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from statistics import NormalDist
 
 import numpy as np
@@ -188,15 +188,103 @@ class Search:
         runs = spark.range(replicates).select(F.col("id").alias("run_id"))
         return samplers.run_nested(runs, ["run_id"], lambda pdf: self._problem(None), sampler, seed)
 
-    def infer_from_simulations(self, spark: SparkSession, sampler: samplers.SequentialPosterior, seed: int = 0) -> DataFrame:
-        """Draws of a posterior learned from simulations: sample_id, theta."""
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            rng, n = samplers.seed_of(seed, int(pdf["run_id"].iloc[0])), len(self.priors)
-            draws = sampler.run(lambda k, r: self.transform(r.random((k, n))), lambda t: self.lnprior(t) > -np.inf, self.simulate, self.observed(), rng)
-            return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "sample_id": np.arange(len(draws)), "theta": list(draws)})
-
-        return spark.range(1).select(F.col("id").alias("run_id")).groupBy("run_id").applyInPandas(run, "run_id long, sample_id long, theta array<double>")
+    def simulations(self, spark: SparkSession, thetas: np.ndarray | None = None, n: int = 1000, seed: int = 0) -> DataFrame:
+        """sample_id, theta, x: simulated data for given parameters or prior draws, keyed by sample, over as many tasks as the session has."""
+        parts = min(n if thetas is None else len(thetas), 4 * spark.sparkContext.defaultParallelism)
+        if thetas is None:
+            k = len(self.priors)
+
+            def draw(it):
+                for b in it:
+                    if len(b):
+                        u = np.array([samplers.seed_of(seed, "prior", int(i)).random(k) for i in b["sample_id"]])
+                        yield pd.DataFrame({"sample_id": b["sample_id"], "theta": list(self.transform(u))})
+
+            params = spark.range(0, n, 1, parts).select(F.col("id").alias("sample_id")).mapInPandas(draw, "sample_id long, theta array<double>")
+        else:
+            params = spark.createDataFrame(pd.DataFrame({"sample_id": np.arange(len(thetas)), "theta": [t.tolist() for t in thetas]}), "sample_id long, theta array<double>").repartition(parts, "sample_id")
+        one = lambda theta, seeds: np.concatenate([self.simulate(t[None], samplers.seed_of(seed, "noise", int(s))) for t, s in zip(theta, seeds, strict=True)])
+        return noise.simulate_batches(params, one, seed=seed)
+
+    def infer_from_simulations(self, spark: SparkSession, sampler: samplers.SequentialPosterior, seed: int = 0, cached: DataFrame | None = None) -> DataFrame:
+        """Draws of a posterior learned from simulations: run_id, sample_id, theta.
+
+        Each round's simulations run over tasks and come back as moments. `cached` (theta and x, as `simulations` makes
+        and Parquet keeps) takes the place of the first round's.
+        """
+        p, now, fitted, made = len(self.priors), None, None, cached
+        observed = self.observed()[None]
+        for round_ in range(sampler.rounds):
+            rng = samplers.seed_of(seed, "round", round_)
+            if round_:
+                thetas = samplers.draw_gaussian(now, lambda t: self.lnprior(t) > -np.inf, sampler.simulations, rng)
+                made = self.simulations(spark, thetas, seed=seed + round_)
+            elif made is None:
+                made = self.simulations(spark, n=sampler.simulations, seed=seed)
+            # Off the observation and off the prior's middle, so that sums of squares keep their digits.
+            offset, middle = sampler.embedded(observed)[0], self.transform(np.full((1, p), 0.5))[0]
+
+            def partial(it):
+                for b in it:
+                    if len(b):
+                        n, total, products = samplers.moments(np.array(b["theta"].tolist()) - middle, sampler.embedded(np.array(b["x"].tolist())) - offset)
+                        yield pd.DataFrame({"n": [n], "total": [total.tolist()], "products": [products.ravel().tolist()]})
+
+            rows = made.select("theta", "x").mapInPandas(partial, "n long, total array<double>, products array<double>").collect()
+            m = len(rows[0]["total"])
+            found = samplers.fit_posterior_of(sum(r["n"] for r in rows), sum(np.array(r["total"]) for r in rows), sum(np.array(r["products"]).reshape(m, m) for r in rows), p, sampler.features)
+            weights = found.weights.copy()
+            weights[0] += middle
+            fitted = samplers.GaussianPosterior(weights, found.covariance, found.basis, found.centre + offset)
+            now = sampler.next_posterior(fitted, observed, now)
+        if sampler.nearest >= 1:
+            draws = samplers.draw_gaussian(now, lambda t: self.lnprior(t) > -np.inf, sampler.draws, samplers.seed_of(seed, "draws"))
+            return spark.createDataFrame(pd.DataFrame({"run_id": 0, "sample_id": np.arange(len(draws)), "theta": [t.tolist() for t in draws]}), "run_id long, sample_id long, theta array<double>")
+        return self._nearest(made, fitted, sampler, seed)
+
+    def _nearest(self, made: DataFrame, fitted: samplers.GaussianPosterior, sampler: samplers.SequentialPosterior, seed: int) -> DataFrame:
+        """Draws with replacement from the simulations nearest to the observation, moved along the regression."""
+        observed = sampler.embedded(self.observed())
+
+        def move(it):
+            for b in it:
+                if len(b):
+                    theta, far = samplers.moved(fitted, np.array(b["theta"].tolist()), sampler.embedded(np.array(b["x"].tolist())), observed)
+                    allowed = self.lnprior(theta) > -np.inf
+                    yield pd.DataFrame({"sample_id": b["sample_id"][allowed], "theta": list(theta[allowed]), "far": far[allowed]})
+
+        rows = made.select("sample_id", "theta", "x").mapInPandas(move, "sample_id long, theta array<double>, far double").withColumn("run_id", F.lit(0).cast("long"))
+        edge = rows.groupBy("run_id").agg(F.percentile_approx("far", F.lit(sampler.nearest), F.lit(100_000)).alias("edge"))
+        near = rows.join(F.broadcast(edge), "run_id").where("far < edge").withColumn("weight", 1 - F.pow(F.col("far") / F.col("edge"), F.lit(2.0)))
+        offset = F.lit(float(samplers.seed_of(seed, "offset").random()))
+        drawn = diagnostics.systematic_resample(near, ["run_id"], "weight", ["sample_id"], sampler.draws, offset)
+        return drawn.select("run_id", F.col("draw").alias("sample_id"), "theta")
+
+    def with_parts(self, **changes) -> Search:
+        """The same search with another model, grid, priors or datasets; samplers are rebuilt from it."""
+        return replace(self, **changes)
+
+    def post_process(self, spark: SparkSession, chains: DataFrame, walkers: int, steps: int, path: str | None = None, draws: int = 100, seed: int = 0) -> dict[str, DataFrame]:
+        """All that follows a run: summary, trace, log-probabilities by step and predictive band; with a path also a text report there."""
+        from spectrail.plans import views
+
+        labels = list(self.layout.labels)
+        order = [c for c in ("run_id", "chain", "step", "walker") if c in chains.columns]
+        drawn = diagnostics.draw_rows(chains.select(*order, "theta").withColumn("_all", F.lit(0)), ["_all"], order, draws, seed)
+        out = {
+            "summary": self.summary(chains, walkers, steps),
+            "trace": views.trace(chains, labels),
+            "lnprob": chains.groupBy("step").agg(F.avg("lnprob").alias("lnprob"), F.max("lnprob").alias("best")),
+            "predictive": diagnostics.predictive_band(self.predictive(drawn.withColumnRenamed("draw", "sample_id")), ["grid_idx", "wavelength"], "flux"),
+        }
+        if path:
+            diagnostics.write_report(out["summary"], path)
+        return out
+
+    def __call__(self, spark: SparkSession, sampler, guess: np.ndarray | None = None, path: str | None = None, seed: int = 0) -> dict[str, DataFrame]:
+        """Sample with an ensemble sampler and post-process; `chains` are among the results."""
+        chains = self.sample(spark, sampler, guess=guess, seed=seed)
+        return {"chains": chains, **self.post_process(spark, chains, sampler.walkers, sampler.steps - sampler.burn_in, path, seed=seed)}
 
     def summary(self, chains: DataFrame, walkers: int, steps: int) -> DataFrame:
         return diagnostics.summary(chains, list(self.layout.labels), walkers, steps)

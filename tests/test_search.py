@@ -62,3 +62,44 @@ def test_stream(spark, tmp_path):
     ingest.write_observations(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     got = {r["object_id"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[1]["value"] == pytest.approx(2e-3) and got[1]["filter"] == "WISE_RSR_W1" and got[1]["mask"] and not got[3]["mask"] and 2 not in got
+
+
+def test_simulations_are_kept_and_learned_from(spark, fit, tmp_path):
+    """Cached simulations, an embedding of one's own, and a posterior that isn't a Gaussian."""
+    made = fit.simulations(spark, n=2000, seed=6)
+    made.write.parquet(str(tmp_path / "simulations"))
+    kept = spark.read.parquet(str(tmp_path / "simulations"))
+    again = {r["sample_id"]: r["x"] for r in fit.simulations(spark, n=2000, seed=6).repartition(3).collect()}
+    assert all(again[r["sample_id"]] == r["x"] for r in kept.collect())
+    embed = lambda x: x[:, :10] + x[:, 10:20]
+    for sampler in (samplers.SequentialPosterior(2000, 1, 300), samplers.SequentialPosterior(2000, 2, 300, embed=embed), samplers.SequentialPosterior(2000, 2, 300, nearest=0.3)):
+        draws = fit.infer_from_simulations(spark, sampler, seed=6, cached=kept)
+        rows = np.array([r["theta"] for r in draws.collect()])
+        assert len(rows) == 300 and (fit.lnprior(rows) > -np.inf).all()
+        assert rows[:, 0].mean() == pytest.approx(0.5, abs=0.3) and rows[:, 1].mean() == pytest.approx(3.0, abs=3.0)
+
+
+def test_one_call(spark, fit, tmp_path):
+    out = fit(spark, samplers.EnsembleMCMC(16, 120, 60), guess=np.array([0.5, 3.0, 1.0, 0.1, 0.1]), path=str(tmp_path / "report"), seed=8)
+    assert {"chains", "summary", "trace", "lnprob", "predictive"} == out.keys() and out["predictive"].count() == len(fit.grid) and out["lnprob"].count() == 60
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert lines[-1].startswith("run: acceptance = ") and sorted(x.split(":")[0] for x in lines[:-1]) == sorted(fit.layout.labels)
+    other = fit.with_parts(model_priors=(search.uniform(-1, 1), search.uniform(0, 9)))
+    assert other.priors[0].lnpdf(np.array([2.0]))[0] == -np.inf and other.datasets is fit.datasets
+
+
+def test_autocorrelation_time_by_walkers(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for w in range(6):
+        x = 0.0
+        for s in range(300):
+            x = 0.8 * x + rng.standard_normal()
+            rows.append(("a", w, s, float(x)))
+    df = spark.createDataFrame(rows + [("b", 0, s, 1.0) for s in range(9)], "p string, walker int, step int, value double").repartition(5)
+    got = {r["p"]: r["tau"] for r in diagnostics.autocorrelation_time(df, ["p"], "value", "walker", "step").collect()}
+    x = np.array([v for *_, v in rows]).reshape(6, 300)
+    x = x - x.mean(axis=1, keepdims=True)
+    rho = np.mean([[(r[: 300 - k] * r[k:]).sum() / (r * r).sum() for k in range(300)] for r in x], axis=0)
+    assert got["a"] == pytest.approx(diagnostics.integrated_time(rho), rel=1e-9) and 3 < got["a"] < 14
+    assert got["b"] is None or np.isnan(got["b"])
