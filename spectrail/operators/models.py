@@ -7,6 +7,7 @@ species take the opacities of a grid point as an array and abundances as another
 
 from __future__ import annotations
 
+import functools
 import math
 import operator
 from collections.abc import Callable, Sequence
@@ -146,11 +147,13 @@ class DustShell:
         width = (inner - outer) / self.steps
         slope = -(3 - self.density_power) / self.temperature_power
 
-        def layer(acc: Column, j: Column) -> Column:
+        def layer(j: int) -> Column:
             t = inner - j * width
-            return acc + opacity * physics.shell_planck(wavelength, t) * F.pow(t / inner, F.lit(slope)) * width
+            return physics.shell_planck(wavelength, t) * F.pow(t / inner, F.lit(slope))
 
-        return self._factor() * F.aggregate(F.sequence(F.lit(0), F.lit(self.steps - 2)), F.lit(0.0), layer)
+        # Written out: a higher-order function is interpreted row by row, a sum is compiled.
+        total = functools.reduce(operator.add, map(layer, range(self.steps - 1)))
+        return self._factor() * opacity * width * total
 
     def flux_np(self, wavelength: np.ndarray, inner: float, outer: float, opacity: np.ndarray) -> np.ndarray:
         width = (inner - outer) / self.steps

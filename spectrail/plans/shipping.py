@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,7 +21,10 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _sent:
         return
     root = Path(spectrail.__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="spectrail-")) / "spectrail.zip"
+    # Spark's file server on the driver reads it until the application ends.
+    folder = tempfile.mkdtemp(prefix="spectrail-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "spectrail.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for source in sorted(root.rglob("*.py")):
             z.write(source, f"{root.name}/{source.relative_to(root)}")

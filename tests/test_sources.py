@@ -4,7 +4,7 @@
 import numpy as np
 import pytest
 
-from spectrail.sources import tables
+from spectrail.sources import tables, writers
 
 VOTABLE = """<?xml version="1.0"?><VOTABLE version="1.4" xmlns="http://www.ivoa.net/xml/VOTable/v1.3"><RESOURCE><TABLE>
 <FIELD arraysize="15" datatype="unicodeChar" name="sed_filter"/><FIELD datatype="double" name="sed_flux" unit="mJy"/><FIELD datatype="double" name="sed_eflux" unit="mJy"/>
@@ -93,3 +93,30 @@ def test_runs(spark, tmp_path):
     tables.write_run(chains, str(tmp_path / "run"), {"walkers": 1})
     back, meta = tables.read_run(spark, str(tmp_path / "run"))
     assert back.count() == 1 and meta == {"walkers": 1}
+
+
+def test_own_log_reads_back(spark, tmp_path):
+    import logging
+    import sys
+
+    from spectrail.plans import logs
+
+    hook = sys.excepthook
+    try:
+        log = logs.set_up(folder=str(tmp_path), name="run", terminal=False)
+        logs.set_up(folder=str(tmp_path), name="run", terminal=False)
+        log.info("ready")
+        log.debug("hidden")
+        logs.report(ValueError, ValueError("lost"), None)
+    finally:
+        sys.excepthook = hook
+        logging.getLogger(logs.NAME).handlers.clear()
+    rows = tables.read_log(spark, str(tmp_path / "run.log")).orderBy("ts").collect()
+    assert [(r["level"], r["message"]) for r in rows] == [("INFO", "ready"), ("CRITICAL", "uncaught error")] and rows[0]["ts"] is not None
+
+
+def test_dust_deck():
+    species = [{"abundance": 0.7, "density": 3.3, "constants": "a.lnk", "size_min": 0.01, "size_max": 1.0, "sizes": 101, "power": -3.5}, {"abundance": 0.3, "density": 2.0, "constants": "b.lnk", "size_min": 0.005, "size_max": 0.25, "sizes": 51, "power": -3.5, "size_table": "b.size"}]
+    grid = {"file_format": 2, "angles": 31, "angle_steps": 5, "gas_to_dust": 200, "wavelength_min": 0.1, "wavelength_max": 1000.0, "wavelengths": 333, "processes": 1}
+    lines = writers.dust_deck("mix", grid, species).split("\n")
+    assert lines[:5] == ["mix", "2", "0.005", "1.0", "101"] and lines[11:17] == ["", "0.7", "3.3", "a.lnk", "power", "0.01 1.0 -3.5"] and lines[17:23] == ["", "0.3", "2.0", "b.lnk", "table", "b.size"]
