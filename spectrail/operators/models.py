@@ -127,6 +127,20 @@ def truncated_disc(wavelength: Column, temperature: Column, scale: Column, edge:
     return _ten(scale) * physics.planck_jy(wavelength, temperature) * F.when(wavelength >= edge, F.pow(edge / wavelength, beta)).otherwise(1.0)
 
 
+def template_star(params: DataFrame, templates: DataFrame, keys: list[str], temperature: str, step: float, on: Sequence[str] = ("wavelength",)) -> DataFrame:
+    """A star's flux between the templates (temperature, `on`, flux) next below and above its temperature, on their grid.
+
+    Templates stand every `step` kelvins; two equi-joins find them. Outside their range there is no row.
+    """
+    below = F.floor(F.col(temperature) / step) * step
+    asked = params.select(*keys, F.col(temperature).alias("_t"), below.cast("double").alias("_low"))
+    low = templates.select(F.col("temperature").cast("double").alias("_low"), *on, F.col("flux").alias("_a"))
+    high = templates.select((F.col("temperature") - step).cast("double").alias("_low"), *on, F.col("flux").alias("_b"))
+    part = (F.col("_t") - F.col("_low")) / step
+    # At a template's own temperature the next one isn't needed.
+    return asked.join(low, "_low").join(high, ["_low", *on], "left").withColumn("flux", F.when(part == 0, F.col("_a")).otherwise(F.col("_a") + part * (F.col("_b") - F.col("_a")))).where("flux IS NOT NULL").select(*keys, *on, "flux")
+
+
 @dataclass(frozen=True)
 class DustShell:
     """A dust shell between two temperatures, summed over steps - 1 layers."""

@@ -172,6 +172,29 @@ k AS (SELECT x,
 SELECT round(x, 6) AS x, round(a, 8) AS a, round(b, 8) AS b, round(-0.4 * (a + b / 3.1) * 0.5, 8) AS dimming FROM k
 """
 
+def star_and_disc(spark: SparkSession, sf: str) -> DataFrame:
+    """A star from templates, dimmed, with a truncated disc beside it."""
+    t = _theta(spark, sf).withColumn("teff", 3000 + 4000 * F.col("u3"))
+    grid = spark.range(1, 13).select(F.col("id").cast("int").alias("g"), F.pow(F.lit(10.0), F.col("id") / 5.0).alias("x"))
+    templates = grid.select("g", "x", F.explode(F.sequence(F.lit(3000), F.lit(7000), F.lit(500))).alias("temperature")).select("temperature", "g", (F.sqrt(F.col("temperature").cast("double")) * 1e6 / F.col("x")).alias("flux"))
+    star = models.template_star(t.where("g = 1"), templates, ["p_partkey", "u4"], "teff", 500.0, ["g"]).join(grid, "g")
+    dimmed = star.select("p_partkey", "g", (F.col("flux") * models.ccm_extinction(F.greatest(F.lit(0.2), F.col("x") / 50), F.col("u4"), F.lit(3.1))).alias("flux"))
+    disc = t.select("p_partkey", "g", models.truncated_disc(F.col("x"), 30 + 100 * F.col("u0"), F.col("u1") - 6, F.lit(60.0), 1 + F.col("u2")).alias("flux"))
+    both = models.combine(dimmed, disc, "+", ["p_partkey", "g"])
+    return both.select("p_partkey", F.col("g").cast("long").alias("g"), F.round(F.log10("flux"), 7).alias("flux"))
+
+
+STAR_AND_DISC = f"""
+WITH {THETA_SQL}, s AS (SELECT *, 3000 + 4000 * u3 AS teff, floor((3000 + 4000 * u3) / 500) * 500 AS low, 1 / greatest(0.2::DOUBLE, x / 50) AS v FROM t),
+f AS (SELECT *, (teff - low) / 500 AS part, sqrt(low) * 1e6 / x AS fa, sqrt(low + 500) * 1e6 / x AS fb, v - 1.82::DOUBLE AS y FROM s),
+k AS (SELECT *, CASE WHEN v < 1.1 THEN 0.574 * pow(v, 1.61) WHEN v < 3.3 THEN 1 + 0.17699*y - 0.50447*pow(y,2) - 0.02427*pow(y,3) + 0.72085*pow(y,4) + 0.01979*pow(y,5) - 0.77530*pow(y,6) + 0.32999*pow(y,7)
+    ELSE 1.752 - 0.316*v - 0.104/(pow(v - 4.67, 2) + 0.341) END AS a,
+  CASE WHEN v < 1.1 THEN -0.527 * pow(v, 1.61) WHEN v < 3.3 THEN 1.41338*y + 2.28305*pow(y,2) + 1.07233*pow(y,3) - 5.38434*pow(y,4) - 0.62251*pow(y,5) + 5.30260*pow(y,6) - 2.09002*pow(y,7)
+    ELSE -3.090 + 1.825*v + 1.206/(pow(v - 4.62, 2) + 0.263) END AS b FROM f)
+SELECT p_partkey, g, round(log10((fa + part * (fb - fa)) * pow(10, -0.4 * CASE WHEN v >= 0.3 AND v <= 10 THEN (a + b / 3.1) * u4 END)
+  + pow(10, u1 - 6) * {B_NU.format(x='x', t='30 + 100 * u0')} * CASE WHEN x >= 60 THEN pow(60 / x, 1 + u2) ELSE 1 END), 7) AS flux FROM k
+"""
+
 #: A fit's medians. Species with grain density (g/cm3) and log number density of the cold and warm component.
 SHELL_SPECIES = (
     ("amorphous olivine", 3.71, -1.07680, -3.72738),
@@ -417,7 +440,7 @@ CACHE_DEDUP = "SELECT o_custkey % 50 AS a, count(*) AS n, round(sum(sqrt(o_custk
 
 QUERIES = {name: (globals()[name], globals()[name.upper()]) for name in (
     "model_line", "model_mbb", "model_scaled_bb", "model_powerlaw", "model_powerlaw_relative", "model_dual_bb", "model_poly_ext", "model_truncated_disc", "model_dust_shell",
-    "composite_model", "ccm_extinction", "dust_mass", "prior_box", "prior_box_closed_ordered", "prior_product", "prior_transform_box", "prior_transform_dirichlet",
+    "composite_model", "star_and_disc", "ccm_extinction", "dust_mass", "prior_box", "prior_box_closed_ordered", "prior_product", "prior_transform_box", "prior_transform_dirichlet",
     "prior_dirichlet_logpdf", "prior_noise_logpdf", "prior_norm_check", "prior_bounds", "lnlike_diag", "lnlike_joint", "lnprob_masked", "simulate_obs",
     "cov_kernel_entries", "lnlike_corr_2pt", "cache_dedup",
 )}

@@ -127,6 +127,8 @@ class Search:
     grid: np.ndarray
     model_priors: tuple[Prior, ...]
     datasets: tuple[Photometry | SpectrumData, ...]
+    #: Takes the place of the sum of the priors, if given; transforms stay those of the priors.
+    own_lnprior: Callable[[np.ndarray], np.ndarray] | None = None
 
     @property
     def layout(self) -> ParamLayout:
@@ -138,7 +140,7 @@ class Search:
 
     def lnprior(self, theta: np.ndarray) -> np.ndarray:
         with np.errstate(all="ignore"):
-            total = sum(p.lnpdf(theta[:, i]) for i, p in enumerate(self.priors))
+            total = self.own_lnprior(theta) if self.own_lnprior else sum(p.lnpdf(theta[:, i]) for i, p in enumerate(self.priors))
         return np.where(np.isnan(total), -np.inf, total)
 
     def transform(self, u: np.ndarray) -> np.ndarray:

@@ -85,6 +85,8 @@ def test_one_call(spark, fit, tmp_path):
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()]
     assert lines[-1].startswith("run: acceptance = ") and sorted(x.split(":")[0] for x in lines[:-1]) == sorted(fit.layout.labels)
     other = fit.with_parts(model_priors=(search.uniform(-1, 1), search.uniform(0, 9)))
+    narrow = fit.with_parts(own_lnprior=lambda t: np.where(t[:, 0] > 0, 0.0, -np.inf))
+    assert narrow.lnprior(np.array([[-0.5, 3.0, 1.0, 0.1, 0.1]]))[0] == -np.inf and fit.lnprior(np.array([[-0.5, 3.0, 1.0, 0.1, 0.1]]))[0] > -np.inf
     assert other.priors[0].lnpdf(np.array([2.0]))[0] == -np.inf and other.datasets is fit.datasets
 
 
