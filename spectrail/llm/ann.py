@@ -47,10 +47,12 @@ SHARD_BYTES = 128 << 20
 TASK_QUERIES = 1 << 18
 DEGREE = 28
 SLACK = 12
-BEAM_BUILD = 48
-BEAM_SEARCH = 72
+BEAM_BUILD = 64
+BEAM_SEARCH = 128
 ALPHA = 1.2
 BATCH = 256
+#: Nodes that a search expands at once.
+WIDE = 4
 QUERY_BLOCK = 1024
 SEED = 4_409
 #: Classes that a task holds before it passes them on; the next step joins them again.
@@ -76,41 +78,51 @@ class Graph:
         self.x, self.neighbours, self.start = x, neighbours, start
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Beam searches of many queries at once: found nodes and similarities, best first, and the nodes expanded (padded with -1)."""
-        n, b = len(self.x), len(queries)
+        """Beam searches of many queries at once: found nodes and similarities, best first, and the nodes expanded (padded with -1).
+
+        In each round a query expands the `WIDE` best nodes of its beam that it hasn't expanded yet.
+        """
+        n, b, width = len(self.x), len(queries), self.neighbours.shape[1]
         beam = min(beam, n)
-        rows = np.arange(b)
         ids = np.full((b, beam), -1, dtype=np.int64)
         sims = np.full((b, beam), -np.inf, dtype=np.float32)
         done = np.ones((b, beam), dtype=bool)
         seen = np.zeros((b, n + 1), dtype=bool)  # the last column takes the padding
         seen[:, n] = True
+        place = np.zeros((b, n + 1), dtype=np.uint16)
+        at = np.arange(WIDE * width, dtype=np.uint16)[None]
         ids[:, 0], sims[:, 0], done[:, 0] = self.start, queries @ self.x[self.start], False
         seen[:, self.start] = True
         expanded = []
-        live = rows
+        live = np.arange(b)
         while len(live):
-            first = np.argmin(done[live], axis=1)
-            node = ids[live, first]
-            done[live, first] = True
-            step = np.full(b, -1, dtype=np.int64)
+            rows = live[:, None]
+            first = np.argsort(done[live], axis=1, kind="stable")[:, :WIDE]
+            node = np.where(done[rows, first], -1, ids[rows, first])
+            done[rows, first] = True
+            step = np.full((b, first.shape[1]), -1, dtype=np.int64)
             step[live] = node
             expanded.append(step)
-            near = self.neighbours[node]
-            new = ~seen[live[:, None], near]
-            seen[live[:, None], near] = True
-            seen[:, n] = True
-            found = np.where(new, np.einsum("brd,bd->br", self.x[near], queries[live]), -np.inf)
-            all_ids = np.concatenate([ids[live], np.where(new, near, -1)], axis=1)
+            near = np.where(node[:, :, None] >= 0, self.neighbours[node], -1).reshape(len(live), -1)
+            new = ~seen[rows, near]
+            # Of a node that several expanded ones lead to one mention counts: the one that wrote its place last.
+            place[rows, near] = at[:, : near.shape[1]]
+            new &= place[rows, near] == at[:, : near.shape[1]]
+            seen[rows, near] = True
+            found = np.full(near.shape, -np.inf, dtype=np.float32)
+            row, column = np.nonzero(new)
+            found[row, column] = np.einsum("rd,rd->r", self.x[near[row, column]], queries[live[row]])
+            all_ids = np.concatenate([ids[live], near], axis=1)
             all_sims = np.concatenate([sims[live], found], axis=1)
             all_done = np.concatenate([done[live], ~new], axis=1)
-            top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(all_sims, top, axis=1), axis=1, kind="stable"), axis=1)
-            ids[live] = np.take_along_axis(all_ids, top, axis=1)
-            sims[live] = np.take_along_axis(all_sims, top, axis=1)
-            done[live] = np.take_along_axis(all_done, top, axis=1)
+            local = np.arange(len(live))[:, None]
+            top = np.argpartition(all_sims, all_sims.shape[1] - beam, axis=1)[:, -beam:]
+            top = top[local, np.argsort(-all_sims[local, top], axis=1, kind="stable")]
+            sims[live], done[live] = all_sims[local, top], all_done[local, top]
+            ids[live] = np.where(sims[live] > -np.inf, all_ids[local, top], -1)
+            done[live] |= sims[live] == -np.inf
             live = live[~done[live].all(axis=1)]
-        return ids, sims, np.stack(expanded, axis=1)
+        return ids, sims, np.concatenate(expanded, axis=1)
 
 
 def robust_prune(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -152,14 +164,13 @@ def build(x: np.ndarray, seed: int = SEED) -> Graph:
     if n <= 2:
         return graph
     order = rng.permutation(n)
-    for alpha in (1.0, ALPHA):
-        for at in range(0, n, BATCH):
-            nodes = order[at : at + BATCH]
-            _, _, expanded = graph.search(x[nodes], BEAM_BUILD)
-            kept = robust_prune(x, nodes, np.concatenate([expanded, neighbours[nodes]], axis=1), DEGREE, alpha)
-            neighbours[nodes] = -1
-            neighbours[nodes, :DEGREE] = kept
-            _add_back(x, neighbours, nodes, kept, alpha)
+    for at in range(0, n, BATCH):
+        nodes = order[at : at + BATCH]
+        _, _, expanded = graph.search(x[nodes], BEAM_BUILD)
+        kept = robust_prune(x, nodes, np.concatenate([expanded, neighbours[nodes]], axis=1), DEGREE, ALPHA)
+        neighbours[nodes] = -1
+        neighbours[nodes, :DEGREE] = kept
+        _add_back(x, neighbours, nodes, kept, ALPHA)
     return graph
 
 
