@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrail.functions import units
+from spectrail.operators import decks
 from spectrail.plans.inputs import SPECTRA_SQL, scratch, spectra, table
 from spectrail.sources import tables, writers
 
@@ -286,8 +287,29 @@ SELECT filter, round(z, 6) AS zero_point, round(avg(z * pow(10, -0.4 * p_size /
 
 VEGA_ZERO_POINTS = _vega_sql()
 
+DECK = {
+    "geometry": ("Spherical", {"illumination": decks.illumination("sphere", central=True)}), "spectrum": ("BB", {"count": 1, "temperatures": decks.VARIABLE}), "scale": ("tin", {"temperature": decks.VARIABLE}),
+    "grains": ("common", {"abundances": [0.5, 0, 0, 0, 0.5, 0]}), "sizes": ("modified_mrn", {"power": 3.5, "min": 0.005, "max": 0.25}), "sublimation": ("temperature", {"temperature": 1500}),
+    "density": ("powerlaw", {"count": 1, "radii": [1000], "powers": [2]}), "tau": ("log", {"wavelength": 0.55, "min": 0.1, "max": 10, "models": 5}), "accuracy": ("flux", {"percent": 5}),
+}
+
+
+def transfer_decks(spark: SparkSession, sf: str) -> DataFrame:
+    """A deck for each part, with its own star and inner edge."""
+    rows = table(spark, sf, "part").select("p_partkey", "p_size")
+    text = decks.deck(DECK, {"spectrum.temperatures": F.col("p_size") * 100 + 2000, "scale.temperature": F.col("p_size") + 800})
+    return rows.select("p_partkey", text.alias("deck"))
+
+
+TRANSFER_DECKS = """
+SELECT p_partkey, concat_ws(chr(10), 'geometry = SPHERE', 'central = ON', 'external = OFF', 'spectral shape = BLACK_BODY', 'Number of BB = 1', 'Temperatures = ' || (p_size * 100 + 2000) || ' K', 'Scale: type of entry = T1', 'Td = ' || (p_size + 800) || ' K',
+  'optical properties index = COMMON_GRAIN_COMPOSITE', 'Abundances for supported grain types:', 'Sil-Ow  Sil-Oc  Sil-DL  grf-DL  amC-Hn  SiC-Pg', 'x = 0.5, 0, 0, 0, 0.5, 0', 'Size distribution = MODIFIED_MRN', 'q = 3.5', 'a(min) = 0.005 micron', 'a(max) = 0.25 micron',
+  'Sublimation Temperature = 1500 K', 'density type = POWD', 'N = 1', 'transition radii = 1000', 'power indices = 2', 'grid type = LOGARITHMIC', 'lambda0 = 0.55 micron', 'tau(min) = 0.1', 'tau(max) = 10', 'number of models = 5', 'accuracy for flux conservation = 5', '') AS deck
+FROM part
+"""
+
 QUERIES = {name: (globals()[name], globals()[name.upper()]) for name in (
     "source_votable", "source_votable_spectrum", "source_spitzer_low", "source_spitzer_high", "source_fits_table", "source_sws", "source_lrs", "source_user_text",
     "source_opacities", "source_opacity_list", "source_filters", "source_eso_filters", "source_filter_library", "source_radiative_transfer", "source_stellar_template",
-    "run_round_trip", "vega_zero_points",
+    "run_round_trip", "vega_zero_points", "transfer_decks",
 )}

@@ -120,3 +120,25 @@ def test_dust_deck():
     grid = {"file_format": 2, "angles": 31, "angle_steps": 5, "gas_to_dust": 200, "wavelength_min": 0.1, "wavelength_max": 1000.0, "wavelengths": 333, "processes": 1}
     lines = writers.dust_deck("mix", grid, species).split("\n")
     assert lines[:5] == ["mix", "2", "0.005", "1.0", "101"] and lines[11:17] == ["", "0.7", "3.3", "a.lnk", "power", "0.01 1.0 -3.5"] and lines[17:23] == ["", "0.3", "2.0", "b.lnk", "table", "b.size"]
+
+
+def test_deck_options(spark):
+    from spectrail.operators import decks
+    from spectrail.plans import files
+
+    assert decks.free_fields(files.DECK) == ["spectrum.temperatures", "scale.temperature"]
+    for block, (_, fields) in files.DECK.items():
+        with pytest.raises(ValueError):
+            decks.check({**files.DECK, block: ("nothing", fields)})
+        with pytest.raises(ValueError):
+            decks.check({**files.DECK, block: (files.DECK[block][0], {})})
+    with pytest.raises(ValueError):
+        decks.deck(files.DECK)
+    with pytest.raises(ValueError):
+        decks.illumination("sphere", True, True)
+    with pytest.raises(ValueError):
+        decks.illumination("slab", angle=86.0)
+    assert decks.illumination("slab") == "angular distribution = ISOTROPIC" and decks.illumination("sphere", external=True) == decks.EXTERNAL
+    for block, kinds in decks.BLOCKS.items():
+        names = [n for k in kinds for n in k.names]
+        assert len(set(names)) == len(names) and all(decks.choose(block, n.upper()).names for n in names)
