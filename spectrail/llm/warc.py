@@ -6,17 +6,24 @@ one SHA-256 would differ in SHA-1; writing fails on such a pair, and reading che
 each payload against its key. All of it is DataFrame functions; digest columns,
 not payloads, are what is grouped.
 
-Defined results: a null html is an empty payload; a null url writes no target line;
-line breaks in a url are percent-encoded; of records with equal payloads of at
+Record ids are name-based UUIDs of the archive's own id and the record's number, so
+that they are unique across archives. A revisit names its response by record id and
+by page id; as it has no block, its payload comes from the store.
+
+Defined results: a null html is an empty payload; a null or empty url writes no target
+line and reads back null; line breaks in a url are percent-encoded; of records with equal payloads of at
 least `min_bytes` bytes that with the largest page id (of repeated rows, the row
 read last) is the response and the others revisit it; a null page id is written
-without its line, sorts before all others and reads back null; an empty table
-gives an empty archive.
+without its line, sorts before all others and reads back null; a very long payload is
+one cell, never gathered with others; columns other than these three play no part; an
+empty table gives an empty archive.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +33,8 @@ from spectrail.llm import common
 MIN_BYTES = 0
 BASE32_DIGITS = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 CRLF = "\r\n"
+#: Fixed value of the format: what a revisit without a block of its own says.
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 @dataclass(frozen=True)
@@ -41,17 +50,28 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), *BASE32_DIGITS)
 
 
-def header_text(kind: Column, row: Column, page_id: Column, url: Column, digest: Column, length: Column, refers_to: Column) -> Column:
+def record_id(archive_id: str, row: Column) -> Column:
+    """The URN of a record: a UUID by name, of the archive's id and the record's number (RFC 4122, version 5)."""
+    digest = F.sha1(F.concat(F.lit(uuid.UUID(archive_id).bytes), row.cast("string").cast("binary")))
+    variant = F.substring(F.lit("89ab89ab89ab89ab"), (F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") + 1), F.lit(1))
+    parts = (F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+
+
+def header_text(kind: Column, row: Column, page_id: Column, url: Column, digest: Column, length: Column, refers_to: Column, response_row: Column, archive_id: str, date: str) -> Column:
     """The record's header block, without the line that ends it."""
+    revisit = kind == "revisit"
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF))
     target = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:record:"), row.cast("string"), F.lit(">"))),
-        F.coalesce(line("WARC-Target-URI", target), F.lit("")),
+        line("WARC-Record-ID", record_id(archive_id, row)),
+        line("WARC-Date", F.lit(date)),
+        F.coalesce(line("WARC-Target-URI", F.nullif(target, F.lit(""))), F.lit("")),
         F.coalesce(line("X-Page-ID", page_id), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(SAME_PAYLOAD)), line("WARC-Refers-To", record_id(archive_id, response_row)))).otherwise(F.lit("")),
         F.coalesce(line("X-Refers-To-Page", refers_to), F.lit("")),
         line("Content-Length", F.when(kind == "response", length).otherwise(F.lit(0).cast("long"))),
     )
@@ -62,9 +82,10 @@ def header_field(header: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
-def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> Archive:
-    """Write the two tables to the shared folder."""
+def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES, date: str | None = None) -> Archive:
+    """Write the two tables to the shared folder; `date` (by default now, in UTC) is that of every record."""
     spark = pages.sparkSession
+    archive_id, date = str(uuid.uuid4()), date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     staging = common.new_path(spark, "warc-staged")
     (
@@ -87,7 +108,7 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     judged = records.join(chosen, "sha256")
     judged.select(
         "sha256",
-        header_text(kind, F.col("row"), F.col("page_id"), F.col("url"), F.col("sha1"), F.col("length"), F.when(revisit, F.col("last")["page_id"])).alias("header"),
+        header_text(kind, F.col("row"), F.col("page_id"), F.col("url"), F.col("sha1"), F.col("length"), F.when(revisit, F.col("last")["page_id"]), F.col("last")["row"], archive_id, date).alias("header"),
     ).write.parquet(archive.headers)
     # All rows but those with an equal payload in a later row bring their payload. These others, once written, have a
     # known size: few are broadcast and no payload is shuffled; many are joined by row number, which spreads evenly.
@@ -123,10 +144,12 @@ def record_bytes(record: DataFrame) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive all pages, read the archive back and describe each record from what was read."""
+    """Archive all pages, read the archive back, rebuild each record and describe it: a response's payload is what lies between its header and its end."""
     archive = write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return read_archive(spark, archive).select(
-        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to",
+    record = record_bytes(read_archive(spark, archive))
+    block = F.octet_length("bytes") - F.octet_length("header") - 3 * len(CRLF)
+    return record.select(
+        "page_id", F.when(F.col("record_type") == "response", block).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to",
     )
 
 
