@@ -4,8 +4,11 @@ Each stage takes what its predecessor kept, with the columns of documents, and j
 it anew: forest, classifier and thresholds are fitted on the labelled documents still
 there. Its decisions take effect in its result. The last stage returns the packed
 pieces. Texts that are null or empty fail the quality rules; repeated rows of one
-document stay together until the near-duplicate stage keeps one of them; a row
-without an id is a document of its own there.
+document stay together until the near-duplicate stage keeps one of them, of different
+texts the least; a row without an id is a document of its own there. Very long texts
+go through whole, a row a cell. Columns other than doc_id and text pass through,
+whatever their names, until the last stage, which returns its own. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from pyspark.sql import functions as F
 from spectrail.llm import common, neardup, packing, quality, toxicity
 from spectrail.plans.shipping import ship
 
-
 #: Stages follow each other in one set of executors, whose memory grows from each to the next.
 BATCH_BYTES = 2 << 20
 
@@ -85,7 +87,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again as the next one's input."""
-    docs = common.documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = common.settle(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with common.tidy(spark):
+        docs = common.documents(spark, sf_dir)
+        for name, stage in STAGES[:-1]:
+            docs = common.settle(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        return STAGES[-1][1](spark, docs, sf_dir)
