@@ -204,6 +204,14 @@ def evidence(df: DataFrame, keys: list[str], logwt: str) -> DataFrame:
     return df.join(top, keys).groupBy(*keys).agg(stats.log_sum_exp(F.col(logwt), F.col("_top")).alias("logz"))
 
 
+def nested_summary(df: DataFrame, keys: list[str], logwt: str, logl: str, live: int) -> DataFrame:
+    """Of a nested run ln Z, its error, the information in nats and the effective number of samples."""
+    joined = df.join(evidence(df, keys, logwt), keys)
+    p = F.exp(F.col(logwt) - F.col("logz"))
+    sums = joined.groupBy(*keys, "logz").agg(F.sum(p * (F.col(logl) - F.col("logz"))).alias("information"), (F.pow(F.sum(p), F.lit(2.0)) / F.sum(p * p)).alias("effective"))
+    return sums.withColumn("logz_error", F.sqrt(F.greatest("information", F.lit(0.0)) / live))
+
+
 def last_sample(df: DataFrame, keys: list[str], iteration: str, carry: list[str]) -> DataFrame:
     """The maximum-likelihood point of nested sampling: the last dead or live point."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*carry), iteration).alias("b")).select(*keys, *[F.col("b")[c].alias(c) for c in carry])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spectrail.operators.align import interpolate
+
 DETECTORS = ("photon", "energy")
 
 
@@ -55,6 +57,19 @@ def band_fluxes(flux: DataFrame, filters: DataFrame, keys: list[str], grid: str
     return sums.select(*keys, "filter", F.sqrt(F.try_divide(F.col("b"), F.col("c"))).alias("lpivot"), F.try_divide("a", "c").alias("flux"))
 
 
+def filters_on_grid(filters: DataFrame, grid: DataFrame) -> DataFrame:
+    """Filter curves at the wavelengths of a grid, zero outside each band: what synthetic photometry takes. `grid` is of a bounded size."""
+    bands = filters.select("filter", "detector").distinct()
+    wanted = bands.crossJoin(F.broadcast(grid.select("wavelength")))
+    moved = interpolate(filters.select("filter", "wavelength", "transmission"), wanted, ["filter"], "wavelength", "transmission", "null")
+    return moved.withColumn("transmission", F.coalesce("transmission", F.lit(0.0)))
+
+
+def power_law_shell(radius: Column, inner: Column, outer: Column, power: float, density: Column) -> Column:
+    """Density that falls as a power of the radius from its value at the inner edge, and is zero outside both edges."""
+    return F.when((radius >= inner) & (radius <= outer), density * F.pow(radius / inner, F.lit(-float(power)))).otherwise(0.0)
+
+
 def zero_points(star: DataFrame, filters: DataFrame, grid: str = "wavelength") -> DataFrame:
     """Each filter's flux of magnitude zero in Jy: the band flux of the standard star's curve on the filters' grid."""
     return band_fluxes(star.withColumn("_star", F.lit(0)), filters, ["_star"], grid).select("filter", "lpivot", F.col("flux").alias("zero_point"))

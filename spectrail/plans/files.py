@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrail.functions import units
-from spectrail.operators import decks
+from spectrail.operators import align, decks, diagnostics, integrate
 from spectrail.plans.inputs import SPECTRA_SQL, scratch, spectra, table
 from spectrail.sources import tables, writers
 
@@ -264,7 +264,6 @@ RUN_ROUND_TRIP = "SELECT user_id AS walker, count(*) AS n, round(sum(value), 6)
 
 def vega_zero_points(spark: SparkSession, sf: str) -> DataFrame:
     """Zero points of bands from a star's curve: here a power law, sampled on the bands' grid."""
-    from spectrail.operators import integrate
     from spectrail.plans.observations import _filters
 
     star = spark.range(1, 65).select(F.lit(0).alias("star"), F.col("id").cast("double").alias("wavelength"), (3600.0 * F.pow(F.col("id").cast("double"), F.lit(-1.9))).alias("flux"))
@@ -287,6 +286,83 @@ SELECT filter, round(z, 6) AS zero_point, round(avg(z * pow(10, -0.4 * p_size /
 
 VEGA_ZERO_POINTS = _vega_sql()
 
+def source_image(spark: SparkSession, sf: str) -> DataFrame:
+    """Images of eight by eight pixels."""
+    out = tables.read_image(spark, _vectors_as_files(spark, sf, lambda v: writers.fits_image(v.reshape(8, 8))))
+    return out.groupBy(_id()).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value") * (8 * F.col("y") + F.col("x") + 1)), 6).alias("moment"))
+
+
+SOURCE_IMAGE = f"WITH {SPECTRA_SQL} SELECT vec_id, count(*) AS n, round(sum(y * (k + 1)), 6) AS moment FROM s GROUP BY 1"
+
+
+def alma_filter_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated curves written in the two-header layout and read as filters."""
+    path = scratch(spark, "alma")
+    tables.write_filter_csv(tables.alma_band(spark, [(84.0, 116.0), (125.0, 163.0)]), path, "photon", "um")
+    return tables.read_filter_csv(spark, path).select("detector", F.round("wavelength", 6).alias("wavelength"), "transmission")
+
+
+ALMA_FILTER_FILE = """
+WITH f AS (SELECT 0.95::DOUBLE * 84 + (1.05::DOUBLE * 163 - 0.95::DOUBLE * 84) / 199 * i AS f FROM range(200) r(i))
+SELECT 'photon' AS detector, round(2.99792458e14 / (f * 1e9), 6) AS wavelength, CASE WHEN (f > 84 AND f < 116) OR (f > 125 AND f < 163) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS transmission FROM f
+"""
+
+
+def transfer_on_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """A program's output in falling wavelengths, brought to a fixed grid that reaches beyond it."""
+    make = lambda v: "\n".join(["1 1.0e-12 3", *(f"  {64 - i} {abs(x) + 1!r}" for i, x in enumerate(v.tolist())), ""]).encode()
+    seen = tables.read_radiative_transfer(spark, _vectors_as_files(spark, sf, make)).select(_id(), F.col("wavelength").alias("x"), (F.col("flux") / F.col("wavelength")).alias("y"))
+    grid = table(spark, sf, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(16))).alias("j")).select("vec_id", "j", (0.3 + 4.3 * F.col("j")).alias("x"))
+    return align.interpolate(seen, grid, ["vec_id"], "x", "y", "clamp").select("vec_id", "j", F.round("y", 6).alias("y"))
+
+
+TRANSFER_ON_GRID = """
+WITH b AS (SELECT vec_id, embedding AS e, CAST(j AS INT) AS j, least(greatest(0.3::DOUBLE + 4.3::DOUBLE * j, 1), 64) AS x FROM embeddings, range(17) r(j)),
+k AS (SELECT *, CAST(least(floor(x), 63) AS INT) AS k FROM b), y AS (SELECT vec_id, j, x - k AS d, abs(e[65 - k]::DOUBLE) + 1 AS l, abs(e[64 - k]::DOUBLE) + 1 AS h FROM k)
+SELECT vec_id, j, round((l + d * (h - l)) * 1e-12 * 1e-6 / 2.99792458e8 * 1e26, 6) AS y FROM y
+"""
+
+
+def filters_on_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Curves on a coarser grid, and their pivots there."""
+    curves = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("filter"), F.lit("photon").alias("detector"), F.posexplode("embedding").alias("k", "t"))
+    curves = curves.select("filter", "detector", (10.0 + F.col("k")).alias("wavelength"), F.abs("t").cast("double").alias("transmission"))
+    grid = spark.range(30).select((5.5 + 3.0 * F.col("id")).alias("wavelength"))
+    moved = integrate.filters_on_grid(curves, grid)
+    pivots = integrate.pivot_wavelength(moved)
+    return moved.groupBy("filter").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("transmission"), 6).alias("total")).join(pivots, "filter").select("filter", "n", "total", F.round("lpivot", 6).alias("lpivot"))
+
+
+FILTERS_ON_GRID = """
+WITH g AS (SELECT vec_id, embedding AS e, 5.5::DOUBLE + 3.0 * i AS x FROM embeddings, range(30) r(i)), k AS (SELECT *, CAST(floor(x) AS INT) - 9 AS k, x - floor(x) AS d FROM g),
+t AS (SELECT vec_id, x, CASE WHEN x >= 10 AND x <= 73 THEN abs(e[k]::DOUBLE) + d * (abs(e[least(k + 1, 64)]::DOUBLE) - abs(e[k]::DOUBLE)) ELSE 0.0::DOUBLE END AS t FROM k),
+a AS (SELECT vec_id, t, 0.5 * (x * t + lead(x * t) OVER w) * (lead(x) OVER w - x) AS b, 0.5 * (t / x + lead(t / x) OVER w) * (lead(x) OVER w - x) AS c FROM t WINDOW w AS (PARTITION BY vec_id ORDER BY x))
+SELECT CAST(vec_id AS VARCHAR) AS filter, count(*) AS n, round(sum(t), 6) AS total, round(sqrt(sum(b) / sum(c)), 6) AS lpivot FROM a GROUP BY 1
+"""
+
+
+def density_shell(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("r"))
+    return rows.select("p_partkey", F.round(integrate.power_law_shell(F.col("r"), F.lit(5.0), F.lit(40.0), 1.5, F.lit(2.0)), 8).alias("density"))
+
+
+DENSITY_SHELL = "SELECT p_partkey, round(CASE WHEN p_size BETWEEN 5 AND 40 THEN 2 * pow(p_size / 5.0::DOUBLE, -1.5) ELSE 0 END, 8) AS density FROM part"
+
+
+def nested_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence, information and effective samples of weighted events."""
+    rows = table(spark, sf, "events").select("event_type", (F.col("value") / 20).alias("logl"), (F.col("value") / 20 - F.col("event_id") / 1000.0).alias("logwt"))
+    out = diagnostics.nested_summary(rows, ["event_type"], "logwt", "logl", 50)
+    return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("logz", "information", "logz_error", "effective")])
+
+
+NESTED_REPORT = """
+WITH w AS (SELECT event_type, value / 20 AS logl, value / 20 - event_id / 1000.0::DOUBLE AS logwt FROM events), m AS (SELECT event_type, max(logwt) AS m FROM w GROUP BY 1),
+z AS (SELECT event_type, any_value(m) + ln(sum(exp(logwt - m))) AS z FROM w JOIN m USING (event_type) GROUP BY 1),
+h AS (SELECT event_type, z, sum(exp(logwt - z) * (logl - z)) AS h, pow(sum(exp(logwt - z)), 2) / sum(pow(exp(logwt - z), 2)) AS n FROM w JOIN z USING (event_type) GROUP BY event_type, z)
+SELECT event_type, round(z, 6) AS logz, round(h, 6) AS information, round(sqrt(greatest(h, 0) / 50), 6) AS logz_error, round(n, 6) AS effective FROM h
+"""
+
 DECK = {
     "geometry": ("Spherical", {"illumination": decks.illumination("sphere", central=True)}), "spectrum": ("BB", {"count": 1, "temperatures": decks.VARIABLE}), "scale": ("tin", {"temperature": decks.VARIABLE}),
     "grains": ("common", {"abundances": [0.5, 0, 0, 0, 0.5, 0]}), "sizes": ("modified_mrn", {"power": 3.5, "min": 0.005, "max": 0.25}), "sublimation": ("temperature", {"temperature": 1500}),
@@ -312,4 +388,5 @@ QUERIES = {name: (globals()[name], globals()[name.upper()]) for name in (
     "source_votable", "source_votable_spectrum", "source_spitzer_low", "source_spitzer_high", "source_fits_table", "source_sws", "source_lrs", "source_user_text",
     "source_opacities", "source_opacity_list", "source_filters", "source_eso_filters", "source_filter_library", "source_radiative_transfer", "source_stellar_template",
     "run_round_trip", "vega_zero_points", "transfer_decks",
+    "source_image", "alma_filter_file", "transfer_on_grid", "filters_on_grid", "density_shell", "nested_report",
 )}

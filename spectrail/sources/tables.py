@@ -279,6 +279,18 @@ def read_spitzer_high(spark: SparkSession, path: Source) -> DataFrame:
     return split.withColumn("chunk", F.when(F.col("irs_order").between(11, 20), F.col("chunk")).otherwise(0)).orderBy("file", "wavelength")
 
 
+def read_image(spark: SparkSession, path: Source, unit: int = 0) -> DataFrame:
+    """Pixels of FITS images: file, y, x (from 0) and value; a cube's planes lie one behind the other in y."""
+
+    def parse(raw: bytes) -> pd.DataFrame:
+        _, image = fits_image(raw, unit)
+        flat = image.reshape(-1, image.shape[-1])
+        y, x = np.indices(flat.shape)
+        return pd.DataFrame({"y": y.ravel(), "x": x.ravel(), "value": flat.ravel()})
+
+    return _parse_files(spark, path, parse, "file string, y long, x long, value double")
+
+
 def read_fits_spectrum(spark: SparkSession, path: Source, wavelength: str, flux: str, uncertainty: str, wavelength_unit: str = "um", flux_unit: str = "Jy", unit: int = 1) -> DataFrame:
     """A binary table with the user's column names; one chunk."""
 
