@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from spectrail.functions import stats
 
@@ -70,19 +71,32 @@ def map_point(df: DataFrame, keys: list[str], lnprob: str, order: list[str], car
     return df.groupBy(*keys).agg(best.alias("b"), F.max(stats.no_nan(F.col(lnprob))).alias("lnprob")).select(*keys, *[F.col("b")[n].alias(n) for n in names], "lnprob")
 
 
-def flat_ranks(df: DataFrame, keys: list[str], order: list[str], rank: str = "_r", total: str = "_n") -> DataFrame:
-    """Each row's place among its key's rows in `order`, from 1, and their number.
+def running(df: DataFrame, keys: list[str], order: list[str], amount: Column, upto: str, total: str, bins: int = 4096) -> DataFrame:
+    """The sum of `amount` over each key's rows in `order` up to each row, and over all.
 
-    Rows are ranked within the first column of the order (a walker, say) and moved on by the counts of those
-    before it, so that a key of any size is sorted by many tasks.
+    Rows are summed within the first column of the order (a walker, say), or within equal bins of a number that is the
+    only one, and moved on by the sums of those before, so that a key of any size is sorted by many tasks.
     """
-    major, minor = order[0], order[1:]
-    part = [*keys, major]
-    counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_c"))
+    major, minor, rows = F.col(order[0]), order[1:], df
+    if not minor:
+        minor = order
+        if isinstance(df.schema[order[0]].dataType, NumericType):
+            ends = df.groupBy(*keys).agg(F.min(order[0]).cast("double").alias("_lo"), F.max(order[0]).cast("double").alias("_hi"))
+            rows = df.join(ends, keys) if keys else df.crossJoin(F.broadcast(ends))
+            place = F.floor(F.try_divide((major.cast("double") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")))
+            major = F.coalesce(place, F.when(F.col(order[0]).isNull(), F.lit(-1)).otherwise(F.lit(0)))
+    part = [*keys, "_major"]
+    rows = rows.withColumn("_major", major).withColumn("_amount", amount).drop("_lo", "_hi")
+    sums = rows.groupBy(*part).agg(F.sum("_amount").alias("_c"))
     whole = W.partitionBy(*keys)
-    starts = counts.select(*part, (F.sum("_c").over(whole.orderBy(major)) - F.col("_c")).alias("_s"), F.sum("_c").over(whole).alias(total))
-    own = F.row_number().over(W.partitionBy(*part).orderBy(*(minor or [major])))
-    return df.withColumn("_own", own).join(starts, part).withColumn(rank, F.col("_s") + F.col("_own")).drop("_own", "_s")
+    starts = sums.select(*part, (F.sum("_c").over(whole.orderBy("_major")) - F.col("_c")).alias("_s"), F.sum("_c").over(whole).alias(total))
+    own = F.sum("_amount").over(W.partitionBy(*part).orderBy(*minor).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("_own", own).join(starts, part).withColumn(upto, F.col("_s") + F.col("_own")).drop("_own", "_s", "_major", "_amount")
+
+
+def flat_ranks(df: DataFrame, keys: list[str], order: list[str], rank: str = "_r", total: str = "_n") -> DataFrame:
+    """Each row's place among its key's rows in `order`, from 1, and their number."""
+    return running(df, keys, order, F.lit(1).cast("long"), rank, total)
 
 
 def _chunk(rank: Column, total: Column, chunks: int) -> Column:
@@ -222,12 +236,12 @@ def systematic_resample(df: DataFrame, keys: list[str], weight: str, order: list
 
     The number of points in a stretch is a difference of two floors: no range join is needed.
     """
-    w = W.partitionBy(*keys)
-    cum = F.sum(weight).over(w.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) / F.sum(weight).over(w) * draws
-    prev = (F.sum(weight).over(w.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col(weight)) / F.sum(weight).over(w) * draws
+    summed = running(df, keys, order, F.col(weight), "_upto", "_all")
+    cum = F.col("_upto") / F.col("_all") * draws
+    prev = (F.col("_upto") - F.col(weight)) / F.col("_all") * draws
     hit = lambda c: F.least(F.greatest(F.ceil(c - offset), F.lit(0)), F.lit(draws))
-    counted = df.withColumn("_from", hit(prev)).withColumn("_to", hit(cum))
-    return counted.where("_to > _from").withColumn("draw", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1))).drop("_from", "_to")
+    counted = summed.withColumn("_from", hit(prev)).withColumn("_to", hit(cum))
+    return counted.where("_to > _from").withColumn("draw", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1))).select(*df.columns, "draw")
 
 
 def draw_rows(df: DataFrame, keys: list[str], order: list[str], draws: int, seed: int) -> DataFrame:

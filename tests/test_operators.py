@@ -367,3 +367,17 @@ def test_correlated_likelihood_takes_each_class_s_first_spectrum(spark, tmp_path
         cov = noise.covariance(np.arange(6.0), np.full(6, 0.5), weight, length, noise.TRUNCATION)
         residual = scale * first[label] - np.array(flux, dtype=np.float32).astype(float)
         assert r["lnlike"] == pytest.approx(noise.lnlike_correlated_np(residual, cov))
+
+
+def test_running_sums_by_bins(spark):
+    """One number as the order, with an uneven spread and a null."""
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x), int(w)) for x, w in zip(rng.lognormal(0, 3, 500), rng.integers(0, 9, 500), strict=True)] + [("a", None, 4), ("b", 1.0, 2)]
+    df = spark.createDataFrame(rows, "p string, x double, w long").repartition(4)
+    out = diagnostics.running(df, ["p"], ["x"], F.col("w"), "upto", "all", bins=64)
+    assert out.columns == ["p", "x", "w", "upto", "all"]
+    got = sorted(((r["x"] if r["x"] is not None else -1.0, r["upto"], r["all"]) for r in out.where("p = 'a'").collect()))
+    mine = sorted(((x if x is not None else -1.0), w) for p, x, w in rows if p == "a")
+    assert got == [(x, int(c), sum(w for _, w in mine)) for (x, _), c in zip(mine, np.cumsum([w for _, w in mine]), strict=True)]
+    drawn = diagnostics.systematic_resample(df.where("x IS NOT NULL"), ["p"], "w", ["x"], 50, F.lit(0.5))
+    assert drawn.columns == ["p", "x", "w", "draw"] and {r["p"]: r["n"] for r in drawn.groupBy("p").agg(F.count("*").alias("n")).collect()} == {"a": 50, "b": 50}
