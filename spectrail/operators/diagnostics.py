@@ -91,7 +91,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], amount: Column, up
     whole = W.partitionBy(*keys)
     starts = sums.select(*part, (F.sum("_c").over(whole.orderBy("_major")) - F.col("_c")).alias("_s"), F.sum("_c").over(whole).alias(total))
     own = F.sum("_amount").over(W.partitionBy(*part).orderBy(*minor).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("_own", own).join(starts, part).withColumn(upto, F.col("_s") + F.col("_own")).drop("_own", "_s", "_major", "_amount")
+    return rows.withColumn("_own", own).join(starts, part).select(*[F.col(c) for c in df.columns], (F.col("_s") + F.col("_own")).alias(upto), total)
 
 
 def flat_ranks(df: DataFrame, keys: list[str], order: list[str], rank: str = "_r", total: str = "_n") -> DataFrame:
