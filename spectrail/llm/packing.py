@@ -24,7 +24,6 @@ columns play no part; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,8 +86,8 @@ def _kept_chunk_ids(path: str) -> wordbpe.ChunkCache:
     return _chunk_ids(path)
 
 
-def cut_pieces(docs: DataFrame, key: str, text: str, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
-    """Each document's pieces, with their task's number and their rank in the task among pieces of their length.
+def cut_pieces(docs: DataFrame, key: str, text: str, tokenizer_path: str, capacity: int = CAPACITY, keep_words: bool = True) -> DataFrame:
+    """Each document's pieces and their ids (packed, little-endian unsigned 32 bits), with their task's number and their rank in the task among pieces of their length.
 
     Task and rank are fixed once the table is written; `place_pieces` needs it settled.
     """
@@ -99,35 +98,24 @@ def cut_pieces(docs: DataFrame, key: str, text: str, tokenizer_path: str, capaci
         seen = [0] * (capacity + 1)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            owner, piece, start, length, crc, rank, packed = [], [], [], [], [], [], []
+            owner, piece, start, length, rank, packed = [], [], [], [], [], []
             for row, ids in enumerate(cache.joined_ids(batch.column(1))):
                 total = len(ids) + 1
                 for k, at in enumerate(range(0, total, capacity)):
-                    part = ids[at : at + capacity]
+                    part = ids[at : at + capacity].tobytes()
                     n = min(capacity, total - at)
-                    last = zlib.crc32(part)
-                    if n > len(part):
-                        last = zlib.crc32(end, last)
-                        if with_ids:
-                            part = np.append(part, np.uint32(END_ID))
                     owner.append(row)
                     piece.append(k)
                     start.append(at)
                     length.append(n)
-                    crc.append(last)
                     rank.append(seen[n])
                     seen[n] += 1
-                    if with_ids:
-                        packed.append(part.astype(np.int64))
-            arrays = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(owner), pa.int32()), pa.array(rank, pa.int64())]
-            names = [key, "piece", "start", "length", "ids_crc32", "task", "task_rank"]
-            if with_ids:
-                arrays.append(pa.array(packed, pa.list_(pa.int64())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    packed.append(part if len(part) == 4 * n else part + end)
+            arrays = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length)), pa.array([task] * len(owner), pa.int32()), pa.array(rank, pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[key, "piece", "start", "length", "task", "task_rank", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(common.lean(run), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, task int, task_rank long" + (", ids array<long>" if with_ids else ""))
+    return docs.select(key, text).mapInArrow(common.lean(run), f"`{key}` {kind}, piece int, start long, length long, task int, task_rank long, ids binary")
 
 
 def _best_configuration(lengths: np.ndarray, values: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
@@ -351,7 +339,7 @@ def lay_out(plan: list[tuple[dict[int, int], int]]) -> Places:
 
 
 def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """A settled table of pieces with `sequence_id` and `offset`."""
+    """The rows of a settled table of pieces with `sequence_id` and `offset`."""
     counts = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = common.settle(counts, "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -379,14 +367,20 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, key: str, text: str, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
-    """Each piece with its sequence and offset; with_ids adds the ids, ready to be written out by sequence.
+    """Each piece with its sequence and offset and the CRC of its ids, taken from the ids as they were written; with_ids gives these too.
 
     Without keep_words Python workers take more CPU time and less memory: they keep nothing from slice to slice, nor from task to task.
     """
     common.bound_batches(docs.sparkSession)
-    pieces = common.settle(cut_pieces(docs, key, text, tokenizer_path, capacity, with_ids, keep_words), "pack-pieces")
-    placed = place_pieces(pieces, capacity)
-    return placed.select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
+    pieces = common.settle(cut_pieces(docs, key, text, tokenizer_path, capacity, keep_words), "pack-pieces")
+    rows = pieces.select(key, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "task", "task_rank", *(["ids"] if with_ids else []))
+    return place_pieces(rows, capacity).select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
+
+
+def write_sequences(packed: DataFrame, path: str) -> DataFrame:
+    """Write what `pack` with ids gives as whole sequences, in order within files that hold ranges of them, and read it back."""
+    packed.repartitionByRange("sequence_id").sortWithinPartitions("sequence_id", "offset").write.parquet(path)
+    return packed.sparkSession.read.schema(packed.schema).parquet(path)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
