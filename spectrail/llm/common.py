@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -32,6 +33,8 @@ READ_ROWS = 1024
 GC_OBJECTS = 100_000
 
 _settled: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Paths that were made for tables and not deleted again.
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +46,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """If what runs inside fails, delete the tables that it has written: nothing will read them."""
+    before = len(_paths)
+    try:
+        yield
+    except Exception:
+        for path in _paths[before:]:
+            drop_path(spark, path)
+        raise
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -64,6 +80,8 @@ def release(*frames: DataFrame) -> None:
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
+    if path in _paths:
+        _paths.remove(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
