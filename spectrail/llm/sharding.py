@@ -1,7 +1,8 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions only.
 
-Pass one gives each record a shard and scatters it, by a seeded hash, into one of
-the shard's buckets, as many as keep a bucket near `bucket_bytes`. Pass two runs a
+Pass one gives each record a shard and scatters it, by a seeded hash of its key and
+its place in the input, into one of the shard's buckets: as many as keep a bucket of
+that shard near `bucket_bytes`, however much a hot key puts into it. Pass two runs a
 seeded Fisher-Yates shuffle over each bucket (Spark's `shuffle`) and lays the
 buckets of a shard end to end.
 
@@ -11,8 +12,9 @@ shard takes rows only into itself.
 
 Defined results: a null text has size 16 and the CRC of nothing; a null key is a
 key of its own; rows that repeat, even with one key, are all kept, share a shard by
-the law and spread over its buckets, by their text and by the input split that
-holds them; an empty table gives an empty result.
+the law and spread over its buckets; ties in the highest hash go to the greater shard
+number; a text longer than a bucket is a bucket's record like any other; columns of
+any name are carried under `record`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,16 +42,13 @@ def shard_by_key(key: Column, shards: int, seed: int = SEED) -> tuple[Column, Co
 
 
 def scatter(df: DataFrame, key: str, text: str, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Pass one: the record's size, CRC, shard, shard among one more, and the hash that picks its bucket."""
-    shard, grown = shard_by_key(F.col(key), shards, seed)
-    crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    """Pass one: the whole record, its size, its shard, and the hash that picks its bucket. To be settled: the hash goes by the row's place."""
+    shard, _ = shard_by_key(F.col(key), shards, seed)
     return df.select(
-        F.col(key),
+        F.struct(*[F.col(c) for c in df.columns]).alias("record"),
         (common.utf8_bytes(F.col(text)) + RECORD_OVERHEAD).alias("size"),
-        crc.alias("text_crc32"),
         shard.alias("shard"),
-        grown.alias("grown_shard"),
-        F.xxhash64(F.lit(seed + 1), F.col(key), crc, F.spark_partition_id()).alias("scatter"),
+        F.xxhash64(F.lit(seed + 1), F.col(key), F.monotonically_increasing_id()).alias("scatter"),
     )
 
 
@@ -59,20 +58,21 @@ def shuffle_buckets(scattered: DataFrame, shards: int = SHARDS, bucket_bytes: in
     Each bucket is a sorted array before its Fisher-Yates shuffle, and tasks take
     their buckets in order, so that a task that runs again deals the same slots.
     """
-    total = scattered.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-total // (shards * bucket_bytes)))
+    # A row a shard, of which there are as many as the caller asks for.
+    sizes = {r["shard"]: r["bytes"] for r in scattered.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}
+    buckets = [max(1, -(-sizes.get(i, 0) // bucket_bytes)) for i in range(shards)]
     rest = [c for c in scattered.columns if c not in {"shard", "scatter"}]
-    placed = scattered.withColumn("bucket", F.pmod(F.col("scatter"), F.lit(buckets)).cast("int"))
+    placed = scattered.withColumn("bucket", F.pmod(F.col("scatter"), F.lit(buckets)[F.col("shard")]).cast("int"))
     starts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select(
         "shard", "bucket",
         (F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("start"),
     )
-    parts = max(1, min(shards * buckets, 1 << 16))
+    parts = max(1, min(sum(buckets), 1 << 16))
     dealt = (
         placed.repartition(parts, "shard", "bucket")  # the one time that records are shuffled
         .groupBy("shard", "bucket")
         .agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows"))
-        .join(F.broadcast(starts), ["shard", "bucket"])
+        .join(starts, ["shard", "bucket"])  # a row a bucket, dealt by the same keys: records stay where they are
         .sortWithinPartitions("shard", "bucket")
         .select("shard", "bucket", "start", F.shuffle("rows", F.lit(seed)).alias("rows"))
     )
@@ -82,18 +82,9 @@ def shuffle_buckets(scattered: DataFrame, shards: int = SHARDS, bucket_bytes: in
 
 
 def write_shards(df: DataFrame, path: str, key: str, text: str, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
-    """Both passes over whole records; the shards are written under `path` as shard=N, each in slot order, and read back.
-
-    Columns named shard, slot, size or scatter of the input are carried under `record`.
-    """
-    shard, _ = shard_by_key(F.col(key), shards, seed)
+    """Both passes over whole records; the shards are written under `path` as shard=N, each in slot order, and read back."""
     staging = common.new_path(df.sparkSession, "shard-scatter")
-    scattered = df.select(
-        F.struct(*[F.col(c) for c in df.columns]).alias("record"),
-        (common.utf8_bytes(F.col(text)) + RECORD_OVERHEAD).alias("size"),
-        shard.alias("shard"),
-        F.xxhash64(F.lit(seed + 1), F.col(key), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), F.spark_partition_id()).alias("scatter"),
-    )
+    scattered = scatter(df, key, text, shards, seed)
     scattered.write.option("compression", "zstd").parquet(staging)
     staged = df.sparkSession.read.schema(scattered.schema).parquet(staging)
     dealt = shuffle_buckets(staged, shards, bucket_bytes, seed).select("shard", "slot", "record")
