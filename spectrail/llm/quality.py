@@ -3,7 +3,8 @@
 A rule measures a share: of symbols, of words in capitals, and so on. The forest sees
 shares on a scale that leaves their order as it is, but gives what good rows have
 little room: up to `MARGIN` times what all but one in a thousand of the rows labelled
-good have it takes `ORDINARY` of the scale, and beyond it grows with the fourth root.
+good have, and up to `ALWAYS` whatever they have, it takes `ORDINARY` of the scale, and
+beyond it grows with the fourth root.
 Each tree splits a small random part of the rows at random values of random measures
 until rows stand alone; `BACKGROUND` copies of those rows for each measure, with that
 measure drawn from the whole scale, make it split measures too that hardly vary, so
@@ -47,7 +48,9 @@ GOOD_WEIGHT = 20
 SCORE_BINS = 2000
 SEED = 3_301
 TOLERATED = 0.999
-MARGIN = 1.5
+MARGIN = 2.0
+#: A share that is ordinary in any corpus: few labelled rows needn't show what a good text may hold now and then.
+ALWAYS = 0.01
 ORDINARY = 0.005
 BACKGROUND = 8
 
@@ -209,7 +212,7 @@ def fit(counts: DataFrame, labels: DataFrame, key: str, label: str = "quality",
     picked = labelled.orderBy(F.xxhash64(F.lit(SEED), key), *COUNTS).limit(fit_rows).select(*COUNTS).collect()
     rows = np.array([list(r) for r in picked], dtype=np.int64).reshape(-1, len(COUNTS))
     usual = labelled.where("good = 1").agg(*[F.percentile_approx(F.expr(m), TOLERATED, 100_000).alias(f"m{i}") for i, m in enumerate(MEASURES)]).first()
-    tolerance = np.minimum(1.0, [MARGIN * (m or 0.0) for m in usual])
+    tolerance = np.clip([MARGIN * (m or 0.0) for m in usual], ALWAYS, 1.0)
     forest = grow(rows if len(rows) else np.zeros((1, len(COUNTS)), dtype=np.int64), tolerance)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

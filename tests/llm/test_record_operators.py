@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import random
+import re
+import uuid
 import zlib
 
 import numpy as np
@@ -39,7 +41,7 @@ def test_sharding(spark, tmp_path):
             raw = (texts[r["doc_id"]] or "").encode()
             assert r["size"] == len(raw) + 16 and r["text_crc32"] == zlib.crc32(raw)
     # One more shard takes rows only into itself.
-    grown = {r["doc_id"]: r["shard"] for r in sharding.scatter(spark.read.parquet(f"{path}/documents.parquet"), "doc_id", "text", sharding.SHARDS + 1).collect()}
+    grown = {r["record"]["doc_id"]: r["shard"] for r in sharding.scatter(spark.read.parquet(f"{path}/documents.parquet"), "doc_id", "text", sharding.SHARDS + 1).collect()}
     assert all(grown[r["doc_id"]] == r["grown_shard"] for r in out)
     again = {(r["doc_id"], r["slot"], r["shard"]) for r in sharding.op6_sharding(spark, path).collect()}
     assert again == {(r["doc_id"], r["slot"], r["shard"]) for r in out}
@@ -51,7 +53,7 @@ def test_sharding_with_many_buckets(spark):
     out = sharding.shuffle_buckets(scattered, 3, bucket_bytes=2000).collect()
     by = {}
     for r in out:
-        by.setdefault(r["shard"], []).append((r["slot"], r["doc_id"]))
+        by.setdefault(r["shard"], []).append((r["slot"], r["record"]["doc_id"]))
     assert sum(map(len, by.values())) == 5000
     for rows in by.values():
         assert [s for s, _ in sorted(rows)] == list(range(len(rows)))
@@ -59,6 +61,22 @@ def test_sharding_with_many_buckets(spark):
         assert order != sorted(order)
 
 
+def test_a_hot_key_is_spread_over_buckets(spark, tmp_path):
+    """Repeated rows of one key fill many buckets of their shard, in tasks of their own."""
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.repeat(F.lit("x"), 84).alias("text")).repartition(3)
+    scattered = common.settle(sharding.scatter(df, "doc_id", "text", 4), "t")
+    hot = scattered.where("record.doc_id = 7").select("shard").distinct().collect()
+    assert len(hot) == 1
+    in_hot = scattered.where(F.col("shard") == hot[0]["shard"])
+    buckets = -(-100 * in_hot.count() // 10_000)
+    sizes = [r["count"] for r in in_hot.groupBy(F.pmod("scatter", F.lit(buckets))).count().collect()]
+    assert buckets > 20 and len(sizes) == buckets and max(sizes) < 200
+    out = sharding.shuffle_buckets(scattered, 4, bucket_bytes=10_000).select("shard", "slot", "record.doc_id", F.spark_partition_id().alias("task")).collect()
+    slots = sorted(r["slot"] for r in out if r["shard"] == hot[0]["shard"])
+    assert slots == list(range(len(slots))) and sum(r["doc_id"] == 7 for r in out) == 2001
+    assert len({r["task"] for r in out if r["doc_id"] == 7}) > 10
+
+
 def test_written_shards(spark, tmp_path):
     df = spark.createDataFrame([(i, f"text {i}", "clash") for i in range(200)], "doc_id long, text string, shard string")
     back = sharding.write_shards(df, str(tmp_path / "out"), "doc_id", "text", 4)
@@ -109,6 +127,14 @@ def test_archive_round_trip(spark, tmp_path):
     assert bytes(records["bytes"]).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and bytes(records["bytes"]).endswith(b"\r\n\r\n\r\n\r\n")
     urls = {r["page_id"]: r["url"] for r in warc.read_archive(spark, archive).select("page_id", "url").collect()}
     assert urls[3] == "http://b/%0D%0AX-Page-ID: 9" and urls[2] is None
+    headers = [dict(line.split(": ", 1) for line in r["header"].split("\r\n")[1:-1]) for r in warc.read_archive(spark, archive).select("header").collect()]
+    ids = {h["WARC-Record-ID"]: h for h in headers}
+    assert len(ids) == len(rows) and all(uuid.UUID(i[len("<urn:uuid:") : -1]).version == 5 for i in ids)
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["WARC-Date"]) for h in headers)
+    for h in headers:
+        assert ("WARC-Profile" in h) == ("WARC-Refers-To" in h) == (h["WARC-Type"] == "revisit")
+        if h["WARC-Type"] == "revisit":
+            assert ids[h["WARC-Refers-To"]]["WARC-Type"] == "response" and ids[h["WARC-Refers-To"]]["X-Page-ID"] == h["X-Refers-To-Page"]
 
 
 def test_archive_with_a_least_size(spark):
@@ -403,10 +429,38 @@ def test_pipeline_stages(spark, tmp_path):
     assert packing.CAPACITY >= max(p["length"] for p in pieces) and quality.MIN_WORDS == 20
 
 
+def test_pipeline_keeps_one_row_of_each_document(spark, tmp_path):
+    """Ids on several texts, repeated rows, rows without an id, and columns that share names with what the stages make."""
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 80) for _ in range(4))
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (9, b, 4), (20, max(c, d), 5), (20, min(c, d), 6), (20, max(c, d), 5), (None, a, 7), (30, None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int").withColumns({n: F.lit(1) for n in ("component_id", "count", "row", "id", "n", "toxic", "label")})
+    out = corpus_pipeline.keep_one_of_each(spark, df.repartition(3), str(tmp_path))
+    assert out.columns == df.columns
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in out.collect()) == [("20", 6), ("3", 1), ("30", 8), ("None", 7)]
+    path = write_tables(spark, tmp_path, [], [(i, 1, 0) for i in (3, 5)])
+    for stage in (corpus_pipeline.keep_quality, corpus_pipeline.keep_clean):
+        assert stage(spark, df, path).schema == df.schema
+    assert corpus_pipeline.pack_pieces(spark, df, path).count() == len(rows)
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, write_tables(spark, tmp_path, [], [])).count() == 0
 
 
+def test_failed_queries_leave_no_tables(spark, tmp_path, monkeypatch):
+    from spectrail.llm import registry
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    path = write_tables(spark, tmp_path, [(i, f"text {i}", None, None, None) for i in range(9)], [(1, 1, 0)])
+    monkeypatch.setattr(quality, "judge", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        registry.tidied(quality.op1_quality)(spark, path)
+    assert not list((tmp_path / "shared").iterdir())
+    registry.tidied(packing.op5_packing)(spark, path).collect()
+    assert list((tmp_path / "shared").iterdir())
+
+
 def test_registry_matches_contract(spark, sf_dir):
     import __spark_entry__
 
