@@ -50,7 +50,7 @@ SLACK = 12
 BEAM_BUILD = 64
 BEAM_SEARCH = 128
 ALPHA = 1.2
-BATCH = 256
+BATCH = 64
 #: Nodes that a search expands at once.
 WIDE = 4
 QUERY_BLOCK = 1024
