@@ -345,7 +345,8 @@ def combine(left: DataFrame, right: DataFrame, op: str, keys: list[str], flux: s
     """Two models' fluxes on one grid, by an equi-join; division by zero is null."""
     if op not in OPERATORS:
         raise ValueError(f"no operator {op!r}")
-    joined = left.select(*keys, F.col(flux).alias("_a")).join(right.select(*keys, F.col(flux).alias("_b")), keys)
+    # Spark doesn't count the rows that a grid adds to each parameter row, and would broadcast them all.
+    joined = left.select(*keys, F.col(flux).alias("_a")).hint("merge").join(right.select(*keys, F.col(flux).alias("_b")), keys)
     value = F.try_divide("_a", "_b") if op == "/" else OPERATORS[op](F.col("_a"), F.col("_b"))
     return joined.select(*keys, value.alias(flux))
 

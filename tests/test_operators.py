@@ -381,3 +381,15 @@ def test_running_sums_by_bins(spark):
     assert got == [(x, int(c), sum(w for _, w in mine)) for (x, _), c in zip(mine, np.cumsum([w for _, w in mine]), strict=True)]
     drawn = diagnostics.systematic_resample(df.where("x IS NOT NULL"), ["p"], "w", ["x"], 50, F.lit(0.5))
     assert drawn.columns == ["p", "x", "w", "draw"] and {r["p"]: r["n"] for r in drawn.groupBy("p").agg(F.count("*").alias("n")).collect()} == {"a": 50, "b": 50}
+
+
+@pytest.mark.parametrize("op", sorted(models.OPERATORS))
+def test_combined_models_are_merged_not_broadcast(spark, op):
+    """Rows that a grid adds aren't in Spark's estimate, which would send either side to the driver."""
+    rows = spark.range(5).select("id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("g"))
+    a, b = rows.select("id", "g", (F.col("id") + 0.5).alias("flux")), rows.where("id > 0").select("id", "g", (F.col("g") - 2.0).alias("flux"))
+    out = models.combine(a, b, op, ["id", "g"])
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    expected = {(i, g): None if op == "/" and g == 2 else models.OPERATORS[op](i + 0.5, g - 2.0) for i in range(1, 5) for g in range(1, 4)}
+    assert {(r["id"], r["g"]): r["flux"] for r in out.collect()} == expected and out.count() == len(expected)
