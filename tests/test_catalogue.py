@@ -1,5 +1,6 @@
 """Every query of the core against its SQL in DuckDB."""
 
+import itertools
 import math
 import os
 
@@ -42,3 +43,17 @@ def test_query(spark, duck, sf_dir, name):
     for a, b in zip(sorted(mine, key=lambda r: [str(x) for x in r]), sorted(theirs, key=lambda r: [str(x) for x in r]), strict=True):
         for x, y in zip(a, b, strict=True):
             assert x == y or (isinstance(x, float) and x == pytest.approx(y, rel=1e-6, abs=2e-6)), (name, a, b)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["star_and_disc"])
+def test_broadcasts_read_no_table(spark, sf_dir, name):
+    """Only generated tables of a fixed size go through the driver."""
+    lines = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    below = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below += itertools.takewhile(lambda j: depth[j] > depth[i], range(i + 1, len(lines)))
+    assert any("FileScan" in line for line in lines)
+    assert not [lines[j] for j in below if "FileScan" in lines[j]]
