@@ -177,11 +177,11 @@ SIMULATE_SPECTRA = "SELECT label, 16000::BIGINT AS n, round(0.25::DOUBLE * 1.4,
 
 
 def resample_own(spark: SparkSession, sf: str) -> DataFrame:
-    """A resampler of the user's own: the nearest sample."""
+    """A resampler of the user's own: the nearest sample, of two as near the later."""
     grid = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i.cast("double"))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: 6.5 * j + uniform(F.col("vec_id"), j))
     rows = table(spark, sf, "embeddings").select("vec_id", grid.alias("x"), F.col("embedding").cast("array<double>").alias("y"), wanted.alias("at"))
-    out = align.resample_arrays(rows, "x", "y", "at", "z", lambda new_x, x, y: np.asarray(y)[np.searchsorted((np.asarray(x)[1:] + np.asarray(x)[:-1]) / 2, new_x)])
+    out = align.resample_arrays(rows, "x", "y", "at", "z", lambda new_x, x, y: np.asarray(y)[np.searchsorted((np.asarray(x)[1:] + np.asarray(x)[:-1]) / 2, new_x, side="right")])
     return out.select("vec_id", F.posexplode("z").alias("j", "z")).select("vec_id", "j", F.round("z", 6).alias("z"))
 
 

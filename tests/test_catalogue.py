@@ -57,3 +57,14 @@ def test_broadcasts_read_no_table(spark, sf_dir, name):
             below += itertools.takewhile(lambda j: depth[j] > depth[i], range(i + 1, len(lines)))
     assert any("FileScan" in line for line in lines)
     assert not [lines[j] for j in below if "FileScan" in lines[j]]
+
+
+def test_resample_own_halfway_between_samples(spark, tmp_path):
+    """Vectors for which a wanted place is as near to two samples, those beside them, and one without any."""
+    ids = [0, *(i + d for i in (520, 2345, 4464, 6289, 8408, 10527) for d in (-1, 0, 1))]
+    rows = [(i, [float((i * 31 + k * 17) % 101) for k in range(64)]) for i in ids]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["vec_id"], r["j"]): r["z"] for r in catalogue.queries()["resample_own"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == {(i, j): z for i, j, z in con.execute(catalogue.oracle_sql()["resample_own"]).fetchall()}
